@@ -20,7 +20,65 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op10_exact_dedup)}
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    from pricegrain.llm.bpe import bpe_decode, bpe_encode
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe_decode(bpe_encode(documents(spark, sf_dir), path, tokenizers.PATTERN), path)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricegrain.llm.quality import held_out, score_quality, train_quality
+
+    docs = documents(spark, sf_dir)
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the column lang is what a document declares, its source is its host."""
+    from pricegrain.llm.language import identify, train_ngrams
+
+    docs = documents(spark, sf_dir)
+    found = identify(docs, train_ngrams(docs), declared=F.col("lang"), host=F.col("source"))
+    return found.withColumnRenamed("accepted", "kept")
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: the declared language is that of the html element, the hint the first segment of the address."""
+    from pricegrain.llm.language import identify, train_ngrams
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
+    return identify(
+        pages.select("page_id", "url", "html", body.alias("body")), train_ngrams(documents(spark, sf_dir)), "page_id", "body",
+        declared=F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]{2})", 1), F.lit("")),
+        host=F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), hint=F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1), F.lit("")),
+    )
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricegrain.llm.media import media_columns, text_media
+
+    stored = text_media(documents(spark, sf_dir)).withColumn("own", F.struct("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")))
+    read = media_columns(stored.select("own", "media"), "own")
+    return read.select("own.*", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "codec", "duration", F.size("keyframes").alias("n_keyframes"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    from pricegrain.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op4_quality, op5_media_columns, op8_language_id, pages_language, op9_best_fit_packing, op10_exact_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
