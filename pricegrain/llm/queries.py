@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from pricegrain.llm.common import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory for each source, one in it for each 500 ids; a document of one line is the source's
+    licence file if it declares one, one of two lines that of the inner directory."""
+    from pricegrain.llm.licenses import license_scan
+
+    docs = documents(spark, sf_dir)
+    inner = F.floor(F.col("doc_id") / 500).cast("string")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    path = F.when(n_lines == 1, F.concat_ws("/", "source", F.lit("LICENSE"))).when(n_lines == 2, F.concat_ws("/", "source", inner, F.lit("LICENSE")))
+    return license_scan(docs.select("doc_id", "text", path.otherwise(F.concat_ws("/", "source", inner, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))).alias("path")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricegrain.llm.line_dedup import line_dedup
 
@@ -40,6 +52,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricegrain.llm.substring_dedup import substring_dedup
+
+    cut = substring_dedup(documents(spark, sf_dir))
+    return cut.select("doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("n_removed_spans"), "n_removed_words", "removed_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricegrain.llm.near_dedup import near_dedup
+
+    return near_dedup(documents(spark, sf_dir), percent=85)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: the column lang is what a document declares, its source is its host."""
     from pricegrain.llm.language import identify, train_ngrams
@@ -78,11 +103,42 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op4_quality, op5_media_columns, op8_language_id, pages_language, op9_best_fit_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_byte_bpe, op4_quality, op5_media_columns, op6_substring_dedup, op7_near_dedup, op8_language_id, pages_language, op9_best_fit_packing, op10_exact_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
+
+
+def _templates_sql() -> str:
+    from pricegrain.llm.licenses import TEMPLATES
+
+    return ", ".join("({}, '{}', '{}')".format(i, name, phrase.lower().replace("'", "''")) for i, (name, phrase) in enumerate(TEMPLATES))
+
+
 ORACLE = {
+    "op1_license_scan": f"""
+WITH templates(template, license, phrase) AS (VALUES {_templates_sql()}),
+term AS (SELECT DISTINCT template, license, t FROM (SELECT template, license, unnest(regexp_split_to_array(phrase, '[^a-z0-9]+')) AS t FROM templates) WHERE t <> ''),
+n AS (SELECT count(*) AS n FROM templates),
+idf AS (SELECT t, ln((SELECT n + 1.0 FROM n) / (count(*) + 1)) + 1 AS idf FROM term GROUP BY t),
+weight AS (SELECT template, license, t, idf, idf / sqrt(sum(idf * idf) OVER (PARTITION BY template)) AS weight FROM term JOIN idf USING (t)),
+files AS (
+  SELECT doc_id, text, CASE len(string_split(coalesce(text, ''), chr(10))) WHEN 1 THEN source || '/LICENSE' WHEN 2 THEN source || '/' || doc_id // 500 || '/LICENSE' ELSE source || '/' || doc_id // 500 || '/' || doc_id || '.txt' END AS path FROM documents
+),
+line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM files),
+words AS (SELECT DISTINCT doc_id, line_no, t FROM (SELECT doc_id, line_no, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS t FROM line) WHERE t <> ''),
+size AS (SELECT doc_id, line_no, sqrt(sum(power(coalesce(idf, ln((SELECT n + 1.0 FROM n)) + 1), 2))) AS length FROM words LEFT JOIN idf USING (t) GROUP BY ALL),
+dot AS (SELECT doc_id, line_no, template, license, sum(idf * weight) AS dot FROM words JOIN weight USING (t) GROUP BY ALL),
+scored AS (SELECT doc_id, line_no, template, license, round(dot / length, 9) AS cosine FROM dot JOIN size USING (doc_id, line_no) WHERE round(dot / length, 9) >= 0.7),
+own AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, line_no, template) = 1),
+known AS (SELECT doc_id, path, license AS own_license, cosine, line_no, regexp_replace(path, '/[^/]*$', '') AS dir FROM files LEFT JOIN own USING (doc_id)),
+granted AS (SELECT dir AS ancestor, own_license AS dir_license FROM known WHERE path LIKE '%/LICENSE' AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, doc_id) = 1),
+above AS (SELECT doc_id, ancestor, dir_license FROM known JOIN granted ON ancestor = dir OR starts_with(dir, ancestor || '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(ancestor) DESC) = 1)
+SELECT doc_id, path, own_license, cosine, line_no, coalesce(own_license, dir_license) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'header' WHEN dir_license IS NOT NULL THEN 'directory' END AS found_in,
+  CASE WHEN own_license IS NULL THEN ancestor END AS inherited_from
+FROM known LEFT JOIN above USING (doc_id)
+""",
     "op2_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
