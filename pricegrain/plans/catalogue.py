@@ -1,10 +1,8 @@
-"""Names of the queries, their DataFrame form and the SQL that a second engine checks them with."""
+"""All queries of the library; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pricegrain.plans import changes, comparison, expressions, feeds, matching, search, tables
+from pricegrain.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "changes", "comparison", "expressions", "feeds", "matching", "search", "tables"]
