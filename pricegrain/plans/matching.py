@@ -1 +1,111 @@
-"""Queries."""
+"""Entity resolution over the parts as offers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricegrain.functions import similarity
+from pricegrain.operators import graph, market, resolve
+from pricegrain.plans.base import table
+from pricegrain.plans.registry import query
+
+_C = """WITH c AS (SELECT p_partkey AS id, p_brand AS game, CASE WHEN p_size % 4 <> 0 THEN p_type END AS set_code, CASE WHEN p_size % 5 <> 0 THEN split_part(p_name, ' ', 1) END AS product_type,
+  string_split(p_name, ' ') AS tokens, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS name_key FROM part),
+t AS (SELECT id, unnest(list_distinct(tokens)) AS token FROM c), n AS (SELECT count(*) AS n FROM c), idf AS (SELECT token, count(*) AS df, ln((any_value(n.n) + 1.0) / (count(*) + 1)) + 1 AS idf FROM t, n GROUP BY token)"""
+_OK = "coalesce(a.game = b.game, true) AND coalesce(a.set_code = b.set_code, true) AND coalesce(a.product_type = b.product_type, true)"
+
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    tokens = F.split("p_name", " ")
+    none = F.array().cast("array<string>")
+    return p.select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("stable_key"), F.col("p_brand").alias("game"),
+        F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("set_code"), F.when(F.col("p_size") % 5 != 0, F.substring_index("p_name", " ", 1)).alias("product_type"),
+        F.when(F.col("p_size") % 7 == 0, "es").when(F.col("p_size") % 7 == 1, "en").alias("language"), F.col("p_size").alias("units_total"),
+        F.when(F.col("p_size") % 2 == 0, 0.9).otherwise(0.5).alias("quantity_confidence"), F.array_join(F.array_sort(F.array_distinct(tokens)), " ").alias("name_key"), F.col("p_name").alias("name"), tokens.alias("tokens"),
+        F.when(F.col("p_partkey") % 50 < 2, F.array(F.lpad(F.floor(F.col("p_partkey") / 50).cast("string"), 14, "0"))).otherwise(none).alias("gtins"),
+        F.when(F.col("p_partkey") % 70 < 2, F.array(F.concat(F.lit("M"), F.floor(F.col("p_partkey") / 70).cast("string")))).otherwise(none).alias("mpns"),
+    )
+
+
+@query(_C + " SELECT token, df, round(idf, 9) AS idf FROM idf")
+def token_idf(spark: SparkSession, sf: str) -> DataFrame:
+    return market.inverse_document_frequency(candidates(spark, sf), "id", "tokens")[0].withColumn("idf", F.round("idf", 9))
+
+
+@query(_C + f""", k AS (SELECT id, game, set_code, product_type, 'type' || chr(1) || game || chr(1) || set_code || chr(1) || coalesce(product_type, chr(2)) AS key FROM c WHERE set_code IS NOT NULL
+  UNION ALL SELECT id, game, set_code, product_type, 'set' || chr(1) || game || chr(1) || set_code FROM c WHERE set_code IS NOT NULL UNION ALL SELECT id, game, set_code, product_type, 'name' || chr(1) || name_key FROM c),
+g AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 300), m AS (SELECT k.* FROM k JOIN g USING (key))
+SELECT DISTINCT a.id AS a, b.id AS b FROM m a JOIN m b ON a.key = b.key AND a.id < b.id AND {_OK}""")
+def block_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.block_pairs(candidates(spark, sf))
+
+
+@query(_C + f""", u AS (SELECT t.id, t.token, idf FROM t JOIN idf USING (token), n WHERE df >= 2 AND df <= 400 AND (df <= 60 OR df <= 0.25 * n.n)),
+s AS (SELECT a.id, b.id AS other, sum(a.idf) AS w FROM u a JOIN u b ON a.token = b.token AND a.id <> b.id GROUP BY ALL), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, other) <= 80),
+p AS (SELECT DISTINCT least(id, other) AS x, greatest(id, other) AS y FROM r)
+SELECT x AS a, y AS b FROM p JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE {_OK}""")
+def token_blocking(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.rare_token_pairs(candidates(spark, sf))
+
+
+@query(_C + """, f AS (SELECT id, token, count(*) / any_value(len(tokens)) AS tf FROM (SELECT id, tokens, unnest(tokens) AS token FROM c) GROUP BY id, token), w AS (SELECT id, token, tf * idf AS w FROM f JOIN idf USING (token)),
+v AS (SELECT id, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w), k AS (SELECT id, game, set_code FROM c WHERE set_code IS NOT NULL)
+SELECT x.id AS a, y.id AS b, round(coalesce((SELECT sum(p.w * q.w) FROM v p JOIN v q ON p.token = q.token WHERE p.id = x.id AND q.id = y.id), 0), 6) AS cosine FROM k x JOIN k y ON x.game = y.game AND x.set_code = y.set_code AND x.id < y.id""")
+def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    c = candidates(spark, sf)
+    v = resolve.tfidf_vectors(c, "id", "tokens").join(c.filter("set_code IS NOT NULL").select("id", "game", "set_code"), "id")
+    pairs = v.alias("x").join(v.alias("y"), (F.col("x.game") == F.col("y.game")) & (F.col("x.set_code") == F.col("y.set_code")) & (F.col("x.id") < F.col("y.id")))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(resolve.cosine(F.col("x.vector"), F.col("y.vector")), 6).alias("cosine"))
+
+
+@query()
+def pair_score(spark: SparkSession, sf: str) -> DataFrame:
+    c = candidates(spark, sf)
+    return resolve.score_pairs(c, resolve.candidate_pairs(c))
+
+
+def _decisions(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Neighbours by id: same at every 40th, different at every 60th."""
+    step = 40 if kind == "same" else 60
+    return table(spark, sf, "part").filter(F.col("p_partkey") % step == 3).select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
+
+
+def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = candidates(spark, sf)
+    scored = resolve.written(resolve.score_pairs(c, resolve.candidate_pairs(c)).filter("score >= 75"), "scored")
+    return resolve.group(c, scored, _decisions(spark, sf, "same"), _decisions(spark, sf, "different"))
+
+
+@query()
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return _grouped(spark, sf)[0]
+
+
+@query()
+def review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    return _grouped(spark, sf)[1].orderBy(F.desc("score"), "a", "b")
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + p_size % 3 + 1 AS b FROM part WHERE p_size % 2 = 0), s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS node, u AS label FROM s UNION SELECT s.v, r.label FROM r JOIN s ON s.u = r.node)
+SELECT node, min(label) AS component FROM r GROUP BY node""")
+def decision_components(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size") % 3 + 1).alias("b"))
+    return graph.min_labels(e)
+
+
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) AS k, p_partkey AS product_id, p_type AS set_code, split_part(p_name, ' ', 1) AS product_type, CASE WHEN p_size % 3 = 0 THEN p_brand END AS language FROM part)
+SELECT a.product_id AS p, b.product_id AS q, list_filter([CASE WHEN a.set_code <> b.set_code THEN 'set_code' END, CASE WHEN a.product_type <> b.product_type THEN 'product_type' END, CASE WHEN a.language <> b.language THEN 'language' END], lambda x: x IS NOT NULL) AS clashes,
+  NOT coalesce(a.set_code <> b.set_code, false) AND NOT coalesce(a.product_type <> b.product_type, false) AND NOT coalesce(a.language <> b.language, false) AS allowed FROM p a JOIN p b ON b.product_id = a.product_id + 1""")
+def merge_check(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("set_code"), F.substring_index("p_name", " ", 1).alias("product_type"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("language"))
+    return resolve.merge_allowed(p, p.select(F.col("product_id").alias("p"), (F.col("product_id") + 1).alias("q")))
+
+
+@query()
+def search_score(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: products by their likeness to a misspelt query, from 0.45 on."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", similarity.search_score(F.array(F.lit("smal"), F.lit("brass")), F.split(F.lower("p_name"), " ")).alias("score"))
+    return rows.filter("score >= 0.45").orderBy(F.desc("score"), "p_partkey")
