@@ -1 +1,74 @@
-"""Queries."""
+"""Payloads and pages to offers. The payloads are built from the parts, since the tables have none."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricegrain.plans.base import table
+from pricegrain.plans.registry import query
+from pricegrain.sources import feeds, html
+
+
+def _payloads(spark: SparkSession, sf: str, item: F.Column) -> DataFrame:
+    p = table(spark, sf, "part").withColumn("item", F.to_json(item))
+    return p.groupBy(F.col("p_size").alias("store_id")).agg(F.concat(F.lit('{"data":{"items":['), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("]}}")).alias("payload"))
+
+
+@query("SELECT p_size AS store_id, 'http://shop.test/p/' || p_partkey AS url, p_name AS name, CAST(p_partkey % 90 + 10 AS DOUBLE) * 1000 + 990 AS price, CASE WHEN p_partkey % 3 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS stock_status, CAST(p_partkey AS VARCHAR) AS external_id, p_brand AS brand FROM part")
+def generic_feed(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.concat(F.lit("$"), (F.col("p_partkey") % 90 + 10).cast("string"), F.lit(".990"))
+    item = F.struct(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("label"), price.alias("cost")).alias("info"), F.col("p_partkey").alias("slug"), (F.col("p_partkey") % 3 != 0).alias("available"), F.col("p_brand").alias("brand"))
+    found = feeds.items(_payloads(spark, sf, item), list_path="data.items")
+    out = feeds.generic_offers(found, "http://shop.test", {"name": "info.label", "price": "info.cost", "url": "slug"}, url_template="/p/{value}?ref=feed")
+    return out.select("store_id", "url", "name", "price", "stock_status", "external_id", "brand")
+
+
+@query("""SELECT p_size AS store_id, 'http://shop.test/products/h' || p_partkey || '?variant=' || p_partkey || v AS url, p_name || ' - ' || CASE v WHEN 1 THEN 'Español' ELSE 'refill' END AS name, CAST(p_partkey % 100 + v AS DOUBLE) AS price, CASE WHEN v = 1 THEN 'in_stock' ELSE 'out_of_stock' END AS stock_status FROM part, (VALUES (1), (2)) t(v) WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_size, 'http://shop.test/products/h' || p_partkey, p_name, CAST(p_partkey % 100 + 1 AS DOUBLE), 'in_stock' FROM part WHERE p_partkey % 2 = 1""")
+def storefront_feed(spark: SparkSession, sf: str) -> DataFrame:
+    id_ = F.col("p_partkey").cast("string")
+    v = lambda n, name, ok: F.struct(F.concat(id_, F.lit(str(n))).alias("id"), F.concat("p_name", F.lit(f" {name}")).alias("title"), (F.col("p_partkey") % 100 + n).cast("string").alias("price"), F.lit(ok).alias("available"))
+    variants = F.when(F.col("p_partkey") % 2 == 0, F.array(v(1, "Español", True), v(2, "refill", False))).otherwise(F.array(v(1, "Español", True)))
+    item = F.struct(id_.alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("h"), id_).alias("handle"), variants.alias("variants"))
+    found = feeds.items(_payloads(spark, sf, item), list_path="data.items")
+    return feeds.storefront_offers(found, "http://shop.test/", ["espanol"]).select("store_id", "url", "name", "price", "stock_status")
+
+
+@query("SELECT p_size AS store_id, 'http://w.test/p/' || p_partkey AS url, p_name AS name, p_partkey % 5000 / 100.0 AS price, CASE WHEN p_partkey % 4 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS stock_status FROM part")
+def minor_unit_feed(spark: SparkSession, sf: str) -> DataFrame:
+    item = F.struct(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("http://w.test/p/"), F.col("p_partkey").cast("string"), F.lit("/#x")).alias("permalink"),
+        F.struct((F.col("p_partkey") % 5000).cast("string").alias("price"), F.lit(2).alias("currency_minor_unit")).alias("prices"), (F.col("p_partkey") % 4 != 0).alias("is_in_stock"),
+    )
+    return feeds.minor_unit_offers(feeds.items(_payloads(spark, sf, item), list_path="data.items")).select("store_id", "url", "name", "price", "stock_status")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""")
+def page_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return html.select_fields(table(spark, sf, "pages").select("page_id", "html"), "html", {"language": "html@lang", "title": "title"}).drop("html")
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    return html.select_all(table(spark, sf, "pages").select("page_id", "html"), "html", "a", "href").select("page_id", F.col("value").alias("href"))
+
+
+@query("SELECT s_suppkey, p AS page, 'http://s' || s_suppkey || '.test/c?page=' || p AS page_url FROM supplier, range(1, 4) t(p)")
+def category_pages(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("http://s"), F.col("s_suppkey").cast("string"), F.lit(".test/c")).alias("url"))
+    return feeds.page_urls(s, pages=3).select("s_suppkey", "page", "page_url")
+
+
+@query("SELECT store_id, url, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY p_partkey, url) AS nth FROM (SELECT p_size AS store_id, p_name AS url, min(p_partkey) AS p_partkey FROM part GROUP BY ALL)) WHERE nth <= 10")
+def first_per_url(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_size").alias("store_id"), F.col("p_name").alias("url"), "p_partkey", F.col("p_partkey").alias("seq"))
+    return feeds.first_per_url(p, cap=10).select("store_id", "url", "p_partkey")
+
+
+@query("SELECT page_id, sha256(html) AS body_hash FROM pages WHERE page_id % 3 <> 0 OR page_id % 5 = 0")
+def unread_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every third page the stored digest is that of the body, of every fifth an old one."""
+    p = table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("url"), F.sha2("html", 256).alias("body_hash"))
+    cache = p.filter("page_id % 3 = 0").select("url", F.when(F.col("page_id") % 5 == 0, "old").otherwise(F.col("body_hash")).alias("body_hash"))
+    return feeds.needs_read(p, cache).select("page_id", "body_hash")
