@@ -27,7 +27,7 @@ class Vocabulary:
         self.bytes = [b""] * self.n
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
-        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -35,11 +35,11 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs[left * self.n + right] = rank
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.made = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
+        self.made = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int32)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, -1 where there is none."""
-        key = left * self.n + right
+        key = left.astype(np.int64) * self.n + right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.made[at], -1)
 
@@ -64,15 +64,15 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.concatenate([[0], np.cumsum(lengths)])
     total = int(starts[-1])
-    token = vocab.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)] if total else np.empty(0, np.int64)
+    token = vocab.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)] if total else np.empty(0, np.int32)
     end = np.zeros(total + 1, dtype=bool)
     end[starts] = True  # a place where no word goes on
-    following = np.arange(1, total + 1, dtype=np.int64)  # total: none
+    following = np.arange(1, total + 1, dtype=np.int32)  # total: none
     following[end[1:]] = total
-    before = np.arange(-1, total - 1, dtype=np.int64)
+    before = np.arange(-1, total - 1, dtype=np.int32)
     before[end[:-1]] = -1
     alive = np.ones(total, dtype=bool)
-    due = np.full(total, -1, dtype=np.int64)  # rank of the merge of each place with the next, -1 for none
+    due = np.full(total, -1, dtype=np.int32)  # rank of the merge of each place with the next, -1 for none
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
@@ -96,7 +96,8 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
                 index[rank] = [part]
                 heapq.heappush(heap, rank)
 
-    pair_up(np.arange(total, dtype=np.int64))
+    for at in range(0, total, 1 << 18):
+        pair_up(np.arange(at, min(total, at + (1 << 18)), dtype=np.int32))
     while heap:
         rank = heapq.heappop(heap)
         parts = index.pop(rank)
@@ -160,7 +161,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(encode, f"`{id_col}` {kind}, ids binary")
 
 
-def text_batches(batches: Iterator[pd.DataFrame], id_col: str, text_col: str, chars: int = 8_000_000):
+def text_batches(batches: Iterator[pd.DataFrame], id_col: str, text_col: str, chars: int = 3_000_000):
     """Arrow batches, cut or joined to slices of about so many characters: (number, ids, texts)."""
     n = 0
     for pdf in batches:

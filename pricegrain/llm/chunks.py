@@ -8,7 +8,7 @@ import regex
 
 _SAFE_CUT = regex.compile(r"(?<=\S)(?= \S)")
 #: Chunks kept per worker; beyond it the store starts anew, so that memory stays bounded whatever the corpus holds.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 250_000
 KEPT_CHARS = 64
 
 
@@ -50,7 +50,7 @@ class ChunkStore(dict):
         return found
 
 
-def in_batches(texts: Iterable[str], chars: int = 8_000_000) -> Iterable[tuple[int, list[str]]]:
+def in_batches(texts: Iterable[str], chars: int = 3_000_000) -> Iterable[tuple[int, list[str]]]:
     """(index of the first, texts) of at most so many characters together, one text at least."""
     own, start, total = [], 0, 0
     for i, t in enumerate(texts):
