@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrain.functions import similarity
-from pricegrain.operators import graph, market, resolve
+from pricegrain.functions import similarity, text
+from pricegrain.operators import extract, graph, market, resolve
 from pricegrain.plans.base import table
 from pricegrain.plans.registry import query
 
@@ -109,3 +109,28 @@ def search_score(spark: SparkSession, sf: str) -> DataFrame:
     """F8: products by their likeness to a misspelt query, from 0.45 on."""
     rows = table(spark, sf, "part").select("p_partkey", "p_name", similarity.search_score(F.array(F.lit("smal"), F.lit("brass")), F.split(F.lower("p_name"), " ")).alias("score"))
     return rows.filter("score >= 0.45").orderBy(F.desc("score"), "p_partkey")
+
+
+GOODS = extract.Catalog(
+    games={"red": ("r", "Red line"), "blue": ("b", "Blue line")}, sets=[(r"\bsmall\b", "r", "sm", "Small", False), (r"\bold\b", "b", "ol", "Old", False), (r"\bnew\b", "r", "ne", "New", True)],
+    types=[extract.ProductType("bolt", "Bolt", "bolt", 60, 12, 0.9), extract.ProductType("gear", "Gear", "gear", 50, 1, 0.8), extract.ProductType("box", "Box", "box", 40, 36, 0.95)],
+    quantities=[(r"^\s*(\d{1,3})\s?x\s", "multiplier", 0.9), (r"\b(\d{1,3})\s+packs?\b", "contents", 0.85), (r"\bx\s?(\d{1,3})\b", "multiplier", 0.85)], blacklist=[45], most=60,
+)
+
+
+@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || 'x ' || p_name WHEN 1 THEN p_name || ' ' || p_size || ' packs' WHEN 2 THEN p_name || ' x' || p_size ELSE p_name END AS name, string_split(p_name, ' ') AS w, p_size AS n, p_partkey % 4 AS k FROM part),
+g AS (SELECT *, CASE WHEN list_contains(w, 'red') THEN 'r' WHEN list_contains(w, 'blue') THEN 'b' END AS game, CASE WHEN list_contains(w, 'bolt') THEN 'bolt' WHEN list_contains(w, 'gear') THEN 'gear' WHEN list_contains(w, 'box') THEN 'box' END AS kind FROM t),
+u AS (SELECT *, CASE kind WHEN 'bolt' THEN 12 WHEN 'gear' THEN 1 WHEN 'box' THEN 36 ELSE 0 END AS units, CASE kind WHEN 'bolt' THEN 0.9 WHEN 'gear' THEN 0.8 WHEN 'box' THEN 0.95 ELSE 0 END AS sure, k < 3 AND n <> 45 AND n <= 60 AS said, CASE k WHEN 0 THEN 0.9 ELSE 0.85 END AS c FROM g)
+SELECT p_partkey, name, coalesce(game, CASE WHEN list_contains(w, 'small') THEN 'r' WHEN list_contains(w, 'old') THEN 'b' WHEN list_contains(w, 'new') THEN 'r' END) AS game,
+  CASE WHEN list_contains(w, 'small') AND coalesce(game, 'r') = 'r' THEN 'sm' WHEN list_contains(w, 'old') AND coalesce(game, 'b') = 'b' THEN 'ol' WHEN list_contains(w, 'new') AND coalesce(game, 'r') = 'r' THEN 'ne' END AS set_code, kind AS product_type,
+  CAST(CASE WHEN said AND k IN (0, 2) AND NOT (units > 1 AND n = units) THEN n ELSE 1 END AS INT) AS multiplier,
+  CAST(CASE WHEN said AND k = 1 THEN n WHEN said AND units > 1 AND n = units THEN units WHEN said THEN n * greatest(units, 1) WHEN units > 0 THEN units END AS INT) AS units_total,
+  CAST(CASE WHEN said AND k = 1 THEN 0.85 WHEN said AND units > 1 AND n = units THEN greatest(c, sure) WHEN said AND units > 0 THEN least(c, sure) WHEN said THEN c WHEN units > 0 THEN sure ELSE 0 END AS DOUBLE) AS confidence FROM u""")
+def attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """E10-E15 over names that say a quantity in different ways."""
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    name = F.when(k == 0, F.concat(n, F.lit("x "), "p_name")).when(k == 1, F.concat_ws(" ", "p_name", n, F.lit("packs"))).when(k == 2, F.concat("p_name", F.lit(" x"), n)).otherwise(F.col("p_name"))
+    rules = text.NameRules()
+    found = extract.extract(text.normalize_names(table(spark, sf, "part").select("p_partkey", name.alias("name")), "name", rules), GOODS, rules)
+    a = F.col("attributes")
+    return found.select("p_partkey", "name", a["game"].alias("game"), a["set_code"].alias("set_code"), a["product_type"].alias("product_type"), a["multiplier"].alias("multiplier"), a["units_total"].alias("units_total"), a["quantity_confidence"].alias("confidence"))
