@@ -100,7 +100,7 @@ def shortest_name(rows: DataFrame, group: str, name: str, order: str) -> DataFra
 
 
 def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A5: number of rows of each value of each column (null counts as 'unknown'): one scan, one aggregation by GROUPING SETS."""
+    """A5: number of rows of each value of each column (null counts as 'unknown'): one scan and one aggregation, over a row for each column."""
     each = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in columns]
     named = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), e.alias("value")) for c, e in zip(columns, each)))).alias("f"))
     return named.groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
