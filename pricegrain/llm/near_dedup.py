@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import in_batches
-from pricegrain.llm.common import UPPER, LOWER, materialize
+from pricegrain.llm.common import LOWER, UPPER, discard, materialize
 from pricegrain.llm.components import components
 from pricegrain.llm.rolling import mix, numbers, range_hashes
 
@@ -207,8 +207,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     close = materialize(
         stars.join(sketches, "_id").join(sketches.select(F.col("_id").alias("center"), F.col("sketch").alias("other")), "center").filter(matches("sketch", "other") >= least).select("_id", "center"), "close"
     )
-    wanted = close.select("_id").unionByName(close.select(F.col("center").alias("_id"))).distinct()
-    sets = materialize(_sets(texts.join(wanted, "_id", "left_semi").dropDuplicates(["_id"])), "sets")
+    # the ids grow with the documents, so they are not broadcast, few as they may be; texts are shuffled once
+    sets = materialize(_sets(texts.join(involved.hint("merge"), "_id", "left_semi").dropDuplicates(["_id"])), "sets")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -249,10 +249,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    more_sets = _sets(texts.join(hits.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"]))
-    full = _in_groups(_met(hits.join(sketches, "_id").join(more_sets, "_id"))).select("key", "part", "_id", "comp", "sketch", "side", "shingles")
+    full = _in_groups(_met(hits.join(sketches, "_id").join(sets, "_id"))).select("key", "part", "_id", "comp", "sketch", "side", "shingles")
     more = materialize(full.mapInPandas(join_up, f"a {kind}, b {kind}").distinct(), "links")
     final = components(links.unionByName(more)).withColumnsRenamed({"node": "rep"})
+    discard(first, members, close, sets, links, open_rows, hits, more)  # what is returned reads the signatures and the components
 
     classes = reps.join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = signed.select("_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("component_id", F.coalesce("component", "_id"))
