@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import ChunkStore, in_batches
+from pricegrain.llm.common import id_type
 
 _LOADED: dict = {}
 
@@ -157,8 +158,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         for start, own_ids, texts in text_batches(batches, id_col, text_col):
             yield pd.DataFrame({id_col: own_ids, "ids": store.encode(texts)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(encode, f"`{id_col}` {kind}, ids binary")
+    own, sent, kind = id_type(docs, id_col)
+    coded = docs.select(own.alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(encode, f"`{id_col}` {sent}, ids binary")
+    return coded.withColumn(id_col, F.col(id_col).cast(kind))
 
 
 def text_batches(batches: Iterator[pd.DataFrame], id_col: str, text_col: str, chars: int = 3_000_000):
@@ -179,5 +181,6 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> D
         for pdf in batches:
             yield pdf.assign(decoded=[decode_ids(x or b"", vocab) for x in pdf["ids"]])
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInPandas(decode, f"`{id_col}` {kind}, ids binary, decoded binary")
+    own, sent, kind = id_type(encoded, id_col)
+    found = encoded.select(own.alias(id_col), "ids").mapInPandas(decode, f"`{id_col}` {sent}, ids binary, decoded binary")
+    return found.withColumn(id_col, F.col(id_col).cast(kind))

@@ -41,6 +41,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def id_type(df: DataFrame, id_col: str) -> tuple[Column, str, str]:
+    """(what goes to Python in place of the id, its type there, the id's type). Whole numbers go as text: a batch that
+    holds a null would turn them into floating point."""
+    kind = df.schema[id_col].dataType.simpleString()
+    return (F.col(id_col), kind, kind) if kind.startswith("struct") else (F.col(id_col).cast("string"), "string", kind)
+
+
 def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, UPPER, LOWER)
 

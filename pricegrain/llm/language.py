@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricegrain.llm.common import materialize
+from pricegrain.llm.common import id_type, materialize
 
 #: The text model is fitted on at most so many documents of each language, those of the smallest hashed ids.
 MAX_TRAINING_DOCS = 400
@@ -110,9 +110,9 @@ def identify(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_co
     langs, k = model.languages, len(model.languages)
     null = F.lit(None).cast("string")
     code = lambda c: F.when(F.lower(F.substr(F.trim(c), F.lit(1), F.lit(2))).isin(langs), F.lower(F.substr(F.trim(c), F.lit(1), F.lit(2)))).when(c.isNotNull(), F.lit("?"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    own_id, sent, kind = id_type(docs, id_col)
     given = docs.select(
-        F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), code(declared if declared is not None else null).alias("_declared"),
+        own_id.alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), code(declared if declared is not None else null).alias("_declared"),
         code(hint if hint is not None else null).alias("_hint"), F.coalesce(host if host is not None else null, F.lit("")).alias("_host"),
     )
 
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_co
             logs, letters = model.log_likelihood(pdf["_text"].tolist())
             yield pdf.drop(columns="_text").assign(_letters=letters, _logs=list(logs))
 
-    rows = materialize(given.mapInPandas(read, f"_id {kind}, _declared string, _hint string, _host string, _letters long, _logs array<double>"), "likelihoods")
+    rows = materialize(given.mapInPandas(read, f"_id {sent}, _declared string, _hint string, _host string, _letters long, _logs array<double>").withColumn("_id", F.col("_id").cast(kind)), "likelihoods")
     suffix = F.regexp_extract("_host", r"\.([^.:/]+)(?::\d+)?$", 1)
     rows = rows.withColumns({"_suffix": suffix, "_own": F.transform(_normal(F.col("_logs")), lambda x: F.exp(x))})
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricegrain.llm.common import id_type
+
 UNIT, SAMPLES_A_CHUNK, KEYFRAME_EVERY, TIMESCALE = 64, 16, 8, 8000
 #: Boxes that hold nothing but boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
@@ -147,14 +149,15 @@ def payload_of(data: bytes, found: dict) -> bytes:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each whole text, padded with zero bytes to a positive multiple of 64, as a media file. Null is empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    own, sent, kind = id_type(docs, id_col)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[[id_col, "n_bytes"]].assign(media=[build(pad(t)) for t in pdf[text_col]])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_col, text.alias(text_col), F.octet_length(text).cast("long").alias("n_bytes")).mapInPandas(make, f"`{id_col}` {kind}, n_bytes long, media binary")
+    stored = docs.select(own.alias(id_col), text.alias(text_col), F.octet_length(text).cast("long").alias("n_bytes")).mapInPandas(make, f"`{id_col}` {sent}, n_bytes long, media binary")
+    return stored.withColumn(id_col, F.col(id_col).cast(kind))
 
 
 MEDIA_SCHEMA = "codec string, duration double, n_samples long, keyframes array<struct<offset:long,size:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string"
@@ -166,7 +169,7 @@ def media_columns(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
     The stored bytes that the sample tables point to are digested, not decoded. A file that cannot be walked, null or
     empty ones too, has nulls and the reason in error; a feature is never null.
     """
-    kind = files.schema[id_col].dataType.simpleString()
+    own, sent, kind = id_type(files, id_col)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -184,4 +187,5 @@ def media_columns(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
             out = pd.DataFrame(rows, columns=[id_col, "codec", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "error"])
             yield out.astype({c: "Int64" for c in ("n_samples", "payload_bytes", "tail_crc32")})
 
-    return files.select(id_col, media_col).mapInPandas(read, f"`{id_col}` {kind}, {MEDIA_SCHEMA}")
+    found = files.select(own.alias(id_col), media_col).mapInPandas(read, f"`{id_col}` {sent}, {MEDIA_SCHEMA}")
+    return found if sent == kind else found.withColumn(id_col, F.col(id_col).cast(kind))

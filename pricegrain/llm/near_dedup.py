@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import in_batches
-from pricegrain.llm.common import LOWER, UPPER, discard, materialize
+from pricegrain.llm.common import LOWER, UPPER, discard, id_type, materialize
 from pricegrain.llm.components import components
 from pricegrain.llm.rolling import mix, numbers, range_hashes
 
@@ -74,7 +74,7 @@ def minima(sets: list[np.ndarray], k: int) -> np.ndarray:
 
 def _signed(docs: DataFrame, bands: int) -> DataFrame:
     """(_id, n, s1, s2, bands, sketch): size and 128-bit digest of the set, band keys, and a byte of each minimum."""
-    kind = docs.schema["_id"].dataType.simpleString()
+    own_id, sent, kind = id_type(docs, "_id")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -94,7 +94,8 @@ def _signed(docs: DataFrame, bands: int) -> DataFrame:
                     "bands": band, "sketch": byte,
                 })
 
-    return docs.mapInPandas(sign, f"_id {kind}, n long, s1 long, s2 long, bands array<long>, sketch binary")
+    signed = docs.withColumn("_id", own_id).mapInPandas(sign, f"_id {sent}, n long, s1 long, s2 long, bands array<long>, sketch binary")
+    return signed.withColumn("_id", F.col("_id").cast(kind))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -256,4 +257,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     classes = reps.join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = signed.select("_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("component_id", F.coalesce("component", "_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import ChunkStore
 from pricegrain.llm.bpe import text_batches
-from pricegrain.llm.common import materialize
+from pricegrain.llm.common import id_type, materialize
 
 CAPACITY, END_ID = 1024, 2
 _LOADED: dict = {}
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
 
     All pieces but the first of a document are full, so a document has as few as it can. Null text is empty: end_id alone.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    own_id, sent, kind = id_type(docs, id_col)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, special, whole = _encoder(vocabulary)
@@ -72,8 +72,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                     start = stop
             yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    return texts.mapInPandas(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    texts = docs.select(own_id.alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    pieces = texts.mapInPandas(cut, f"`{id_col}` {sent}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return pieces.withColumn(id_col, F.col(id_col).cast(kind))
 
 
 class Plan:

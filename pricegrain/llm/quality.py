@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricegrain.llm.common import id_type
+
 #: At most so many labelled documents are fitted on, those of the smallest hashed ids; so many lines of each, spread evenly.
 MAX_TRAINING_DOCS, MAX_TRAINING_LINES = 3000, 32
 THRESHOLD = 0.3
@@ -156,11 +158,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def score_quality(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every row; null text scores as empty text, that is as one empty line."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    own, sent, kind = id_type(docs, id_col)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = model.score(pdf[text_col].tolist())
             yield pd.DataFrame({id_col: pdf[id_col], "score": found, "predicted": (found >= THRESHOLD).astype("int32")})
 
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(score, f"`{id_col}` {kind}, score double, predicted int")
+    scored = docs.select(own.alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(score, f"`{id_col}` {sent}, score double, predicted int")
+    return scored.withColumn(id_col, F.col(id_col).cast(kind))

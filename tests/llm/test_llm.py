@@ -404,6 +404,17 @@ def test_licenses(spark):
     assert licenses.license_scan(empty(spark).withColumn("path", F.lit("p"))).count() == 0
 
 
+def test_null_ids_keep_large_ones(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "a b c d e f g h"), (None, None), (1, "a b c d e f g h"), (big, "x y z w v u")], "doc_id long, text string").coalesce(1)
+    model = language.fit_ngrams(["the of and", "der die das"], ["en", "de"])
+    for found in (
+        exact_dedup.exact_dedup(df), line_dedup.line_dedup(df), bpe.bpe_decode(bpe.bpe_encode(df, PATH, PATTERN), PATH), quality.score_quality(df, quality.fit_crf(["a"], [1])), media.media_columns(media.text_media(df)),
+        substring_dedup.substring_dedup(df), near_dedup.near_dedup(df), language.identify(df, model), packing.pack_documents(df, tokenizers.path("byte_bpe_50k.json")), licenses.license_scan(df.withColumn("path", F.lit("p"))),
+    ):
+        assert sorted(r.doc_id or 0 for r in found.select("doc_id").collect()) == [0, 0, 1, big]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
