@@ -23,7 +23,10 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not identified go. The column lang is what they declare, source is their host."""
+    """Documents whose language is not identified go. The column lang is what they declare, source is their host.
+
+    Documents without doc_id go too: no decision can name them.
+    """
     found = identify(docs, train_ngrams(docs), declared=F.col("lang"), host=F.col("source"))
     return docs.join(found.filter("accepted").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
