@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import in_batches
-from pricegrain.llm.common import hot_keys, materialize
+from pricegrain.llm.common import discard, hot_keys, materialize
 from pricegrain.llm.rolling import numbers, range_hashes
 
 #: Repeated chunks go where so many words of them stand in a row.
@@ -96,7 +96,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = rows.join(F.broadcast(hot), ["h1", "h2"], "left")
     cold = marked.filter("first IS NULL").withColumn("nth", F.row_number().over(W.partitionBy("h1", "h2").orderBy("_id", "n")))
     again = marked.filter("first IS NOT NULL").filter(F.struct("_id", "n") != F.col("first")).select("_id", "n").unionByName(cold.filter("nth > 1").select("_id", "n"))
-    return again.groupBy("_id").agg(F.collect_list("n").alias("repeated"))
+    found = materialize(again.groupBy("_id").agg(F.collect_list("n").alias("repeated")), "repeated")
+    discard(rows)
+    return found
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
