@@ -24,10 +24,18 @@ def _digest(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
-def _bitmap(dropped: Column, n_lines: Column) -> Column:
+def _bits(dropped: Column, n_lines: Column) -> Column:
+    """A character for each line, 0 where it is dropped: runs of 1 between the (sorted, distinct) positions, so the work is
+    that of one pass over the lines."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(dropped, F.lit(1), F.size(dropped) - 1))
+    runs = F.zip_with(dropped, before, lambda p, q: F.concat(F.repeat(F.lit("1"), p - q - 1), F.lit("0")))
+    return F.rpad(F.array_join(runs, ""), n_lines, F.lit("1"))
+
+
+def _bitmap(bits: Column, n_lines: Column) -> Column:
     """Binary, first line in the highest bit; 1 keeps. Sixteen lines to each two bytes, the last ones padded with 0."""
-    bits = F.array_join(F.transform(F.sequence(F.lit(0), n_lines - 1), lambda i: F.when(F.array_contains(dropped, i), "0").otherwise("1")), "")
-    words = F.transform(F.sequence(F.lit(1), n_lines, F.lit(16)), lambda i: F.lpad(F.conv(F.rpad(F.substr(bits, i, F.lit(16)), 16, "0"), 2, 16), 4, "0"))
+    padded = F.rpad(bits, (F.ceil(n_lines / 16) * 16).cast("int"), F.lit("0"))
+    words = F.transform(F.regexp_extract_all(padded, F.lit("[01]{16}"), F.lit(0)), lambda w: F.lpad(F.conv(w, 2, 16), 4, "0"))
     return F.unhex(F.array_join(words, ""))
 
 
@@ -46,7 +54,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = (
         rows.join(F.broadcast(at_once), "digest")
         .groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-        .groupBy("digest").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("stays"))
+        .groupBy("digest").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("stays"))
     )
     marked = rows.join(F.broadcast(hot), "digest", "left")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,7 +69,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return (
         marked.filter("n_docs IS NOT NULL").filter(lost).select("doc_id", "pos")
         .unionByName(streamed.filter(lost).select("doc_id", "pos"))
-        .groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
+        .groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     )
 
 
@@ -79,11 +87,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs).withColumnRenamed("doc_id", "_line_dedup_id")
     joined = base.join(drops, base[id_col].eqNullSafe(F.col("_line_dedup_id")), "left").drop("_line_dedup_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains("dropped", i)), "\n")
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return joined.withColumns({
-        "n_lines": n_lines.cast("long"),
+    own = F.filter("dropped", lambda p: p < F.col("n_lines"))  # rows that share an id may have fewer lines
+    bits = _bits(F.col("dropped"), F.col("n_lines"))
+    # array_join leaves nulls out
+    kept = F.array_join(F.zip_with(_lines(text), F.split(bits, ""), lambda line, bit: F.when(bit == "1", line)), "\n")
+    counted = joined.withColumn("n_lines", n_lines).withColumn("dropped", own)
+    return counted.withColumns({
+        "n_lines": F.col("n_lines").cast("long"),
         "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long"),
-        "keep_bitmap": F.when(F.col("dropped").isNotNull(), _bitmap(F.col("dropped"), n_lines)),
+        "keep_bitmap": F.when(F.col("dropped").isNotNull(), _bitmap(bits, F.col("n_lines"))),
         "kept_text": F.when(F.col("dropped").isNull(), text).otherwise(kept),
     }).drop("dropped")

@@ -84,6 +84,22 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    """Half of 150,000 lines go; a cost of lines times dropped lines would not end."""
+    shared = ["this line stands in all of the texts, %d" % i for i in range(75_000)]
+    own = lambda d: "\n".join(x for i, line in enumerate(shared) for x in (line, "own %d %d" % (d, i)))
+    rows = [(d, own(d)) for d in range(3)] + [(3, "\n".join(shared))]
+    check_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_line_dedup_of_shared_ids(spark):
+    """Rows that share an id count as one document and lose the same places, as far as they have them."""
+    line = "a line of more than twenty characters"
+    rows = [(1, line + "\nx"), (1, line), (1, "y"), (2, line), (3, line), (None, line), (None, line)]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 1, 0, line), (0, 1, 0, line), (1, 1, 1, ""), (1, 1, 1, ""), (1, 2, 1, "x"), (2, 1, 1, ""), (3, 1, 0, line)]
+
+
 def reference_ids(text):
     import tiktoken
 
