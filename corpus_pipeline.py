@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrain.llm.common import documents, materialize
+from pricegrain.llm.common import discard, documents, materialize
 from pricegrain.llm.language import identify, train_ngrams
 from pricegrain.llm.line_dedup import line_dedup
 from pricegrain.llm.near_dedup import near_dedup
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Each stage's documents are written, and deleted when the next stage's are."""
+    docs, written = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
