@@ -109,27 +109,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it and stay. Null and empty texts stay as they are (kept_text empty), as do rows without id. Ids are taken as unique;
     rows that share an id are cut at the same chunks. Columns named like the new ones are replaced.
     """
-    new = ("removed_spans", "n_removed_words", "kept_text", "_repeated")
+    new = ("removed_spans", "n_removed_words", "kept_text", "repeated", "_cut")
     base = docs.select(*[c for c in docs.columns if c not in new])
     joined = base.join(repeated_chunks(docs, id_col, text_col), base[id_col] == F.col("_id"), "left").drop("_id")
 
-    @F.pandas_udf("array<struct<start:long,end:long,words:long>>")
-    def spans(texts: pd.Series, repeated: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or r is None else [{"start": a, "end": b, "words": n} for a, b, n in runs(t, list(r), min_words)] for t, r in zip(texts, repeated)])
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        out = []
-        for t, r in zip(texts, removed):
-            if r is not None and len(r):
+    @F.pandas_udf("removed_spans array<struct<start:long,end:long,words:long>>, kept_text string")
+    def cut(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:
+        spans, kept = [], []
+        for t, r in zip(texts, repeated):
+            found = [] if t is None or r is None else runs(t, list(r), min_words)
+            if found:
                 data = t.encode()
-                edges = [0, *(x for s in r for x in (s["start"], s["end"])), len(data)]
+                edges = [0, *(x for a, b, _ in found for x in (a, b)), len(data)]
                 t = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
-            out.append(t or "")
-        return pd.Series(out)
-
-    touched = joined.withColumn("removed_spans", F.when(F.col("repeated").isNotNull(), spans(F.col(text_col), F.col("repeated"))))
-    return touched.drop("repeated").withColumns({
+            spans.append([{"start": a, "end": b, "words": n} for a, b, n in found])
+            kept.append(t if found else None)
+        return pd.DataFrame({"removed_spans": spans, "kept_text": kept})
+
+    # one Python worker a task; texts that hold nothing repeated don't go there
+    hit = F.col("repeated").isNotNull()
+    touched = joined.withColumn("_cut", cut(F.when(hit, F.col(text_col)), F.col("repeated"))).withColumn("removed_spans", F.when(hit, F.col("_cut.removed_spans")))
+    return touched.withColumns({
         "n_removed_words": F.aggregate(F.coalesce("removed_spans", F.array().cast("array<struct<start:long,end:long,words:long>>")), F.lit(0).cast("long"), lambda a, s: a + s["words"]),
-        "kept_text": cut(F.col(text_col), F.col("removed_spans")),
-    })
+        "kept_text": F.coalesce("_cut.kept_text", F.col(text_col), F.lit("")),
+    }).drop("repeated", "_cut")
