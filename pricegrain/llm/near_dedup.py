@@ -20,6 +20,8 @@ WORDS, ROWS = 5, 6
 MISS = 1e-6
 #: Members of a bucket that are compared in one task with one another, or with as many others.
 BLOCK = 1024
+#: Characters that are shingled at once: some 60 bytes of a Python worker's memory each.
+BATCH = 300_000
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -78,7 +80,7 @@ def _signed(docs: DataFrame, bands: int) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start, own in in_batches(pdf["_text"].tolist(), 1_000_000):
+            for start, own in in_batches(pdf["_text"].tolist(), BATCH):
                 sets = shingle_sets(own)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 mins = mix(minima([sets[i] for i in full], bands * ROWS)) if full else np.empty((0, bands * ROWS), _U)
@@ -103,7 +105,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start, own in in_batches(pdf["_text"].tolist(), 1_000_000):
+            for start, own in in_batches(pdf["_text"].tolist(), BATCH):
                 yield pd.DataFrame({"_id": pdf["_id"].iloc[start : start + len(own)].to_numpy(), "shingles": [s.tobytes() for s in shingle_sets(own)]})
 
     return docs.mapInPandas(read, f"_id {kind}, shingles binary")
