@@ -1,4 +1,4 @@
-"""Substring dedup (6): texts are cut where a gear hash of the last bytes says so; chunks that came before are dropped where they run on."""
+"""Substring dedup (6): a gear hash of the last bytes says where the passages begin that are looked up; those that stood earlier in one piece are dropped."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pricegrain.llm.chunks import in_batches
 from pricegrain.llm.common import discard, hot_keys, materialize
 from pricegrain.llm.rolling import numbers, range_hashes
 
-#: Repeated chunks go where so many words of them stand in a row.
+#: What goes stood earlier in pieces of so many words in a row.
 MIN_WORDS = 16
 #: A cut comes before one white space in 4, and, for texts without, at one character in 4096.
 WORD_CUT, PLAIN_CUT = 3, 4095
@@ -40,47 +40,59 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(at) + 1, [len(data)]])
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Words that start in each chunk."""
+def windows(data: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) of the passages of min_words words that are looked up, and the starts of all words. One begins at each
+    chunk and, in a chunk longer than itself, at every fourth word; the last one holds the text's last words to its very end."""
     word = ~_SPACES[data]
-    word[1:] &= _SPACES[data[:-1]]
-    total = np.concatenate([[0], np.cumsum(word)])
-    return total[at[1:]] - total[at[:-1]]
+    edge = np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(begin) < min_words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), begin
+    at = cuts(data)
+    first = np.searchsorted(begin, at)  # of each chunk's words
+    long = np.flatnonzero(np.diff(first) > min_words)
+    inner = [np.arange(first[i] + 4, first[i + 1], 4) for i in long]
+    starts, words = np.concatenate([at[:-1], *(begin[x] for x in inner)]), np.concatenate([first[:-1], *inner])
+    whole = words + min_words <= len(begin)
+    starts, ends = starts[whole], end[words[whole] + min_words - 1]
+    starts, ends = np.append(starts, begin[-min_words] if len(begin) > min_words else 0), np.append(ends, len(data))
+    # numbers follow places, or two copies could each go for the other's sake; no window is there twice
+    starts, ends = np.unique(np.stack([starts, ends]), axis=1)
+    return starts, ends, begin
 
 
 def runs(text: str, repeated: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(first byte, end, words) of each run of repeated chunks that has min_words words or more."""
+    """(first byte, end, words) of what the repeated windows cover together."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
-    at = cuts(data)
-    words = _words(data, at)
-    places = np.array(sorted(set(repeated)), dtype=np.int64)
-    found = []
-    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
-        n = int(words[run[0] : run[-1] + 1].sum())
-        if n >= min_words:
-            found.append((int(at[run[0]]), int(at[run[-1] + 1]), n))
-    return found
+    starts, ends, begin = windows(data, min_words)
+    found: list[list[int]] = []
+    for a, b in ((int(starts[i]), int(ends[i])) for i in sorted(set(repeated))):
+        if found and a <= found[-1][1]:
+            found[-1][1] = max(found[-1][1], b)
+        else:
+            found.append([a, b])
+    return [(a, b, int(np.searchsorted(begin, b) - np.searchsorted(begin, a))) for a, b in found]
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, repeated array<int>): the numbers of a document's chunks that stand earlier too, in a smaller id or before in it.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, repeated array<int>): the numbers of a document's windows that stand earlier too, in a smaller id or before in it.
 
-    What is shuffled of a chunk is its digest of 96 bits, id and number. Digests above the hot share of all rows are
+    What is shuffled of a window is its digest of 96 bits, id and number. Digests above the hot share of all rows are
     settled by a broadcast of their first places, which are summed before the shuffle; at most 1 / share of them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, texts = pdf["_id"].to_numpy(), pdf["_text"].tolist()
             for start, own in in_batches(texts, 1_000_000):
                 parts = [np.frombuffer(t.encode(), dtype=np.uint8) for t in own]
-                found = [cuts(p) for p in parts]
+                found = [windows(p, min_words)[:2] for p in parts]
                 offsets = np.cumsum([0, *map(len, parts)])
                 data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
-                begins = np.concatenate([f[:-1] + o for f, o in zip(found, offsets)])
-                ends = np.concatenate([f[1:] + o for f, o in zip(found, offsets)])
-                sizes = [len(f) - 1 for f in found]
+                begins = np.concatenate([f[0] + o for f, o in zip(found, offsets)])
+                ends = np.concatenate([f[1] + o for f, o in zip(found, offsets)])
+                sizes = [len(f[0]) for f in found]
                 if not sum(sizes):
                     continue
                 yield pd.DataFrame({
@@ -91,11 +103,13 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 })
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text <> ''")
-    rows = materialize(texts.mapInPandas(chunk, f"_id {kind}, n int, h1 long, h2 int"), "chunks")
+    rows = materialize(texts.mapInPandas(look_up, f"_id {kind}, n int, h1 long, h2 int"), "windows")
     hot = rows.join(F.broadcast(hot_keys(rows, "h1")), "h1").groupBy("h1", "h2").agg(F.min(F.struct("_id", "n")).alias("first"))
     marked = rows.join(F.broadcast(hot), ["h1", "h2"], "left")
-    cold = marked.filter("first IS NULL").withColumn("nth", F.row_number().over(W.partitionBy("h1", "h2").orderBy("_id", "n")))
-    again = marked.filter("first IS NOT NULL").filter(F.struct("_id", "n") != F.col("first")).select("_id", "n").unionByName(cold.filter("nth > 1").select("_id", "n"))
+    # rows of hot digests are known by their first places, so they may be spread
+    spread = F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("_id", "n"), F.lit(1024))).otherwise(F.lit(0))
+    numbered = marked.withColumn("nth", F.row_number().over(W.partitionBy("h1", "h2", spread).orderBy("_id", "n")))
+    again = numbered.filter(F.coalesce(F.struct("_id", "n") != F.col("first"), F.col("nth") > 1)).select("_id", "n")
     found = materialize(again.groupBy("_id").agg(F.collect_list("n").alias("repeated")), "repeated")
     discard(rows)
     return found
@@ -104,14 +118,14 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with removed_spans (first byte, end, words), n_removed_words and kept_text.
 
-    A text keeps what it says first: spans of min_words words or more whose chunks all stand in a smaller id, or earlier
-    in the same text, are cut out. Up to a few words at either end of a repeated passage lie in chunks that reach beyond
-    it and stay. Null and empty texts stay as they are (kept_text empty), as do rows without id. Ids are taken as unique;
-    rows that share an id are cut at the same chunks. Columns named like the new ones are replaced.
+    A text keeps what it says first: passages of min_words words that stand, in one piece, in a smaller id too or earlier
+    in the same text are cut out; those that meet are one span. Passages are looked up from the beginnings of chunks, so
+    up to a few words at either end of what is repeated stay. Null and empty texts stay as they are (kept_text empty), as do rows without id. Ids are taken as unique;
+    rows that share an id are cut at the windows of the same numbers. Columns named like the new ones are replaced.
     """
     new = ("removed_spans", "n_removed_words", "kept_text", "repeated", "_cut")
     base = docs.select(*[c for c in docs.columns if c not in new])
-    joined = base.join(repeated_chunks(docs, id_col, text_col), base[id_col] == F.col("_id"), "left").drop("_id")
+    joined = base.join(repeated_windows(docs, id_col, text_col, min_words), base[id_col] == F.col("_id"), "left").drop("_id")
 
     @F.pandas_udf("removed_spans array<struct<start:long,end:long,words:long>>, kept_text string")
     def cut(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:

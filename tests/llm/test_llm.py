@@ -393,6 +393,22 @@ def test_substring_dedup(spark):
         assert b"".join([*left, data[at:]]).decode() == got[i].kept_text
 
 
+def test_substring_keeps_what_no_one_text_said(spark):
+    """Every short piece of the last text stands in some earlier one, in other company; only the copied sentence goes."""
+    rng = random.Random(5)
+    vocabulary = words(40, rng).split()
+    earlier = [(i, " ".join(rng.choice(vocabulary) for _ in range(400))) for i in range(300)]
+    copied = " ".join(earlier[7][1].split()[100:160])
+    new = " ".join(rng.choice(vocabulary) for _ in range(2000))
+    rows = [*earlier, (1000, new), (1001, words(30, rng) + " " + copied + " " + words(30, rng)), (1002, new)]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000].n_removed_words == 0 and got[1000].kept_text == new
+    assert 40 <= got[1001].n_removed_words <= 60 and got[1002].kept_text == ""
+    seen = {i: t for i, t in rows}
+    for s in got[1001].removed_spans:
+        assert seen[1001].encode()[s.start : s.end].decode().strip() in earlier[7][1]
+
+
 def test_chunks_resist_insertion():
     rng = random.Random(1)
     a = words(2000, rng).encode()
