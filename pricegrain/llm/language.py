@@ -56,31 +56,53 @@ class NgramModel:
         return out, np.maximum(letters, 0)
 
 
+def _model(languages: list[str], counts: np.ndarray) -> NgramModel:
+    counts = counts + 0.05
+    return NgramModel(languages, np.log(counts / counts.sum(0)))
+
+
 def fit_ngrams(texts: list[str], languages: list[str]) -> NgramModel:
     known = sorted(set(languages))
-    counts = np.full((1 << BITS, max(1, len(known))), 0.05)
+    counts = np.zeros((1 << BITS, max(1, len(known))))
     for text, lang in zip(texts, languages, strict=True):
         data = _bytes(text)
         if len(data) > 2:
             counts[:, known.index(lang)] += np.bincount(_codes(data), minlength=1 << BITS)
-    return NgramModel(known, np.log(counts / counts.sum(0)))
+    return _model(known, counts)
 
 
 def train_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS) -> NgramModel:
-    """Fit on at most max_docs documents of each language of the column. Documents are dealt by their hashed id; rows without language or text are left out."""
-    rows = docs.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).cast("string").alias("_id"), F.lower(F.trim(lang_col)).alias("_lang"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL AND _text <> '' AND _lang <> ''")
-    chosen = rows.groupBy("_lang").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("_h") < F.lit(_quantile(rows, max_docs)), F.struct("_h", "_id")))), 1, max_docs).alias("_c"))
+    """Fit on at most max_docs documents of each language of the column. Documents are dealt by their hashed id; rows without
+    id, language or text are left out. Trigrams are counted on Spark; the driver gets each language's counts by cell."""
+    rows = docs.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).cast("string").alias("_id"), F.lower(F.trim(lang_col)).alias("_lang"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text <> '' AND _lang <> ''")
+    chosen = _candidates(rows, max_docs).groupBy("_lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("_h", "_id"))), 1, max_docs).alias("_c"))
     chosen = chosen.select("_lang", F.explode("_c").alias("_c")).select("_lang", "_c._h", "_c._id")
-    found = rows.join(F.broadcast(chosen), ["_lang", "_h", "_id"]).collect()
-    found.sort(key=lambda r: (r["_h"], r["_id"]))
-    return fit_ngrams([r["_text"] for r in found], [r["_lang"] for r in found])
 
-
-def _quantile(rows: DataFrame, max_docs: int) -> int:
-    """Hash below which every language has max_docs rows, or all its rows, by the rarest language's share."""
-    counts = [r[1] for r in rows.groupBy("_lang").count().collect()]
-    share = max([min(1.0, 2.0 * max_docs / c) for c in counts], default=1.0)
-    return min(2**63 - 1, int(-(2**63) + share * 2**64))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lang, own in pdf.groupby("_lang")["_text"]:
+                total = np.zeros(1 << BITS, dtype=np.int64)
+                for text in own:
+                    data = _bytes(text)
+                    if len(data) > 2:
+                        total += np.bincount(_codes(data), minlength=1 << BITS)
+                cells = np.flatnonzero(total)
+                cells = cells if len(cells) else np.zeros(1, dtype=np.int64)  # a language without letters is one, too
+                yield pd.DataFrame({"_lang": lang, "cell": cells.astype(np.int32), "n": total[cells]})
+
+    found = rows.join(F.broadcast(chosen), ["_lang", "_h", "_id"]).select("_lang", "_text").mapInPandas(count, "_lang string, cell int, n long")
+    table = found.groupBy("_lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    known = sorted(set(table["_lang"]))
+    counts = np.zeros((1 << BITS, max(1, len(known))))
+    counts[table["cell"].to_numpy(dtype=np.int64), np.searchsorted(known, table["_lang"].tolist()) if known else []] = table["n"].to_numpy()
+    return _model(known, counts)
+
+
+def _candidates(rows: DataFrame, max_docs: int) -> DataFrame:
+    """(_lang, _h, _id) of about twice max_docs documents of each language, by a limit to the hash of its own."""
+    shares = rows.groupBy("_lang").agg((2.0 * max_docs / F.count("*")).alias("_share"))
+    place = F.col("_h").cast("double") / F.lit(2.0**64) + 0.5
+    return rows.select("_lang", "_h", "_id").join(F.broadcast(shares), "_lang").filter((F.col("_share") >= 1) | (place < F.col("_share"))).select("_lang", "_h", "_id")
 
 
 def _normal(logs: Column) -> Column:

@@ -296,6 +296,22 @@ def test_language(spark):
     assert language.identify(odd(spark), model).count() == odd(spark).count() and language.identify(empty(spark), model).count() == 0
 
 
+def test_training_beside_a_rare_language(spark, monkeypatch):
+    """A language of one row leaves the others' samples as small as they are; whole texts stay on Spark."""
+    rows = [(i, words(20, random.Random(i)), "en") for i in range(4000)] + [(5000, "der die das", "de"), (5001, "12", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    chosen = sorted(rows[:4000], key=lambda r: (hashed[r[0]], str(r[0])))[:40] + rows[4000:]
+    brute = language.fit_ngrams([r[1] for r in chosen], [r[2] for r in chosen])
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "collect", lambda self: pytest.fail("rows go to the driver"))
+        got = language.train_ngrams(docs, max_docs=40)
+    assert got.languages == brute.languages == ["de", "en", "xx"] and np.array_equal(got.table, brute.table)
+    keyed = docs.select(F.xxhash64("doc_id").alias("_h"), F.col("doc_id").cast("string").alias("_id"), F.col("lang").alias("_lang"))
+    held = {r._lang: r["count"] for r in language._candidates(keyed, 40).groupBy("_lang").count().collect()}
+    assert 40 <= held["en"] <= 160 and held["de"] == held["xx"] == 1
+
+
 def brute_components(rows, percent):
     sets = {}
     for i, t in rows:
