@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import in_batches
-from pricegrain.llm.common import discard, hot_keys, materialize
-from pricegrain.llm.rolling import numbers, range_hashes
+from pricegrain.llm.common import discard, fresh, hot_keys, materialize
+from pricegrain.llm.rolling import PIECE, numbers, range_hashes
 
 #: What goes stood earlier in pieces of so many words in a row.
 MIN_WORDS = 16
@@ -26,91 +26,104 @@ _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 def cuts(data: np.ndarray) -> np.ndarray:
     """Starts of the chunks and the end. The gear hash of a place is the sum of the table's entries of the 16 bytes before
     it, each shifted once more the further back it lies, so that a cut depends on these bytes alone: an insertion moves
-    the cuts next to it and no others."""
+    the cuts next to it and no others. Long texts are gone through piece by piece."""
     if not len(data):
         return np.zeros(1, dtype=np.int64)
-    h = _GEAR[data]
-    for step in (1, 2, 4, 8):
-        shifted = np.zeros_like(h)
-        shifted[step:] = h[:-step] << np.uint64(step)
-        h = h + shifted
-    top = (h >> np.uint64(4)).astype(np.uint32)  # of the bytes up to and with each place
-    here, last = data[1:], top[:-1]
-    at = (_SPACES[here] & ~_SPACES[data[:-1]] & ((last >> 8) & WORD_CUT == 0)) | (((last >> 4) & PLAIN_CUT == 0) & ((here & 0xC0) != 0x80))
-    return np.concatenate([[0], np.flatnonzero(at) + 1, [len(data)]])
+    found = [np.zeros(1, dtype=np.int64)]
+    for piece in range(0, len(data), PIECE):
+        a = max(0, piece - 16)  # the bytes before the piece that its cuts depend on
+        own = data[a : piece + PIECE]
+        h = _GEAR[own]
+        for step in (1, 2, 4, 8):
+            shifted = np.zeros_like(h)
+            shifted[step:] = h[:-step] << np.uint64(step)
+            h = h + shifted
+        top = (h >> np.uint64(4)).astype(np.uint32)  # of the bytes up to and with each place
+        here, last = own[1:], top[:-1]
+        at = (_SPACES[here] & ~_SPACES[own[:-1]] & ((last >> 8) & WORD_CUT == 0)) | (((last >> 4) & PLAIN_CUT == 0) & ((here & 0xC0) != 0x80))
+        places = np.flatnonzero(at) + 1 + a
+        found.append(places[places >= max(piece, 1)])
+    return np.concatenate([*found, [len(data)]])
 
 
 def windows(data: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends) of the passages of min_words words that are looked up, and the starts of all words. One begins at each
-    chunk and, in a chunk longer than itself, at every fourth word; the last one holds the text's last words to its very end."""
+    """(first words of the passages of min_words words that are looked up, starts of all words, their ends). A passage
+    begins with the first whole word of each chunk and, in a chunk longer than itself, at every fourth word; the last one
+    holds the text's last words."""
     word = ~_SPACES[data]
-    edge = np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
+    edge = np.diff(word.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(begin) < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.int64), begin
-    at = cuts(data)
-    first = np.searchsorted(begin, at)  # of each chunk's words
+        return np.empty(0, np.int64), begin, end
+    first = np.searchsorted(begin, cuts(data))  # of each chunk's words
     long = np.flatnonzero(np.diff(first) > min_words)
     inner = [np.arange(first[i] + 4, first[i + 1], 4) for i in long]
-    starts, words = np.concatenate([at[:-1], *(begin[x] for x in inner)]), np.concatenate([first[:-1], *inner])
-    whole = words + min_words <= len(begin)
-    starts, ends = starts[whole], end[words[whole] + min_words - 1]
-    starts, ends = np.append(starts, begin[-min_words] if len(begin) > min_words else 0), np.append(ends, len(data))
-    # numbers follow places, or two copies could each go for the other's sake; no window is there twice
-    starts, ends = np.unique(np.stack([starts, ends]), axis=1)
-    return starts, ends, begin
+    words = np.unique(np.concatenate([first[:-1], *inner, [len(begin) - min_words]]))
+    return words[words + min_words <= len(begin)], begin, end
 
 
 def runs(text: str, repeated: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(first byte, end, words) of what the repeated windows cover together."""
+    """(first byte, end, words) of what the repeated passages cover together. White space before a passage goes with it, and
+    so does what ends the text."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
-    starts, ends, begin = windows(data, min_words)
+    words, begin, end = windows(data, min_words)
     found: list[list[int]] = []
-    for a, b in ((int(starts[i]), int(ends[i])) for i in sorted(set(repeated))):
-        if found and a <= found[-1][1]:
-            found[-1][1] = max(found[-1][1], b)
+    for w in words[[i for i in sorted(set(repeated)) if i < len(words)]].tolist():
+        if found and w <= found[-1][1]:
+            found[-1][1] = w + min_words
         else:
-            found.append([a, b])
-    return [(a, b, int(np.searchsorted(begin, b) - np.searchsorted(begin, a))) for a, b in found]
+            found.append([w, w + min_words])
+    return [(int(end[a - 1]) if a else 0, len(data) if b == len(begin) else int(end[b - 1]), b - a) for a, b in found]
+
+
+def _row_key(text: Column | str) -> Column:
+    """32 bits of a text; with the id they tell rows apart that share it."""
+    return F.hash(text)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, repeated array<int>): the numbers of a document's windows that stand earlier too, in a smaller id or before in it.
+    """(_id, _key, repeated array<int>): the numbers of a row's passages that stand earlier too, in a smaller (id, key) or
+    before in it. Rows alike in id and text are one.
 
-    What is shuffled of a window is its digest of 96 bits, id and number. Digests above the hot share of all rows are
-    settled by a broadcast of their first places, which are summed before the shuffle; at most 1 / share of them.
+    What is shuffled of a passage is its digest of 96 bits, the id, and the key and number in one. Digests above the hot
+    share of all rows are settled by a broadcast of their first places, which are summed before the shuffle; at most
+    1 / share of them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, texts = pdf["_id"].to_numpy(), pdf["_text"].tolist()
+            ids, keys, texts = pdf["_id"].to_numpy(), pdf["_key"].to_numpy(dtype=np.int64), pdf["_text"].tolist()
             for start, own in in_batches(texts, 1_000_000):
                 parts = [np.frombuffer(t.encode(), dtype=np.uint8) for t in own]
-                found = [windows(p, min_words)[:2] for p in parts]
-                offsets = np.cumsum([0, *map(len, parts)])
-                data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
-                begins = np.concatenate([f[0] + o for f, o in zip(found, offsets)])
-                ends = np.concatenate([f[1] + o for f, o in zip(found, offsets)])
-                sizes = [len(f[0]) for f in found]
+                begins, ends, sizes, offset = [], [], [], 0
+                for data in parts:
+                    words, begin, end = windows(data, min_words)
+                    begins.append(begin[words] + offset)
+                    ends.append(end[words + min_words - 1] + offset)
+                    sizes.append(len(words))
+                    offset += len(data)
                 if not sum(sizes):
                     continue
+                data, begins, ends = np.concatenate(parts), np.concatenate(begins), np.concatenate(ends)
+                numbered = np.concatenate([np.arange(s, dtype=np.int64) for s in sizes])
+                rows = slice(start, start + len(own))
                 yield pd.DataFrame({
-                    "_id": np.repeat(ids[start : start + len(own)], sizes),
-                    "n": np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
+                    "_id": np.repeat(ids[rows], sizes), "place": np.repeat(keys[rows] << 32, sizes) | numbered,
                     "h1": range_hashes(data, begins, ends, 1).view(np.int64),
                     "h2": (range_hashes(data, begins, ends, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32),
                 })
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text <> ''")
-    rows = materialize(texts.mapInPandas(look_up, f"_id {kind}, n int, h1 long, h2 int"), "windows")
-    hot = rows.join(F.broadcast(hot_keys(rows, "h1")), "h1").groupBy("h1", "h2").agg(F.min(F.struct("_id", "n")).alias("first"))
-    marked = rows.join(F.broadcast(hot), ["h1", "h2"], "left")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text <> ''").withColumn("_key", _row_key("_text"))
+    rows = materialize(texts.mapInPandas(look_up, f"_id {kind}, place long, h1 long, h2 int"), "windows")
+    hot = rows.join(F.broadcast(hot_keys(rows, "h1")), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("_id", "place")).alias("first"))
+    met = rows.join(F.broadcast(hot), ["h1", "h2"], "left")
     # rows of hot digests are known by their first places, so they may be spread
-    spread = F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("_id", "n"), F.lit(1024))).otherwise(F.lit(0))
-    numbered = marked.withColumn("nth", F.row_number().over(W.partitionBy("h1", "h2", spread).orderBy("_id", "n")))
-    again = numbered.filter(F.coalesce(F.struct("_id", "n") != F.col("first"), F.col("nth") > 1)).select("_id", "n")
-    found = materialize(again.groupBy("_id").agg(F.collect_list("n").alias("repeated")), "repeated")
+    spread = F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("_id", "place"), F.lit(1024))).otherwise(F.lit(0))
+    least = F.first(F.struct("_id", "place")).over(W.partitionBy("h1", "h2", spread).orderBy("_id", "place"))
+    again = met.withColumn("first", F.coalesce("first", least)).filter(F.struct("_id", "place") != F.col("first"))
+    number, key = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("place", 32).cast("int")
+    found = materialize(again.groupBy("_id", key.alias("_key")).agg(F.collect_set(number).alias("repeated")), "repeated")
     discard(rows)
     return found
 
@@ -119,13 +132,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with removed_spans (first byte, end, words), n_removed_words and kept_text.
 
     A text keeps what it says first: passages of min_words words that stand, in one piece, in a smaller id too or earlier
-    in the same text are cut out; those that meet are one span. Passages are looked up from the beginnings of chunks, so
-    up to a few words at either end of what is repeated stay. Null and empty texts stay as they are (kept_text empty), as do rows without id. Ids are taken as unique;
-    rows that share an id are cut at the windows of the same numbers. Columns named like the new ones are replaced.
+    in the same text are cut out; those that meet are one span. White space between words counts. Passages are looked up
+    from the beginnings of chunks, so up to a few words at either end of what is repeated stay.
+
+    Null and empty texts stay as they are (kept_text empty), as do rows without id. Rows that share an id but not the text
+    are rows of their own, ordered by a hash of the text; rows alike in both are one document and all keep what it keeps:
+    no text is lost for its own repetition (exact dedup is for that). An empty table gives no rows. Columns named like the
+    new ones are replaced; any other names may occur.
     """
-    new = ("removed_spans", "n_removed_words", "kept_text", "repeated", "_cut")
+    new = ("removed_spans", "n_removed_words", "kept_text")
     base = docs.select(*[c for c in docs.columns if c not in new])
-    joined = base.join(repeated_windows(docs, id_col, text_col, min_words), base[id_col] == F.col("_id"), "left").drop("_id")
+    own_id, own_key, rep, cut_col = (fresh(c, [*docs.columns, *new]) for c in ("_passage_id", "_passage_key", "_passages", "_passage_cut"))
+    found = repeated_windows(docs, id_col, text_col, min_words).toDF(own_id, own_key, rep)
+    joined = base.join(found, (base[id_col] == F.col(own_id)) & (_row_key(base[text_col]) == F.col(own_key)), "left").drop(own_id, own_key)
 
     @F.pandas_udf("removed_spans array<struct<start:long,end:long,words:long>>, kept_text string")
     def cut(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:
@@ -141,9 +160,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame({"removed_spans": spans, "kept_text": kept})
 
     # one Python worker a task; texts that hold nothing repeated don't go there
-    hit = F.col("repeated").isNotNull()
-    touched = joined.withColumn("_cut", cut(F.when(hit, F.col(text_col)), F.col("repeated"))).withColumn("removed_spans", F.when(hit, F.col("_cut.removed_spans")))
+    hit = F.col(rep).isNotNull()
+    touched = joined.withColumn(cut_col, cut(F.when(hit, F.col(text_col)), F.col(rep))).withColumn("removed_spans", F.when(hit, F.col(f"{cut_col}.removed_spans")))
     return touched.withColumns({
         "n_removed_words": F.aggregate(F.coalesce("removed_spans", F.array().cast("array<struct<start:long,end:long,words:long>>")), F.lit(0).cast("long"), lambda a, s: a + s["words"]),
-        "kept_text": F.coalesce("_cut.kept_text", F.col(text_col), F.lit("")),
-    }).drop("repeated", "_cut")
+        "kept_text": F.coalesce(F.col(f"{cut_col}.kept_text"), F.col(text_col), F.lit("")),
+    }).drop(rep, cut_col)
