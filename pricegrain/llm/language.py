@@ -15,8 +15,15 @@ from pricegrain.llm.common import id_type, materialize
 #: The text model is fitted on at most so many documents of each language, those of the smallest hashed ids.
 MAX_TRAINING_DOCS = 400
 BITS = 15
-#: Characters of evidence after which more text adds no certainty: n-grams of one text are not independent.
+#: Bytes of evidence after which more text adds no certainty, as n-grams of one text are not independent: the log
+#: likelihoods of a longer text, all of which is read, are scaled to those of so many bytes. A parameter of the model.
 ENOUGH = 400.0
+# Three-letter codes (ISO 639-2, both forms) of languages that have a two-letter code.
+THREE_LETTERS = {
+    "ara": "ar", "ces": "cs", "cze": "cs", "chi": "zh", "zho": "zh", "dan": "da", "deu": "de", "ger": "de", "ell": "el", "gre": "el", "eng": "en", "fin": "fi", "fra": "fr", "fre": "fr",
+    "heb": "he", "hin": "hi", "hun": "hu", "ind": "id", "ita": "it", "jpn": "ja", "kor": "ko", "nld": "nl", "dut": "nl", "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro",
+    "rus": "ru", "spa": "es", "swe": "sv", "tha": "th", "tur": "tr", "ukr": "uk", "vie": "vi",
+}
 #: Rows that a parent's shares count for in a host's prior.
 PRIOR_ROWS = 20.0
 #: A language is accepted from this posterior on, if the text holds a letter at all.
@@ -28,6 +35,12 @@ def _codes(text: bytes) -> np.ndarray:
     return ((b[:-2] * 65536 + b[1:-1] * 256 + b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
+def _pieces(text: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text as what _bytes makes of it; a long one in pieces, so that no more than one is worked on at a time."""
+    for at in range(0, max(1, len(text)), size):
+        yield _bytes(text[at : at + size])
+
+
 def _bytes(text: str) -> bytes:
     """Lower case, anything but letters a space; one space at each end."""
     low = text.lower()
@@ -42,18 +55,23 @@ class NgramModel:
 
     languages: list[str]
     table: np.ndarray  # [cells, languages]
+    enough: float = ENOUGH
 
     def log_likelihood(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over each whole text [n, languages], scaled down beyond ENOUGH trigrams; numbers of letters."""
+        """Sums over each whole text [n, languages], scaled down beyond `enough` bytes; numbers of letters."""
         out, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
-            data = _bytes(t)
-            letters[i] = len(data) - 1 - data.count(b" ")
+            n = 0
+            for data in _pieces(t):
+                own = len(data) - data.count(b" ") - int(((np.frombuffer(data, dtype=np.uint8) & 0xC0) == 0x80).sum())
+                if own > 0:
+                    counts = np.bincount(_codes(data), minlength=1) if len(data) > 4 << BITS else None
+                    out[i] += self.table[: len(counts)].T @ counts if counts is not None else self.table[_codes(data)].sum(0)
+                    letters[i] += own
+                    n += len(data)
             if letters[i] > 0:
-                counts = np.bincount(_codes(data), minlength=1) if len(data) > 4 << BITS else None
-                found = self.table[: len(counts)].T @ counts if counts is not None else self.table[_codes(data)].sum(0)
-                out[i] = found * min(1.0, ENOUGH / len(data))
-        return out, np.maximum(letters, 0)
+                out[i] *= min(1.0, self.enough / n)
+        return out, letters
 
 
 def _model(languages: list[str], counts: np.ndarray) -> NgramModel:
@@ -65,15 +83,15 @@ def fit_ngrams(texts: list[str], languages: list[str]) -> NgramModel:
     known = sorted(set(languages))
     counts = np.zeros((1 << BITS, max(1, len(known))))
     for text, lang in zip(texts, languages, strict=True):
-        data = _bytes(text)
-        if len(data) > 2:
+        for data in (x for x in _pieces(text) if len(x) > 2):
             counts[:, known.index(lang)] += np.bincount(_codes(data), minlength=1 << BITS)
     return _model(known, counts)
 
 
 def train_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS) -> NgramModel:
     """Fit on at most max_docs documents of each language of the column. Documents are dealt by their hashed id; rows without
-    id, language or text are left out. Trigrams are counted on Spark; the driver gets each language's counts by cell."""
+    id, language or text are left out. Trigrams are counted on Spark; the driver gets each language's counts by cell. A
+    table without any such row gives a model of no language."""
     rows = docs.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).cast("string").alias("_id"), F.lower(F.trim(lang_col)).alias("_lang"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text <> '' AND _lang <> ''")
     chosen = _candidates(rows, max_docs).groupBy("_lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("_h", "_id"))), 1, max_docs).alias("_c"))
     chosen = chosen.select("_lang", F.explode("_c").alias("_c")).select("_lang", "_c._h", "_c._id")
@@ -83,8 +101,7 @@ def train_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for lang, own in pdf.groupby("_lang")["_text"]:
                 total = np.zeros(1 << BITS, dtype=np.int64)
                 for text in own:
-                    data = _bytes(text)
-                    if len(data) > 2:
+                    for data in (x for x in _pieces(text) if len(x) > 2):
                         total += np.bincount(_codes(data), minlength=1 << BITS)
                 cells = np.flatnonzero(total)
                 cells = cells if len(cells) else np.zeros(1, dtype=np.int64)  # a language without letters is one, too
@@ -126,12 +143,29 @@ def identify(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_co
     these by all rows', summed before they are shuffled. How far declarations and hints can be trusted is counted over
     all rows: P(declared | language). Each is optional and may be null or an unknown language, which is one value more.
 
-    A row whose text holds no letter has no evidence of its own; it gets the prior's language and is not accepted. Null
-    text counts as empty. Other columns are ignored, whatever their names. An empty table gives no rows.
+    A declaration or hint is a language of the model as it stands, or by its first subtag (de-AT, de_AT), or as a
+    three-letter code of it. A row whose text holds no letter has no evidence of its own; it gets the prior's language and
+    is not accepted. Null text counts as empty. Repeated rows and ids give repeated rows, each of which counts in the
+    priors. Other columns are ignored, whatever their names. An empty table gives no rows; a model of no language gives
+    every row a null language and accepts none.
     """
     langs, k = model.languages, len(model.languages)
     null = F.lit(None).cast("string")
-    code = lambda c: F.when(F.lower(F.substr(F.trim(c), F.lit(1), F.lit(2))).isin(langs), F.lower(F.substr(F.trim(c), F.lit(1), F.lit(2)))).when(c.isNotNull(), F.lit("?"))
+    if not langs:
+        return docs.select(
+            id_col, null.alias("lang_id"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("letters"),
+            null.alias("text_lang"), F.create_map().cast("map<string,double>").alias("posteriors"),
+        )
+
+    def code(c: Column) -> Column:
+        whole = F.lower(F.trim(c))
+        part = F.regexp_extract(whole, "^[^-_]*", 0)
+        known = {three: two for three, two in THREE_LETTERS.items() if two in langs and three not in langs}
+        said = F.when(whole.isin(langs), whole).when(part.isin(langs), part)
+        for three, two in known.items():
+            said = said.when(part == three, F.lit(two))
+        return said.when(c.isNotNull(), F.lit("?"))
+
     own_id, sent, kind = id_type(docs, id_col)
     given = docs.select(
         own_id.alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), code(declared if declared is not None else null).alias("_declared"),

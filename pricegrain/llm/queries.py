@@ -82,7 +82,7 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
     return identify(
         pages.select("page_id", "url", "html", body.alias("body")), train_ngrams(documents(spark, sf_dir)), "page_id", "body",
-        declared=F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]{2})", 1), F.lit("")),
+        declared=F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]{2,3}(?:[-_][A-Za-z0-9]+)*)", 1), F.lit("")),
         host=F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), hint=F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1), F.lit("")),
     )
 
