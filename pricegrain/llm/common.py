@@ -115,9 +115,10 @@ def left_join_skewed(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left with right's columns, where right has one row a key at most. The rows of left's hot keys meet theirs in a
     broadcast of as many rows as there can be hot keys; the others are shuffled. left is read more than once."""
     others = [c for c in right.columns if c != key]
-    hot = right.join(F.broadcast(hot_keys(left.filter(F.col(key).isNotNull()), key)), key, "left_semi")
     flag = fresh("_hot", [*left.columns, *right.columns])
-    marked = left.join(F.broadcast(hot.withColumn(flag, F.lit(True))), key, "left")
-    at_once = marked.filter(flag).select(*left.columns, *others)
-    rest = marked.filter(F.col(flag).isNull()).select(*left.columns).join(right, key, "left").select(*left.columns, *others)
+    keys = hot_keys(left.filter(F.col(key).isNotNull()), key)
+    hot = keys.join(F.broadcast(right.join(F.broadcast(keys), key, "left_semi")), key, "left").withColumn(flag, F.lit(True))
+    met = left.join(F.broadcast(hot), key, "left")
+    at_once = met.filter(flag).select(*left.columns, *others)
+    rest = met.filter(F.col(flag).isNull()).select(*left.columns).join(right, key, "left").select(*left.columns, *others)
     return at_once.unionByName(rest)

@@ -108,29 +108,44 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_byte_bp
 _SPACE = r"[\x20\x09-\x0D]"
 
 
-
 def _templates_sql() -> str:
-    from pricegrain.llm.licenses import TEMPLATES
+    from pricegrain.llm.license_texts import TEMPLATES
 
     return ", ".join("({}, '{}', '{}')".format(i, name, phrase.lower().replace("'", "''")) for i, (name, phrase) in enumerate(TEMPLATES))
 
 
+def _refinements_sql() -> str:
+    from pricegrain.llm.license_texts import TEMPLATES
+    from pricegrain.llm.licenses import refinements
+
+    return ", ".join(f"('{a}', '{b}')" for a, b in refinements(TEMPLATES))
+
+
 ORACLE = {
     "op1_license_scan": f"""
-WITH templates(template, license, phrase) AS (VALUES {_templates_sql()}),
-term AS (SELECT DISTINCT template, license, t FROM (SELECT template, license, unnest(regexp_split_to_array(phrase, '[^a-z0-9]+')) AS t FROM templates) WHERE t <> ''),
+WITH templates(template, license, phrase) AS (VALUES {_templates_sql()}), finer(general, special) AS (VALUES {_refinements_sql()}),
+term AS (SELECT template, license, t, count(*) AS tf FROM (SELECT template, license, unnest(regexp_split_to_array(phrase, '[^a-z0-9]+')) AS t FROM templates) WHERE t <> '' GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM templates),
 idf AS (SELECT t, ln((SELECT n + 1.0 FROM n) / (count(*) + 1)) + 1 AS idf FROM term GROUP BY t),
-weight AS (SELECT template, license, t, idf, idf / sqrt(sum(idf * idf) OVER (PARTITION BY template)) AS weight FROM term JOIN idf USING (t)),
+weight AS (SELECT template, license, t, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight, regexp_full_match(t, '[0-9]{{1,2}}') AS version FROM term JOIN idf USING (t)),
+needed AS (SELECT template, count(*) FILTER (version) AS needed FROM weight GROUP BY template),
 files AS (
   SELECT doc_id, text, CASE len(string_split(coalesce(text, ''), chr(10))) WHEN 1 THEN source || '/LICENSE' WHEN 2 THEN source || '/' || doc_id // 500 || '/LICENSE' ELSE source || '/' || doc_id // 500 || '/' || doc_id || '.txt' END AS path FROM documents
 ),
-line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM files),
-words AS (SELECT DISTINCT doc_id, line_no, t FROM (SELECT doc_id, line_no, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS t FROM line) WHERE t <> ''),
-size AS (SELECT doc_id, line_no, sqrt(sum(power(coalesce(idf, ln((SELECT n + 1.0 FROM n)) + 1), 2))) AS length FROM words LEFT JOIN idf USING (t) GROUP BY ALL),
-dot AS (SELECT doc_id, line_no, template, license, sum(idf * weight) AS dot FROM words JOIN weight USING (t) GROUP BY ALL),
-scored AS (SELECT doc_id, line_no, template, license, round(dot / length, 9) AS cosine FROM dot JOIN size USING (doc_id, line_no) WHERE round(dot / length, 9) >= 0.7),
-own AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, line_no, template) = 1),
+line AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM files),
+words AS (SELECT doc_id, line_no, t, count(*) AS tf FROM (SELECT doc_id, line_no, unnest(regexp_split_to_array(line, '[^a-z0-9]+')) AS t FROM line) WHERE t <> '' GROUP BY ALL),
+likely AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM (SELECT doc_id, line_no FROM words LEFT JOIN idf USING (t) GROUP BY ALL HAVING count(idf) > 0 AND 2 * count(idf) >= count(*))),
+own_words AS (SELECT * FROM words JOIN likely USING (doc_id, line_no)),
+long AS (SELECT doc_id, block, min(line_no) AS pos FROM likely GROUP BY ALL HAVING count(*) > 1),
+units AS (SELECT doc_id, 0 AS kind, line_no AS pos, t, tf FROM own_words UNION ALL SELECT doc_id, 1, any_value(pos), t, sum(tf) FROM own_words JOIN long USING (doc_id, block) GROUP BY doc_id, block, t),
+weighed AS (SELECT units.*, idf, tf * coalesce(idf, ln((SELECT n + 1.0 FROM n)) + 1) AS w FROM units LEFT JOIN idf USING (t)),
+size AS (SELECT doc_id, kind, pos, sqrt(sum(w * w)) AS length FROM weighed GROUP BY ALL HAVING count(idf) > 1),
+dot AS (SELECT doc_id, kind, pos, template, license, sum(w * weight) AS dot, count(*) FILTER (version) AS versions FROM weighed JOIN weight USING (t) GROUP BY ALL),
+scored AS (SELECT doc_id, kind, pos, template, license, round(dot / length, 9) AS cosine FROM dot JOIN size USING (doc_id, kind, pos) JOIN needed USING (template) WHERE versions = needed AND round(dot / length, 9) >= 0.7),
+each AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, pos, kind, template) AS place FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY cosine DESC, pos, kind, template) = 1),
+top AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) = 1),
+once AS (SELECT t.doc_id, coalesce(e.license, t.license) AS license, coalesce(e.cosine, t.cosine) AS cosine, coalesce(e.pos, t.pos) AS pos FROM top t LEFT JOIN (SELECT e.*, general FROM each e JOIN finer ON special = e.license) e ON e.doc_id = t.doc_id AND e.general = t.license QUALIFY row_number() OVER (PARTITION BY t.doc_id ORDER BY e.place) = 1),
+own AS (SELECT t.doc_id, coalesce(e.license, t.license) AS license, coalesce(e.cosine, t.cosine) AS cosine, coalesce(e.pos, t.pos) AS line_no FROM once t LEFT JOIN (SELECT e.*, general FROM each e JOIN finer ON special = e.license) e ON e.doc_id = t.doc_id AND e.general = t.license QUALIFY row_number() OVER (PARTITION BY t.doc_id ORDER BY e.place) = 1),
 known AS (SELECT doc_id, path, license AS own_license, cosine, line_no, regexp_replace(path, '/[^/]*$', '') AS dir FROM files LEFT JOIN own USING (doc_id)),
 granted AS (SELECT dir AS ancestor, own_license AS dir_license FROM known WHERE path LIKE '%/LICENSE' AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, doc_id) = 1),
 above AS (SELECT doc_id, ancestor, dir_license FROM known JOIN granted ON ancestor = dir OR starts_with(dir, ancestor || '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(ancestor) DESC) = 1)
