@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import in_batches
-from pricegrain.llm.common import LOWER, UPPER, discard, id_type, materialize
+from pricegrain.llm.common import LOWER, UPPER, discard, hot_support, id_type, materialize
 from pricegrain.llm.components import components
 from pricegrain.llm.rolling import mix, numbers, range_hashes
 
@@ -181,7 +181,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document's set are its distinct shingles of five words (words: runs of anything but white space, A-Z lower-cased);
     fewer words make one shingle, no words (null text too) an empty set, which is linked with nothing. Two are linked if
     100 * intersection >= percent * union; component_id is the smallest id reachable by links, kept tells the rows that
-    have it. Rows that share an id are copies of one document as long as their texts are alike; ids should be unique.
+    have it. Rows that share an id are copies of one document as long as their texts are alike; ids should be unique. An
+    empty table gives no rows; other columns are ignored, whatever their names.
 
     Equal sets are found by digest and stand for one. Buckets of a band link each member to the smallest first (as many
     candidates as rows, checked by signature, then on the whole sets). What is then left are buckets that hold several
@@ -195,7 +196,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = _least_matches(threshold, bands * ROWS)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     signed = materialize(_signed(texts, bands), "signatures")
-    reps = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep"))
+    reps = materialize(signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")), "classes")
     first = materialize(signed.join(reps.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").filter("n > 0").dropDuplicates(["_id"]).select("_id", "bands", "sketch"), "first")
 
     keyed = first.select("_id", F.explode("bands").alias("key"))
@@ -257,6 +258,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = components(links.unionByName(more)).withColumnsRenamed({"node": "rep"})
     discard(first, members, close, sets, links, open_rows, hits, more)  # what is returned reads the signatures and the components
 
-    classes = reps.join(final, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = signed.select("_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").withColumn("component_id", F.coalesce("component", "_id"))
+    classes = materialize(reps.join(final, "rep", "left").select("n", "s1", "s2", "copies", F.coalesce("component", "rep").alias("component")), "classes")
+    discard(reps)
+    rows = signed.select("_id", "n", "s1", "s2")
+    # sets of very many copies meet their component in a broadcast, at most 1 / share of them; empty sets meet nothing
+    total = signed.agg(F.count("*")).first()[0]
+    hot = classes.filter(F.col("copies") > hot_support(docs.sparkSession) * total).select("n", "s1", "s2", F.col("component").alias("hot"))
+    met = rows.filter("n > 0").join(F.broadcast(hot), ["n", "s1", "s2"], "left")
+    cold = met.filter("hot IS NULL").drop("hot").join(classes.drop("copies"), ["n", "s1", "s2"], "left").select("_id", "n", "component")
+    out = cold.unionByName(met.filter("hot IS NOT NULL").select("_id", "n", F.col("hot").alias("component"))).unionByName(rows.filter("n = 0").select("_id", "n", F.col("_id").alias("component")))
+    out = out.withColumn("component_id", F.coalesce("component", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
