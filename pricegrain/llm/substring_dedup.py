@@ -116,7 +116,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text <> ''").withColumn("_key", _row_key("_text"))
     rows = materialize(texts.mapInPandas(look_up, f"_id {kind}, place long, h1 long, h2 int"), "windows")
-    hot = rows.join(F.broadcast(hot_keys(rows, "h1")), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("_id", "place")).alias("first"))
+    often = [r[0] for r in hot_keys(rows, "h1").collect()]  # at most 1 / share numbers
+    hot = rows.filter(F.col("h1").isin(often) if often else F.lit(False)).groupBy("h1", "h2").agg(F.min(F.struct("_id", "place")).alias("first"))
     met = rows.join(F.broadcast(hot), ["h1", "h2"], "left")
     # rows of hot digests are known by their first places, so they may be spread
     spread = F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("_id", "place"), F.lit(1024))).otherwise(F.lit(0))
