@@ -13,8 +13,9 @@ def _col(x: Value) -> Column:
 
 
 def format_currency(value: Value, decimals: int = 0, symbol: str = "$") -> Column:
-    """$36.990 - dots between thousands, a comma before decimals; a dash for null."""
-    return F.coalesce(F.concat(F.lit(symbol), F.translate(F.format_number(_col(value), decimals), ",.", ".,")), F.lit("—"))
+    """$36.990 - dots between thousands, a comma before decimals; a dash for null. Halves go away from zero, as the
+    amount is written in decimals."""
+    return F.coalesce(F.concat(F.lit(symbol), F.translate(F.format_number(F.round(_col(value), decimals), decimals), ",.", ".,")), F.lit("—"))
 
 
 def discount_percent(best: Value, worst: Value) -> Column:

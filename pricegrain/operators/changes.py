@@ -108,3 +108,44 @@ def next_due(finished: Column, now: Column, hours: float, soon_minutes: int = 1)
 def nearest(value: Column, options: list[int]) -> Column:
     """The allowed value that is nearest; of two, the smaller."""
     return F.array_min(F.transform(F.array(*map(F.lit, options)), lambda o: F.struct(F.abs(o - value).alias("d"), o.alias("v"))))["v"]
+
+
+def presale(events: DataFrame, stores: list[str], types: list[str], usual: list[str], today: Column, until: str | None = None, enabled: bool = True, store: str = "store") -> DataFrame:
+    """while a presale lasts, events of its shops alone, and of these the wider types as well; else the usual types of
+    every shop. It is off without shops and after its last day; a last day that is no date does not end it."""
+    end = F.try_to_timestamp(F.lit(until), F.lit("yyyy-MM-dd")).cast("date")
+    on = F.lit(bool(enabled and stores)) & F.coalesce(today <= end, F.lit(True))
+    wide = F.col(store).isin(stores or [""]) & F.col("type").isin([*usual, *types])
+    return events.filter(F.when(on, wide).otherwise(F.col("type").isin(usual)))
+
+
+def unsent(events: DataFrame, sent: DataFrame, store: int | None, types: list[str], since: Column, key: str = "event_id", store_col: str = "store_id") -> DataFrame:
+    """Q18: events of a shop (None: of all), of given types and age, that no message told of."""
+    own = events if store is None else events.filter(F.col(store_col) == store)
+    return own.filter(F.col("type").isin(types) & (F.col("created_at") >= since)).join(sent.select(key), key, "left_anti")
+
+
+def mark_seen(hits: DataFrame, ids: DataFrame | None = None, key: str = "hit_id") -> DataFrame:
+    """Hits with seen set for the given ids, or for all of them; those seen before stay so."""
+    if ids is None:
+        return hits.withColumn("seen", F.lit(True))
+    given = ids.select(key).distinct().withColumn("_given", F.lit(True))
+    return hits.join(given, key, "left").withColumn("seen", F.coalesce("_given", "seen", F.lit(False))).drop("_given").select(hits.columns)
+
+
+def health_notices(states: DataFrame, order: list[Column | str], now: str = "checked_at", hours: float = 12) -> DataFrame:
+    """Which of a shop's checks are worth a notice: (store_id, problems, ...) whose signature, the problems in order,
+    is another than at the last check, or the same but told of before so many hours. No problem tells nothing.
+
+    A run of checks with one signature is told of at its start and whenever the hours have passed since the telling; the
+    tellings of a run lie at fixed distances from its start, so no state is needed but the start.
+    """
+    w = W.partitionBy("store_id").orderBy(*order)
+    rows = states.withColumn("signature", F.array_join(F.array_sort("problems"), ","))
+    fresh = ~F.lag("signature").over(w).eqNullSafe(F.col("signature"))
+    rows = rows.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy("store_id", "_run").orderBy(*order)
+    slot = F.floor((F.unix_timestamp(now) - F.first(F.unix_timestamp(now)).over(run)) / (hours * 3600))
+    rows = rows.withColumn("_slot", slot)
+    due = F.lag("_slot").over(run).isNull() | (F.col("_slot") > F.lag("_slot").over(run))
+    return rows.withColumn("_due", due).filter("_due AND signature <> ''").drop("_run", "_slot", "_due")

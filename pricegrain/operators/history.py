@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column | str], values: list[str]) -> DataFrame:
-    """The row of each key that is largest by order (W10: last wins). A maximum, so it is summed before the shuffle; no window, no sort of a hot key."""
+    """The row of each key that is largest by order (W10: last wins). A maximum, so a hot key is
+    one row a task before the shuffle and no window over it is needed. The maximum of a struct is aggregated by sorting:
+    each task sorts its rows by key, and spills if it must."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, "_v.*")
 
 

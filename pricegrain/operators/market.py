@@ -49,11 +49,19 @@ def offer_ranks(offers: DataFrame, product: str = "product_id") -> DataFrame:
 
 
 def opportunities(offers: DataFrame, top: int | None = 24, listed: int = 6, product: str = "product_id") -> DataFrame:
-    """What a product's best available price saves against the median, from two stores on. With its lowest prices."""
+    """What a product's best available price saves against the median, from two stores on. With its lowest prices.
+
+    Median and lowest prices are read from the ranked rows, which are sorted and may spill: nothing that is held in memory
+    grows with a product's offers.
+    """
     entry = F.struct("price", "offer_id", "store_id")
+    w = W.partitionBy(product)
+    i, n = F.col("_i"), F.col("_n")
+    middle = (i == F.floor((n + 1) / 2)) | (i == F.floor(n / 2) + 1)
     found = (
-        offers.filter(F.col("available") & F.col("price").isNotNull()).groupBy(product)
-        .agg(F.count_distinct("store_id").alias("n_stores"), F.median("price").alias("median_price"), F.min(entry).alias("_best"), F.sort_array(F.collect_list(entry)).alias("_all"))
+        offers.filter(F.col("available") & F.col("price").isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy("price", "offer_id", "store_id")), "_n": F.count("*").over(w)})
+        .groupBy(product)
+        .agg(F.count_distinct("store_id").alias("n_stores"), F.avg(F.when(middle, F.col("price"))).alias("median_price"), F.min(entry).alias("_best"), F.sort_array(F.collect_list(F.when(i <= listed, entry))).alias("_all"))
         .filter("n_stores >= 2").withColumn("saving", F.col("median_price") - F.col("_best.price")).filter("saving > 0")
     )
     out = found.select(
@@ -133,9 +141,10 @@ def leave_one_out(offers: DataFrame, group: str = "product_id", price: str = "pr
 
 def market_position(offers: DataFrame, product: str = "product_id", slack: float = 1) -> DataFrame:
     """For available offers of products that have two or more of them: lowest price, number, and whether the price is at most slack above it."""
-    w = W.partitionBy(product)
     open_ = offers.filter(F.col("available") & F.col("price").isNotNull())
-    return open_.withColumns({"lowest": F.min("price").over(w), "n_open": F.count("*").over(w)}).filter("n_open >= 2").withColumn("cheapest", F.col("price") <= F.col("lowest") + slack)
+    # summed before the shuffle and joined back, so that a product of very many offers may be split
+    found = open_.groupBy(product).agg(F.min("price").alias("lowest"), F.count("*").alias("n_open")).filter("n_open >= 2")
+    return open_.join(found, product).withColumn("cheapest", F.col("price") <= F.col("lowest") + slack)
 
 
 def status_pivot(rows: DataFrame, group: str, status: str, values: list[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -268,12 +269,63 @@ def group(candidates: DataFrame, scored: DataFrame, same: DataFrame, different:
 
 
 def keep_ids(assignment: DataFrame, old: DataFrame, group_col: str = "product_key") -> DataFrame:
-    """(product_key, product_id): each group takes the old product that most of its offers had, if no group before it
-    (fewer offers in common count less, then the smaller key first) took it; null for a new product."""
+    """(product_key, product_id): in the order of their keys, each group takes the old product that most of its offers
+    had (of several the smallest) and that no group before it took; null for a new product.
+
+    In rounds: each group that has none asks for the best one it was not refused, and of those that ask for or hold a
+    product the smallest key keeps it. As all products prefer smaller keys, that ends where going through the groups one
+    after another does. A round is one join of the groups' state, a row each, with their votes.
+    """
     votes = assignment.join(old.select("id", "product_id").filter("product_id IS NOT NULL"), "id").groupBy(group_col, "product_id").agg(F.count("*").alias("n"))
-    claim = votes.withColumn("_nth", F.row_number().over(W.partitionBy(group_col).orderBy(F.desc("n"), "product_id"))).filter("_nth = 1")
-    won = claim.withColumn("_first", F.row_number().over(W.partitionBy("product_id").orderBy(F.desc("n"), group_col))).filter("_first = 1")
-    return assignment.select(group_col).distinct().join(won.select(group_col, "product_id"), group_col, "left")
+    ranked = written(votes.withColumn("nth", F.row_number().over(W.partitionBy(group_col).orderBy(F.desc("n"), "product_id"))).drop("n"), "votes")
+    state = written(ranked.select(group_col, F.lit(1).alias("nth")).distinct(), "claims")
+    while True:
+        asked = state.join(ranked, [group_col, "nth"])
+        kept = asked.groupBy("product_id").agg(F.min(group_col).alias("winner"))
+        decided = written(asked.join(kept, "product_id").select(group_col, "product_id", "nth", (F.col(group_col) != F.col("winner")).alias("refused")), "decided")
+        if not decided.filter("refused").limit(1).count():
+            break
+        state = written(decided.select(group_col, (F.col("nth") + F.col("refused").cast("int")).alias("nth")), "claims")
+    return assignment.select(group_col).distinct().join(decided.select(group_col, "product_id"), group_col, "left")
+
+
+def forget_pairs(decisions: DataFrame, ours: DataFrame, theirs: DataFrame, decision: str = "different") -> DataFrame:
+    """Decisions without those that hold a key of ours apart from one of theirs, whichever side they are on. The
+    pairs are not made: a decision is looked up once on each side."""
+    a = ours.select(F.col("stable_key").alias("k"), F.lit(1).alias("ours")).distinct()
+    b = theirs.select(F.col("stable_key").alias("k"), F.lit(1).alias("theirs")).distinct()
+    side = a.join(b, "k", "full")
+    out = decisions
+    for c in ("a", "b"):
+        out = out.join(side.select(F.col("k").alias(f"{c}_key"), F.col("ours").alias(f"_{c}1"), F.col("theirs").alias(f"_{c}2")), f"{c}_key", "left")
+    across = (F.col("_a1").isNotNull() & F.col("_b2").isNotNull()) | (F.col("_a2").isNotNull() & F.col("_b1").isNotNull())
+    return out.filter(~(across & (F.col("decision") == decision))).select(decisions.columns)
+
+
+def fingerprint(candidates: DataFrame, cfg: Scoring = Scoring()) -> str:
+    """Digest of all that a pair's score depends on: every candidate's own columns, in any order, and the settings."""
+    listed = [F.array_join(F.array_sort(F.col(c)), ",") if c in ("gtins", "mpns") else F.array_join(c, " ") if c == "tokens" else F.col(c).cast("string") for c in ("id", "name_key", "tokens", "game", "set_code", "product_type", "language", "units_total", "quantity_confidence", "gtins", "mpns")]
+    row = F.concat_ws("|", *(F.coalesce(c, F.lit("\x00")) for c in listed))
+    half = lambda seed: F.sum(F.xxhash64(row, F.lit(seed)).cast("decimal(38,0)")).cast("string")
+    n, one, two = candidates.agg(F.count("*"), half(1), half(2)).first()
+    return hashlib.sha256(f"{n}|{one}|{two}|{sorted(asdict(cfg).items())}".encode()).hexdigest()
+
+
+def cached_scores(candidates: DataFrame, folder: str, cfg: Scoring = Scoring()) -> DataFrame:
+    """The pairs' scores, computed and written below the folder once for each fingerprint of their inputs, then read."""
+    spark = candidates.sparkSession
+    path = f"{folder}/{fingerprint(candidates, cfg)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        score_pairs(candidates, candidate_pairs(candidates, cfg), cfg).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def breakdown_of(text: Column | str) -> Column:
+    """A review's breakdown as a map of texts; what is no JSON object is an empty one."""
+    col = F.col(text) if isinstance(text, str) else text
+    whole = F.try_parse_json(col).isNotNull() & F.ltrim(col).startswith("{")
+    return F.coalesce(F.when(whole, F.from_json(col, "map<string,string>")), F.create_map().cast("map<string,string>"))
 
 
 def sync_reviews(queue: DataFrame, found: DataFrame, assignment: DataFrame, active: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -97,3 +98,39 @@ def distinctive_tail(rows: DataFrame, group: str, name: str) -> DataFrame:
     common = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))
     tail = F.array_join(F.slice(words, common.cast("int") + 1, F.size(words)), " ")
     return joined.withColumn("tail", F.when(tail == "", F.col(name)).otherwise(tail)).drop("_lo", "_hi")
+
+
+def merge_candidates(products: DataFrame, bases: DataFrame, top: int = 12, same: Sequence[str] = ("game", "set_code", "product_type"), key: str = "product_id", name: str = "name") -> DataFrame:
+    """For each base product, the first others by name that have the value of every attribute the base has.
+
+    What a base does not know is no condition, so bases are joined by the set of attributes they know: one equality join
+    for each such set, on those attributes, with the first top + 1 products of each of their values alone.
+    """
+    known = F.array(*(F.col(c).isNotNull() & (F.col(c) != "") for c in same))
+    out = None
+    for mask in range(1 << len(same)):
+        cols = [c for i, c in enumerate(same) if mask >> i & 1]
+        own = bases.filter(known == F.array(*(F.lit(c in cols) for c in same))).select(F.col(key).alias("base"), *cols)
+        if cols:
+            turn = F.row_number().over(W.partitionBy(*cols).orderBy(name, key))
+            first = products.select(F.col(key).alias("candidate"), F.col(name).alias("candidate_name"), *cols, turn.alias("_turn")).filter(F.col("_turn") <= top + 1)
+            met = own.join(first, cols)
+        else:  # nothing is known: the first by name of all, one short list for every such base
+            first = products.orderBy(name, key).limit(top + 1).select(F.col(key).alias("candidate"), F.col(name).alias("candidate_name"))
+            met = own.join(F.broadcast(first), F.lit(True))
+        met = met.filter("base <> candidate").select("base", "candidate", "candidate_name")
+        out = met if out is None else out.unionByName(met)
+    nth = F.row_number().over(W.partitionBy("base").orderBy("candidate_name", "candidate"))
+    return out.withColumn("nth", nth).filter(F.col("nth") <= top)
+
+
+def suggest(products: DataFrame, score: Column, query: str, top: int = 8, least: float = 0.45, key: str = "product_id") -> DataFrame:
+    """Q4: the products most like what was typed, from two characters on."""
+    if len(query.strip()) < 2:
+        return products.withColumn("score", F.lit(None).cast("double")).limit(0)
+    return products.withColumn("score", score).filter(F.col("score") >= least).orderBy(F.desc("score"), key).limit(top)
+
+
+def by_id_or_code(rows: DataFrame, wanted: str, key: str, code: str) -> DataFrame:
+    """Q17: the row whose number or code is what was asked for."""
+    return rows.filter((F.col(key) == F.lit(wanted).try_cast("long")) | (F.col(code) == wanted))

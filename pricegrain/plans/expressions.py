@@ -77,20 +77,24 @@ def fold_accents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", text.prepare(F.replace("p_name", F.lit("e"), F.lit("É")), text.NameRules()).alias("folded"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(strip_accents(split_part(coalesce(text, ''), chr(10), 1))), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents)
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9.]+', ' ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, replace(replace(regexp_replace(regexp_replace(t, '([0-9])\.([0-9])', '\1@\2', 'g'), '([0-9])\.([0-9])', '\1@\2', 'g'), '.', ' '), '@', '.') AS t FROM a),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ') AS w FROM b)
 SELECT doc_id, array_to_string(list_filter(w, lambda x: x <> '' AND x NOT IN ('the', 'of', 'and')), ' ') AS core, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: x <> '' AND x NOT IN ('the', 'of', 'and')))), ' ') AS name_key FROM w""")
 def name_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """First lines as names; without dots, on which the engines' look-around differs."""
-    rules = text.NameRules(replacements={".": " "}, stopwords=["the", "of", "and"])
-    named = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("name"))
+    """Whole texts as names; dots stay between digits alone."""
+    rules = text.NameRules(stopwords=["the", "of", "and"])
+    named = table(spark, sf, "documents").select("doc_id", F.col("text").alias("name"))
     found = text.normalize_names(named, "name", rules).select("doc_id", text.drop_stopwords("n.tokens", rules).alias("core"))
     return found.select("doc_id", F.array_join("core", " ").alias("core"), text.sorted_key("core").alias("name_key"))
 
 
 @query()
 def normalize_name(spark: SparkSession, sf: str) -> DataFrame:
-    named = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("name"))
-    return text.normalize_names(named, "name", RULES).select("doc_id", "n.*", text.detect_language(F.col("n.punctuated"), F.col("n.basic"), RULES).alias("language"))
+    """Every line of every text as a name."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    named = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("line_no", "name"))
+    return text.normalize_names(named, "name", RULES).select("doc_id", "line_no", "n.*", text.detect_language(F.col("n.punctuated"), F.col("n.basic"), RULES).alias("language"))
 
 
 _PAIRS = """WITH p AS (SELECT DISTINCT p_name AS name FROM part), pair AS (SELECT a.name AS a, b.name AS b FROM p a JOIN p b ON split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) AND a.name <= b.name), t AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM pair)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricegrain.functions import similarity, text
@@ -89,10 +90,12 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     return _grouped(spark, sf)[1].orderBy(F.desc("score"), "a", "b")
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + p_size % 3 + 1 AS b FROM part WHERE p_size % 2 = 0), s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS node, u AS label FROM s UNION SELECT s.v, r.label FROM r JOIN s ON s.u = r.node)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS b FROM part QUALIFY b IS NOT NULL), s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS node, u AS label FROM s UNION SELECT s.v, r.label FROM r JOIN s ON s.u = r.node)
 SELECT node, min(label) AS component FROM r GROUP BY node""")
 def decision_components(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "part").filter("p_size % 2 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size") % 3 + 1).alias("b"))
+    """Each part is decided to be the same as the next one of its brand, type and size."""
+    after = F.lead("p_partkey").over(W.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey"))
+    e = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), after.alias("b")).filter("b IS NOT NULL")
     return graph.min_labels(e)
 
 
@@ -114,11 +117,11 @@ def search_score(spark: SparkSession, sf: str) -> DataFrame:
 GOODS = extract.Catalog(
     games={"red": ("r", "Red line"), "blue": ("b", "Blue line")}, sets=[(r"\bsmall\b", "r", "sm", "Small", False), (r"\bold\b", "b", "ol", "Old", False), (r"\bnew\b", "r", "ne", "New", True)],
     types=[extract.ProductType("bolt", "Bolt", "bolt", 60, 12, 0.9), extract.ProductType("gear", "Gear", "gear", 50, 1, 0.8), extract.ProductType("box", "Box", "box", 40, 36, 0.95)],
-    quantities=[(r"^\s*(\d{1,3})\s?x\s", "multiplier", 0.9), (r"\b(\d{1,3})\s+packs?\b", "contents", 0.85), (r"\bx\s?(\d{1,3})\b", "multiplier", 0.85)], blacklist=[45], most=60,
+    quantities=[(r"^lot of (\d+) ", "multiplier", 0.9), (r" (\d+) pieces$", "contents", 0.85), (r" times (\d+)$", "multiplier", 0.85)], blacklist=[45], most=60,
 )
 
 
-@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || 'x ' || p_name WHEN 1 THEN p_name || ' ' || p_size || ' packs' WHEN 2 THEN p_name || ' x' || p_size ELSE p_name END AS name, string_split(p_name, ' ') AS w, p_size AS n, p_partkey % 4 AS k FROM part),
+@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'lot of ' || p_size || ' ' || p_name WHEN 1 THEN p_name || ' ' || p_size || ' pieces' WHEN 2 THEN p_name || ' times ' || p_size ELSE p_name END AS name, string_split(p_name, ' ') AS w, p_size AS n, p_partkey % 4 AS k FROM part),
 g AS (SELECT *, CASE WHEN list_contains(w, 'red') THEN 'r' WHEN list_contains(w, 'blue') THEN 'b' END AS game, CASE WHEN list_contains(w, 'bolt') THEN 'bolt' WHEN list_contains(w, 'gear') THEN 'gear' WHEN list_contains(w, 'box') THEN 'box' END AS kind FROM t),
 u AS (SELECT *, CASE kind WHEN 'bolt' THEN 12 WHEN 'gear' THEN 1 WHEN 'box' THEN 36 ELSE 0 END AS units, CASE kind WHEN 'bolt' THEN 0.9 WHEN 'gear' THEN 0.8 WHEN 'box' THEN 0.95 ELSE 0 END AS sure, k < 3 AND n <> 45 AND n <= 60 AS said, CASE k WHEN 0 THEN 0.9 ELSE 0.85 END AS c FROM g)
 SELECT p_partkey, name, coalesce(game, CASE WHEN list_contains(w, 'small') THEN 'r' WHEN list_contains(w, 'old') THEN 'b' WHEN list_contains(w, 'new') THEN 'r' END) AS game,
@@ -129,7 +132,7 @@ SELECT p_partkey, name, coalesce(game, CASE WHEN list_contains(w, 'small') THEN
 def attributes(spark: SparkSession, sf: str) -> DataFrame:
     """E10-E15 over names that say a quantity in different ways."""
     k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    name = F.when(k == 0, F.concat(n, F.lit("x "), "p_name")).when(k == 1, F.concat_ws(" ", "p_name", n, F.lit("packs"))).when(k == 2, F.concat("p_name", F.lit(" x"), n)).otherwise(F.col("p_name"))
+    name = F.when(k == 0, F.concat_ws(" ", F.lit("lot of"), n, "p_name")).when(k == 1, F.concat_ws(" ", "p_name", n, F.lit("pieces"))).when(k == 2, F.concat_ws(" ", "p_name", F.lit("times"), n)).otherwise(F.col("p_name"))
     rules = text.NameRules()
     found = extract.extract(text.normalize_names(table(spark, sf, "part").select("p_partkey", name.alias("name")), "name", rules), GOODS, rules)
     a = F.col("attributes")

@@ -120,7 +120,7 @@ def same_page(spark: SparkSession, sf: str) -> DataFrame:
     return own.filter("anchored").join(own.select(F.col("page_id").alias("other"), "host"), "host").filter("page_id < other").select("page_id", "other")
 
 
-@query(BASE + """, deals AS (SELECT product_id, row_number() OVER (ORDER BY (max(price) - min(price)) DESC, product_id) AS position FROM offer WHERE available AND units = 50 GROUP BY product_id HAVING count(*) > 1 ORDER BY position LIMIT 12),
+@query(BASE + """, deals AS (SELECT product_id, row_number() OVER (ORDER BY (max(price) - min(price)) DESC, product_id) AS position FROM offer WHERE available GROUP BY product_id HAVING count(*) > 1 ORDER BY position LIMIT 12),
 filler AS (SELECT product_id, row_number() OVER (ORDER BY min(price), product_id) AS position FROM offer GROUP BY product_id ORDER BY position LIMIT 24)
 SELECT product_id FROM (SELECT 0 AS part, * FROM deals UNION ALL SELECT 1, * FROM filler WHERE product_id NOT IN (SELECT product_id FROM deals)) ORDER BY part, position LIMIT 20""")
 def topped_up_deals(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +128,7 @@ def topped_up_deals(spark: SparkSession, sf: str) -> DataFrame:
 
     own = bare_offers(spark, sf)
     nth = lambda df, *order: df.orderBy(*order).limit(24).withColumn("position", F.row_number().over(W.orderBy(*order)))
-    deals = own.filter("available AND units = 50").groupBy("product_id").agg((F.max("price") - F.min("price")).alias("spread"), F.count("*").alias("n")).filter("n > 1")
+    deals = own.filter("available").groupBy("product_id").agg((F.max("price") - F.min("price")).alias("spread"), F.count("*").alias("n")).filter("n > 1")
     filler = own.groupBy("product_id").agg(F.min("price").alias("low"))
     return search.topped_up(nth(deals, F.desc("spread"), "product_id").filter("position <= 12").select("product_id", "position"), nth(filler, "low", "product_id").select("product_id", "position"), "product_id", 20).select("product_id")
 
@@ -150,11 +150,13 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text").orderBy("conv_id", F.desc("turn"))
 
 
-@query("""WITH w AS (SELECT p_brand, p_partkey, p_name, string_split(p_name, ' ') AS w FROM part WHERE p_size <= 3), e AS (SELECT p_brand, min(w) AS lo, max(w) AS hi FROM w GROUP BY 1),
-c AS (SELECT p_brand, coalesce((SELECT min(i) - 1 FROM range(1, 1 + greatest(len(lo), len(hi))) t(i) WHERE lo[i] IS DISTINCT FROM hi[i]), len(lo)) AS n FROM e)
-SELECT p_brand, p_partkey, coalesce(nullif(array_to_string(w[n + 1:], ' '), ''), p_name) AS tail FROM w JOIN c USING (p_brand)""")
+@query("""WITH w AS (SELECT p_brand || '/' || p_type || '/' || p_size AS family, p_partkey, p_name, string_split(p_name, ' ') AS w FROM part), e AS (SELECT family, min(w) AS lo, max(w) AS hi FROM w GROUP BY 1),
+c AS (SELECT family, coalesce((SELECT min(i) - 1 FROM range(1, 1 + greatest(len(lo), len(hi))) t(i) WHERE lo[i] IS DISTINCT FROM hi[i]), len(lo)) AS n FROM e)
+SELECT family, p_partkey, coalesce(nullif(array_to_string(w[n + 1:], ' '), ''), p_name) AS tail FROM w JOIN c USING (family)""")
 def distinctive_tail(spark: SparkSession, sf: str) -> DataFrame:
-    return search.distinctive_tail(table(spark, sf, "part").filter("p_size <= 3").select("p_brand", "p_partkey", "p_name"), "p_brand", "p_name").select("p_brand", "p_partkey", "tail")
+    """Parts of one brand, type and size are a family."""
+    family = F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("family")
+    return search.distinctive_tail(table(spark, sf, "part").select(family, "p_partkey", "p_name"), "family", "p_name").select("family", "p_partkey", "tail")
 
 
 @query()

@@ -32,13 +32,16 @@ def windowed(events: DataFrame, size: str = "30 minutes", late: str = LATE) -> D
 
 
 def _ratchet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first value is the target; the state is (target, lowest price fired at)."""
-    target, fired = state.get if state.exists else (None, None)
+    """The first value is the target; the state is (target, lowest price fired at). A null value never fires; as the first
+    one it makes an alert without target, which never fires, as in the batch form."""
+    seen = state.exists
+    target, fired = state.get if seen else (None, None)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     out = []
     for event_id, value in rows[["event_id", "value"]].itertuples(index=False):
-        target = value if target is None else target
-        if value <= target and (fired is None or value < fired):
+        value = None if pd.isna(value) else value
+        target, seen = (target if seen else value), True
+        if value is not None and target is not None and value <= target and (fired is None or value < fired):
             fired = value
             out.append((key[0], event_id, value, target))
     state.update((target, fired))
@@ -50,19 +53,20 @@ def alerts(events: DataFrame) -> DataFrame:
 
 
 def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state is what was last read of a page."""
+    """The state is what was last read of a page. A page without status (null) is unreadable; null prices tell no change."""
     before = state.get if state.exists else None
     out = []
     for event_id, http, stock, price in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["event_id", "http_status", "stock_status", "price"]].itertuples(index=False):
-        can = stock in ("in_stock", "preorder")
-        if before is not None and http < 400:
-            could, gone = before[1] in ("in_stock", "preorder"), before[0] >= 400
+        http, stock, price = (None if pd.isna(x) else x for x in (http, stock, price))
+        can, there = stock in ("in_stock", "preorder"), http is not None and 1 <= http < 400
+        if before is not None and there:
+            could, gone = before[1] in ("in_stock", "preorder"), before[0] is None or not 1 <= before[0] < 400
             event = "published" if gone else "purchasable" if can and not could else "sold_out" if could and not can else None
-            if event is None and abs(price - before[2]) > 1:
+            if event is None and price is not None and before[2] is not None and abs(price - before[2]) > 1:
                 event = "price_up" if price > before[2] else "price_down"
             if event:
                 out.append((key[0], event_id, event))
-        before = (int(http), stock, float(price))
+        before = (None if http is None else int(http), stock, None if price is None else float(price))
     state.update(before)
     yield pd.DataFrame(out, columns=["url", "event_id", "event"])
 
@@ -82,7 +86,8 @@ def finished(stream: DataFrame, tag: str) -> DataFrame:
 
 
 def publish(stream: DataFrame, ledger: str, key: str, send, tag: str = "publish"):
-    """Each batch's rows that the ledger does not hold yet are sent, then entered; a batch that is run again sends none twice that were entered."""
+    """Each batch's rows that the ledger does not hold yet are sent, then entered: at least once. A
+    batch that is run again sends none twice that were entered; one that fails between sending and entering sends again."""
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession

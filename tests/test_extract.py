@@ -9,7 +9,7 @@ from pricegrain.schema import RAW_OFFER
 CATALOG = extract.Catalog(
     games={"acme": ("ac", "Acme")}, sets=[(r"\bstar\b", "ac", "series", "Star", True), (r"\bstar dust\b", "ac", "sd", "Star Dust", False)],
     types=[extract.ProductType("pack", "Pack", "one_pack", 40, 1, 0.9, "pack"), extract.ProductType("bundle", "Bundle", "pack_bundle", 70, 6, 0.95, "pack"), extract.ProductType("display", "Display", "big_display", 60, 36, 0.95, "pack")],
-    quantities=[(r"^\s*(\d{1,3})\s?x\s", "multiplier", 0.9), (r"\b(\d{1,3})\s+packs?\b", "contents", 0.85), (r"\bx\s?(\d{1,3})\b", "multiplier", 0.85)], blacklist=[151], series_tokens=["star"], language_tokens=["english"], languages={"en": "English"},
+    quantities=[(r"^lot of (\d+) ", "multiplier", 0.9), (r"\b(\d+) pieces\b", "contents", 0.85), (r"\btimes (\d+)\b", "multiplier", 0.85)], blacklist=[88], series_tokens=["star"], language_tokens=["english"], languages={"en": "English"},
 )
 RULES = text.NameRules(phrases={"bundle": "pack_bundle", "single pack": "one_pack", "display": "big_display"}, stopwords=["the"], languages=[("strict", "en", r"\benglish\b")])
 
@@ -23,18 +23,18 @@ def found(spark, name, description=None):
 
 
 def test_attributes(spark):
-    r = found(spark, "Acme Star Dust Bundle x6 English")
+    r = found(spark, "Acme Star Dust Bundle times 6 English")
     assert (r.game, r.set_code, r.product_type, r.multiplier, r.units_total, r.quantity_confidence, r.language) == ("ac", "sd", "bundle", 1, 6, 0.95, "en")
-    assert r.canonical == "Acme Star Dust Bundle (English)" and r.tokens == ["dust", "pack_bundle"]
-    r = found(spark, "2x Star Bundle 2 Pack")  # a lot, whatever the end says
+    assert r.canonical == "Acme Star Dust Bundle (English)" and r.tokens == ["dust", "pack_bundle", "times", "6"]
+    r = found(spark, "lot of 2 Star Bundle 2 pieces")  # a lot, whatever the end says
     assert (r.multiplier, r.units_total, r.quantity_confidence, r.game, r.sources["game"]) == (2, 12, 0.9, "ac", "set_catalog")
-    r = found(spark, "151 packs x3 single pack")  # the number of an edition passes to the next pattern
+    r = found(spark, "88 pieces times 3 single pack")  # the number of an edition passes to the next pattern
     assert (r.multiplier, r.units_total) == (3, 3)
     r = found(spark, "Display single pack")
     assert r.product_type == "display" and r.tokens == ["big_display"]
-    r = found(spark, "single pack x2 thing", "holds 8 packs")
+    r = found(spark, "single pack times 2 thing", "holds 8 pieces")
     assert (r.multiplier, r.units_total, r.quantity_confidence, r.sources["quantity"]) == (2, 2, 0.85, "name")
-    r = found(spark, "thing", "holds 8 packs")
+    r = found(spark, "thing", "holds 8 pieces")
     assert (r.units_total, r.sources["quantity"], r.canonical, r.product_type) == (8, "description", "thing", None)
     r = found(spark, None)
     assert (r.multiplier, r.units_total, r.quantity_confidence, r.canonical) == (1, None, 0.0, "unnamed")
