@@ -147,9 +147,11 @@ def decode_ids(ids: bytes, vocab: Vocabulary) -> bytes:
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary): the ids of each whole text as little-endian unsigned 32-bit integers; null text gives no ids.
 
-    Special tokens have no meaning in a text. A word's merges do not depend on other words, so each task replays them
+    Special tokens have no meaning in a text. Repeated rows and ids, null ids too, give repeated rows, an empty table none;
+    other columns are left out, whatever their names. A word's merges do not depend on other words, so each task replays them
     over the distinct words of its slice of the corpus, some megabytes at a time, and keeps a bounded number of words'
-    ids for the next slice: nothing is shuffled or broadcast, and a lost task is simply run again.
+    ids for the next slice: nothing is shuffled or broadcast, and a lost task is simply run again. To replay each distinct
+    word of the corpus only once, words would have to be shuffled and their ids joined back to every slice (README).
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +165,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     return coded.withColumn(id_col, F.col(id_col).cast(kind))
 
 
-def text_batches(batches: Iterator[pd.DataFrame], id_col: str, text_col: str, chars: int = 3_000_000):
+def text_batches(batches: Iterator[pd.DataFrame], id_col: str, text_col: str, chars: int = 1_500_000):
     """Arrow batches, cut or joined to slices of about so many characters: (number, ids, texts)."""
     n = 0
     for pdf in batches:
@@ -174,7 +176,8 @@ def text_batches(batches: Iterator[pd.DataFrame], id_col: str, text_col: str, ch
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids) to (id, ids, decoded binary): the bytes that the ids stand for; null ids give no bytes."""
+    """(id, ids) to (id, ids, decoded binary): the bytes that the ids stand for; null ids give no bytes. Rows are decoded one
+    by one, repeated ones too; other columns are left out, whatever their names."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = Vocabulary.of(vocabulary)

@@ -8,7 +8,7 @@ import regex
 
 _SAFE_CUT = regex.compile(r"(?<=\S)(?= \S)")
 #: Chunks kept per worker; beyond it the store starts anew, so that memory stays bounded whatever the corpus holds.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 150_000
 KEPT_CHARS = 64
 
 

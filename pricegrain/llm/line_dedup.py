@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricegrain.llm.common import SPACE, ascii_lower, hot_keys, materialize
+from pricegrain.llm.common import SPACE, ascii_lower, fresh, hot_keys, materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -80,22 +80,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A-Z lower-cased. Keys of min_chars code points or more in min_docs documents or more lose all their lines but in
     the largest id that holds them. Lines are joined again by \\n; a text that loses all lines becomes empty. Other
     columns pass, except ones named like the new columns, which are replaced. Ids are taken as unique; rows that share
-    an id are one document for the counts, and lose the same positions.
+    an id are one document for the counts, and lose the same positions. Rows without id are one document too. An empty
+    table gives no rows.
     """
-    new = ("n_lines", "n_dropped", "keep_bitmap", "kept_text", "dropped")
+    new = ("n_lines", "n_dropped", "keep_bitmap", "kept_text")
     base = docs.select(*[c for c in docs.columns if c not in new])
-    drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs).withColumnRenamed("doc_id", "_line_dedup_id")
-    joined = base.join(drops, base[id_col].eqNullSafe(F.col("_line_dedup_id")), "left").drop("_line_dedup_id")
+    own_id, drop_col = (fresh(c, [*docs.columns, *new]) for c in ("_line_dedup_id", "_line_dedup_drops"))
+    drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs).toDF(own_id, drop_col)
+    joined = base.join(drops, base[id_col].eqNullSafe(F.col(own_id)), "left").drop(own_id)
+    dropped = F.col(drop_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    own = F.filter("dropped", lambda p: p < F.col("n_lines"))  # rows that share an id may have fewer lines
-    bits = _bits(F.col("dropped"), F.col("n_lines"))
+    own = F.filter(dropped, lambda p: p < F.col("n_lines"))  # rows that share an id may have fewer lines
+    bits = _bits(dropped, F.col("n_lines"))
     # array_join leaves nulls out
     kept = F.array_join(F.zip_with(_lines(text), F.split(bits, ""), lambda line, bit: F.when(bit == "1", line)), "\n")
-    counted = joined.withColumn("n_lines", n_lines).withColumn("dropped", own)
+    counted = joined.withColumn("n_lines", n_lines).withColumn(drop_col, own)
     return counted.withColumns({
         "n_lines": F.col("n_lines").cast("long"),
-        "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long"),
-        "keep_bitmap": F.when(F.col("dropped").isNotNull(), _bitmap(bits, F.col("n_lines"))),
-        "kept_text": F.when(F.col("dropped").isNull(), text).otherwise(kept),
-    }).drop("dropped")
+        "n_dropped": F.coalesce(F.size(dropped), F.lit(0)).cast("long"),
+        "keep_bitmap": F.when(dropped.isNotNull(), _bitmap(bits, F.col("n_lines"))),
+        "kept_text": F.when(dropped.isNull(), text).otherwise(kept),
+    }).drop(drop_col)

@@ -201,6 +201,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str,
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack: one row per piece. An empty table gives no rows."""
+    """Tokenise, cut and pack: one row per piece. Null text is empty: one piece of end_id alone. Rows that share an id, null
+    ones too, each have their pieces. An empty table gives no rows; other columns are left out, whatever their names."""
     pieces = materialize(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids), "pieces")
     return best_fit_pack(pieces, capacity, (id_col, "piece"))
