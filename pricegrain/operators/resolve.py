@@ -16,6 +16,10 @@ from pricegrain.operators.market import inverse_document_frequency, majority
 from pricegrain.operators.storage import written
 
 
+#: Rows of a key that one task pairs with as many others: larger keys are split into cells.
+CELL = 300
+
+
 @dataclass(frozen=True)
 class Scoring:
     """M11. Weights, penalties and thresholds of a pair's score, of 100."""
@@ -38,11 +42,12 @@ class Scoring:
     language_is_identity: bool = True
     rare_ratio: float = 0.02
     min_confidence: float = 0.7
-    max_bucket: int = 300
-    max_postings: int = 400
+    # caps of the blocking; None lifts one, so that no pair is lost on large tables
+    max_bucket: int | None = 300
+    max_postings: int | None = 400
     always_rare: int = 60
     max_token_ratio: float = 0.25
-    max_candidates: int = 80
+    max_candidates: int | None = 80
 
     @property
     def identity(self) -> list[str]:
@@ -72,34 +77,71 @@ def compatible(a: str = "a", b: str = "b") -> Column:
     return out
 
 
+def met_in_cells(rows: DataFrame, key: str, size: str, values: list[str]) -> DataFrame:
+    """Rows a and b (structs of id and values) that share a key, each pair once for each key, a.id < b.id.
+
+    size is the key's number of rows. Its rows are dealt to about size / CELL parts by a hash of the id and each two parts
+    meet in a cell of their own, so that the work of a very frequent key is spread over tasks of bounded size.
+    """
+    parts = F.ceil(F.col(size) / CELL).cast("int")
+    dealt = rows.select(F.col(key).alias("_key"), F.struct("id", *values).alias("_row"), parts.alias("_parts")).withColumn("_part", F.pmod(F.xxhash64("_row.id"), F.col("_parts")).cast("int"))
+    a = dealt.select("_key", F.col("_row").alias("a"), F.col("_part").alias("_low"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_high"))
+    b = dealt.select("_key", F.col("_row").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_low"), F.col("_part").alias("_high"))
+    met = a.join(b, ["_key", "_low", "_high"]).filter((F.col("a.id") < F.col("b.id")) | ((F.col("_low") < F.col("_high")) & (F.col("a.id") > F.col("b.id"))))
+    turned = F.col("a.id") > F.col("b.id")
+    return met.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 def block_pairs(candidates: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
-    """(a, b), a < b, of one bucket: game, set and type; game and set; equal name_key. Buckets above max_bucket don't pair."""
+    """(a, b), a < b, of one bucket: game, set and type; game and set; equal name_key. Buckets above max_bucket don't
+    pair; with None all do."""
     key = lambda kind, *cols: F.concat_ws("\x01", F.lit(kind), *(F.coalesce(c, F.lit("\x02")) for c in cols))
     keys = F.array(
         F.when(F.col("set_code").isNotNull(), key("type", "game", "set_code", "product_type")), F.when(F.col("set_code").isNotNull(), key("set", "game", "set_code")),
         F.when(F.col("name_key") != "", key("name", "name_key")),
     )
-    rows = candidates.select("id", "game", "set_code", "product_type", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
-    good = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, cfg.max_bucket)).select("key")
-    kept = rows.join(good, "key", "left_semi")
-    return kept.alias("a").join(kept.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & compatible()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    attributes = ["game", "set_code", "product_type"]
+    rows = candidates.select("id", *attributes, F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2")
+    if cfg.max_bucket is not None:
+        sizes = sizes.filter(F.col("n") <= cfg.max_bucket)
+    return met_in_cells(rows.join(sizes, "key"), "key", "n", attributes).filter(compatible()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def rare_token_pairs(candidates: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
     """(a, b), a < b: for each candidate the max_candidates others with which it shares most, by the summed IDF
-    of rare tokens; then the compatible ones. A token is usable if few have it, by number or share, and max_postings at most."""
+    of rare tokens; then the compatible ones. A token is usable if few have it, by number or share, and max_postings at
+    most. None lifts a cap: all others that share a usable token."""
     idf, n = inverse_document_frequency(candidates, "id", "tokens")
-    usable = idf.filter((F.col("df") >= 2) & (F.col("df") <= cfg.max_postings) & ((F.col("df") <= cfg.always_rare) | (F.col("df") <= cfg.max_token_ratio * n)))
-    postings = candidates.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(usable.select("token", "idf"), "token")
-    shared = postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id"))).groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other")).agg(F.sum("a.idf").alias("weight"))
-    # sums of the same weights may differ in their last bits
-    best = shared.withColumn("_nth", F.row_number().over(W.partitionBy("id").orderBy(F.round("weight", 9).desc(), "other"))).filter(F.col("_nth") <= cfg.max_candidates)
+    usable = idf.filter((F.col("df") >= 2) & ((F.col("df") <= cfg.always_rare) | (F.col("df") <= cfg.max_token_ratio * n)))
+    if cfg.max_postings is not None:
+        usable = usable.filter(F.col("df") <= cfg.max_postings)
+    postings = candidates.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(usable, "token")
+    shared = met_in_cells(postings, "token", "df", ["idf"]).groupBy(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).agg(F.sum("a.idf").alias("weight"))
+    if cfg.max_candidates is None:
+        pairs = shared.select("a_id", "b_id")
+    else:
+        each = shared.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("p"), "weight").select("p.*", "weight")
+        # sums of the same weights may differ in their last bits
+        best = each.withColumn("_nth", F.row_number().over(W.partitionBy("id").orderBy(F.round("weight", 9).desc(), "other"))).filter(F.col("_nth") <= cfg.max_candidates)
+        pairs = best.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
     attributes = candidates.select("id", "game", "set_code", "product_type")
-    pairs = best.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
     met = pairs.join(attributes.alias("a"), F.col("a_id") == F.col("a.id")).join(attributes.alias("b"), F.col("b_id") == F.col("b.id")).filter(compatible())
     return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
+def contracted(candidates: DataFrame, apart: tuple[str, ...] = ("id", "stable_key", "name")) -> tuple[DataFrame, DataFrame]:
+    """(one candidate, the smallest id, of all that are alike but for the columns apart; members (id, stands_for)).
+
+    Blocking without caps pairs these only: very many copies of one offer are one row, and their links are the members.
+    """
+    same = [c for c in candidates.columns if c not in apart]
+    marked = candidates.withColumn("_alike", F.sha2(F.to_json(F.struct(*same)), 256))
+    first = marked.groupBy("_alike").agg(F.min("id").alias("stands_for"))
+    members = marked.select("id", "_alike").join(first, "_alike").select("id", "stands_for")
+    return candidates.join(members.filter("id = stands_for").select("id"), "id", "left_semi"), members
+
+
 def candidate_pairs(candidates: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
     """M13."""
     return block_pairs(candidates, cfg).unionByName(rare_token_pairs(candidates, cfg)).distinct()

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one is set where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; on a cluster
+    that would lose data, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pricegrain-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

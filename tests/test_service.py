@@ -165,3 +165,32 @@ def test_streams_take_nulls(spark, tmp_path, first):
     got = {r.event_id: r.event for r in twins.finished(twins.watch(stream), "watch").collect()}
     batch = {r.event_id: r.event for r in changes.watch_events(spark.createDataFrame(states, schema), "url", ["ts", "event_id"]).collect()}
     assert got == batch == {3: "published", 4: "sold_out", 5: "purchasable"}
+
+
+def test_blocking_without_caps(spark):
+    """700 offers of one set, above the cap: none pair with it, and all compatible ones without; alike ones are one row."""
+    kind = "id long, stable_key string, game string, set_code string, product_type string, name_key string, tokens array<string>, name string"
+    rows = [(i, f"s{i}", "g" if i % 5 else None, "set", f"t{i % 3}" if i % 4 else None, f"k{i % 90}", ["common", f"k{i % 90}"], f"n{i}") for i in range(700)]
+    c = spark.createDataFrame(rows, kind)
+    fits = lambda a, b: all(x is None or y is None or x == y for x, y in zip(a[2:5], b[2:5]))
+    free = resolve.Scoring(max_bucket=None, max_postings=None, max_candidates=None, max_token_ratio=1.0)
+    shares = lambda a, b: (a[2] == b[2]) or a[5] == b[5]
+    got = [tuple(r) for r in resolve.block_pairs(c, free).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and shares(a, b) and fits(a, b)}
+    buckets = collections.defaultdict(list)
+    for r in rows:
+        for key in (("type", *r[2:5]), ("set", r[2]), ("name", r[5])):
+            buckets[key].append(r)
+    met = {(a[0], b[0]) for bucket in buckets.values() if len(bucket) <= 300 for a in bucket for b in bucket if a[0] < b[0] and fits(a, b)}
+    assert {tuple(r) for r in resolve.block_pairs(c).collect()} == met < set(got)
+    got = [tuple(r) for r in resolve.rare_token_pairs(c, free).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and fits(a, b)}
+
+    one, members = resolve.contracted(c)
+    first = {}
+    for r in rows:
+        first.setdefault((r[2], r[3], r[4], r[5]), r[0])
+    assert {r.id for r in one.collect()} == set(first.values())
+    assert {tuple(r) for r in members.collect()} == {(r[0], first[r[2], r[3], r[4], r[5]]) for r in rows}
+    none = c.limit(0)
+    assert not resolve.block_pairs(none, free).count() and not resolve.contracted(none)[1].count()
