@@ -149,3 +149,20 @@ def health_notices(states: DataFrame, order: list[Column | str], now: str = "che
     rows = rows.withColumn("_slot", slot)
     due = F.lag("_slot").over(run).isNull() | (F.col("_slot") > F.lag("_slot").over(run))
     return rows.withColumn("_due", due).filter("_due AND signature <> ''").drop("_run", "_slot", "_due")
+
+
+def may_speak(now: Column, last_run: Column, last_sent: Column, band: tuple[int, int] = (9, 22), stale_hours: float = 24, quiet_hours: float = 1, run_minutes: int = 20, zone: str = "America/Santiago") -> Column:
+    """Whether a filler may go out: the local hour is in the band, the newest run is neither too old nor just
+    begun, and the last message is some time ago (or there was none)."""
+    from pricegrain.functions.money import hours_since, in_hours
+
+    age, silence = hours_since(last_run, now), hours_since(last_sent, now)
+    return in_hours(now, *band, zone) & F.coalesce((age <= stale_hours) & (age * 60 > run_minutes), F.lit(False)) & F.coalesce(silence >= quiet_hours, F.lit(True))
+
+
+def accepted_comments(new: DataFrame, products: DataFrame, key: str = "product_id", longest: int = 4000) -> DataFrame:
+    """Comments on known products whose text, without white space at its ends, has one to so many characters; an empty
+    author is none."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = new.withColumns({"body": strip("body"), "author": F.nullif(strip("author"), F.lit(""))})
+    return rows.filter(F.char_length("body").between(1, longest)).join(products.select(key), key, "left_semi").select(new.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pricegrain.functions.similarity import jaccard, name_similarity
 from pricegrain.operators.graph import min_labels
 from pricegrain.operators.market import inverse_document_frequency, majority
-from pricegrain.operators.storage import written
+from pricegrain.operators.storage import ordered_pair, upsert, written
 
 
 #: Rows of a key that one task pairs with as many others: larger keys are split into cells.
@@ -417,3 +417,60 @@ def products_of(candidates: DataFrame, assignment: DataFrame) -> DataFrame:
     for c in ("game", "set_code", "product_type", "language"):
         out = out.join(majority(rows, "product_key", c, "id"), "product_key", "left")
     return out
+
+
+def decision_sides(decisions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each decision with the offers its keys stand for; a side whose offer is gone has none and is marked."""
+    a, b = (keys.select(F.col("stable_key").alias(f"{s}_key"), F.col("id").alias(s)) for s in ("a", "b"))
+    joined = decisions.join(a, "a_key", "left").join(b, "b_key", "left")
+    return joined.select(*decisions.columns, "a", "b", F.col("a").isNull().alias("a_missing"), F.col("b").isNull().alias("b_missing"))
+
+
+def save_decisions(decisions: DataFrame, new: DataFrame, at: str = "decided_at") -> DataFrame:
+    """New decisions replace those about the same two keys, whichever way round they are given; of several new ones
+    about a pair the last stays (of one time, the greatest word)."""
+    x, y = ordered_pair("a_key", "b_key")
+    keyed = new.withColumns({"a_key": x, "b_key": y})
+    last = keyed.groupBy("a_key", "b_key").agg(F.max(F.struct(at, "decision")).alias("_v")).select("a_key", "b_key", "_v.*")
+    return upsert(decisions, last, ["a_key", "b_key"])
+
+
+def forget_decisions(decisions: DataFrame, queue: DataFrame, keys: DataFrame, forgotten: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M21e, M21f: (decisions, queue) without the forgotten decisions (a_key, b_key); the reviews of their pairs, whichever
+    way round, wait again."""
+    gone = forgotten.select("a_key", "b_key").distinct()
+    left = decisions.join(gone, ["a_key", "b_key"], "left_anti").select(decisions.columns)
+    found = decision_sides(decisions.join(gone, ["a_key", "b_key"], "left_semi"), keys).select("a", "b")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("_open", F.lit(True))
+    reviews = queue.join(both, ["a", "b"], "left").withColumn("status", F.when(F.col("_open"), "pending").otherwise(F.col("status")))
+    return left, reviews.select(queue.columns)
+
+
+#: Attributes of an offer that may be corrected by hand.
+EDITABLE = ("language", "set_code", "product_type", "url")
+
+
+def refused_overrides(changes: DataFrame) -> DataFrame:
+    """Corrections of other attributes, and addresses that are no web addresses."""
+    url = (F.col("attribute") == "url") & ~F.coalesce(F.ltrim("value").rlike("^https?://"), F.lit(True))
+    return changes.filter(~F.col("attribute").isin(*EDITABLE) | (url & (F.col("value") != "")))
+
+
+def set_overrides(overrides: DataFrame, changes: DataFrame) -> DataFrame:
+    """Corrections (entity_key, attribute, value) after changes, one of a key and attribute; null takes one back. What
+    refused_overrides finds changes nothing."""
+    valid = changes.join(refused_overrides(changes).select("entity_key", "attribute"), ["entity_key", "attribute"], "left_anti")
+    valid = valid.withColumn("value", F.when(F.col("attribute") == "url", F.trim("value")).otherwise(F.col("value")))
+    return upsert(overrides, valid.select(overrides.columns), ["entity_key", "attribute"]).filter("value IS NOT NULL")
+
+
+def with_overrides(extracted: DataFrame, overrides: DataFrame, key: str = "stable_key") -> DataFrame:
+    """J13, M21g: offers, as extracted from their names, with the corrections put over; so an offer whose correction was
+    taken back has again what its name says. An empty language means none; other empty values change nothing. The address
+    is the offer's identity and stays: a corrected one is shown_url."""
+    one = lambda a: F.max(F.when(F.col("attribute") == a, F.col("value"))).alias(f"_{a}")
+    wide = overrides.groupBy(F.col("entity_key").alias(key)).agg(*map(one, EDITABLE))
+    joined = extracted.join(wide, key, "left")
+    other = {c: F.coalesce(F.nullif(f"_{c}", F.lit("")), c) for c in ("set_code", "product_type")}
+    language = F.when(F.col("_language").isNotNull(), F.nullif("_language", F.lit(""))).otherwise(F.col("language"))
+    return joined.withColumns(other | {"language": language, "shown_url": F.coalesce(F.nullif("_url", F.lit("")), "url")}).drop(*(f"_{a}" for a in EDITABLE)).select(*extracted.columns, "shown_url")

@@ -134,3 +134,46 @@ def suggest(products: DataFrame, score: Column, query: str, top: int = 8, least:
 def by_id_or_code(rows: DataFrame, wanted: str, key: str, code: str) -> DataFrame:
     """Q17: the row whose number or code is what was asked for."""
     return rows.filter((F.col(key) == F.lit(wanted).try_cast("long")) | (F.col(code) == wanted))
+
+
+def other_editions(products: DataFrame, cut: float = 0.55) -> DataFrame:
+    """For each product and each other language the product most like it by name (of several the smallest id):
+    (product_id, edition, other, likeness).
+
+    products: product_id, name, game, type, units, language, set_code. Game (null-safely), type and units (null is 0) are the
+    same, sets too where both have one; the likeness of the names (search_score) is cut at least. Products alike in all these
+    are compared as one, so hundreds of copies cost one comparison, and only names that differ go to Python, once a pair.
+    """
+    from pricegrain.functions.similarity import search_score
+
+    same, own = ["game", "type", "units"], ["language", "set_code", "name"]
+    p = products.select("product_id", "game", "type", F.coalesce("units", F.lit(0)).alias("units"), *own).filter("type IS NOT NULL")
+    kinds = p.groupBy(*same, *own).agg(F.min("product_id").alias("first"))
+    a, b = kinds.alias("a"), kinds.alias("b")
+    alike = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same]
+    sets = F.coalesce(F.nullif("a.set_code", F.lit("")) == F.nullif("b.set_code", F.lit("")), F.lit(True))
+    pairs = a.join(b, [*alike, F.col("b.language").isNotNull(), ~F.col("a.language").eqNullSafe(F.col("b.language")), sets])
+    pairs = pairs.select(*(F.col(f"a.{c}").alias(c) for c in same + own), F.col("b.language").alias("edition"), F.col("b.name").alias("found"), F.col("b.first").alias("other"))
+    words = lambda c: F.split(F.trim(c), r"\s+")
+    names = pairs.filter("trim(name) <> ''").select("name", "found").distinct().withColumn("likeness", search_score(words("name"), words("found"))).filter(F.col("likeness") >= cut)
+    best = pairs.join(names, ["name", "found"]).groupBy(*same, *own, "edition").agg(F.max(F.struct("likeness", F.negative("other").alias("o"))).alias("_b"))
+    b = best.alias("b")
+    joined = p.alias("p").join(b, [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same + own])
+    return joined.select("product_id", "edition", F.negative("_b.o").alias("other"), F.col("_b.likeness").alias("likeness"))
+
+
+def admin_offers(offers: DataFrame, overrides: DataFrame, *, text: str | None = None, store: int | None = None, language: str | None = None, edited: bool = False, key: str = "stable_key") -> DataFrame:
+    """offers whose name, address or sku holds a text (case aside), of a shop, of a language ('unknown': of none), by
+    hand edited ones only; with n_manual, the number of their corrections. All filters come before any paging."""
+    out = offers
+    if text:
+        out = out.filter(F.coalesce(F.contains(F.lower(F.concat_ws("\n", "name", "url", "sku")), F.lit(text.lower())), F.lit(False)))
+    if store is not None:
+        out = out.filter(F.col("store_id") == store)
+    if language == "unknown":
+        out = out.filter(F.col("language").isNull())
+    elif language:
+        out = out.filter(F.col("language") == language)
+    counts = overrides.groupBy(F.col("entity_key").alias(key)).agg(F.count("*").alias("n_manual"))
+    out = out.join(counts, key, "inner" if edited else "left")
+    return out.withColumn("n_manual", F.coalesce("n_manual", F.lit(0)).cast("long"))

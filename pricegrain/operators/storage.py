@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -90,3 +90,8 @@ def extend_term(now: Column, expiry: Column, active: Column, days: Column) -> Co
     """An active term goes on from its end, any other from now."""
     start = F.when(active & (expiry > now), expiry).otherwise(now)
     return F.timestamp_add("DAY", days, start)
+
+
+def delete_cascade(gone: DataFrame, key: str, tables: Mapping[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Each table without the rows whose named column refers to a key that is gone; rows that refer to none stay."""
+    return {name: rows.join(gone.select(F.col(key).alias(column)), column, "left_anti").select(rows.columns) for name, (rows, column) in tables.items()}

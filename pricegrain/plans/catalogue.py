@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricegrain.plans import changes, comparison, expressions, feeds, matching, search, service, tables
+from pricegrain.plans import changes, comparison, expressions, feeds, matching, search, service, tables, upkeep
 from pricegrain.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "changes", "comparison", "expressions", "feeds", "matching", "search", "service", "tables"]
+__all__ = ["ORACLE", "QUERIES", "changes", "comparison", "expressions", "feeds", "matching", "search", "service", "tables", "upkeep"]
