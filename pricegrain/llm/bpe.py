@@ -16,6 +16,12 @@ from pricegrain.llm.chunks import ChunkStore, in_batches
 from pricegrain.llm.common import id_type
 
 _LOADED: dict = {}
+#: Binary logarithm of the slots that pairs of tokens are looked up by; there are some times fewer pairs.
+_SLOT_BITS = 21
+#: Places up to which the lookups of a merge are cheaper one by one.
+_FEW = 24
+#: The beginning of a pattern's text by which runs of letters are not divided.
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
 
 
 class Vocabulary:
@@ -35,14 +41,34 @@ class Vocabulary:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.n + right] = rank
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.made = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int32)
+        self.merge_of = pairs
+        # pairs lie in the order of their slots, with one more behind them that no key equals; a slot knows its first pair
+        keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
+        order = np.argsort(self._slot(keys), kind="stable")
+        self.pairs = np.append(keys[order], -1)
+        self.made = np.append(np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))[order], np.int32(-1))
+        held = np.bincount(self._slot(keys), minlength=1 << _SLOT_BITS)
+        self.first = np.where(held > 0, np.cumsum(held) - held, len(keys)).astype(np.int32)
+        self.most = int(held.max(initial=1))  # pairs of the fullest slot
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, -1 where there is none."""
         key = left.astype(np.int64) * self.n + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.made[at], -1)
+        at = self.first[self._slot(key)]
+        hit = self.pairs[at] == key
+        found = np.where(hit, self.made[at], np.int32(-1))
+        for nth in range(1, self.most):  # the few keys whose slot holds other pairs before theirs
+            rest = np.flatnonzero(~hit & (self.pairs[at] >= 0)) if nth == 1 else rest[self.pairs[at[rest] + nth - 1] != key[rest]]
+            rest = rest[at[rest] + nth < len(self.pairs)]
+            if not len(rest):
+                break
+            same = rest[self.pairs[at[rest] + nth] == key[rest]]
+            found[same] = self.made[at[same] + nth]
+        return found
 
     @staticmethod
     def of(path: str) -> Vocabulary:
@@ -75,11 +101,26 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
     alive = np.ones(total, dtype=bool)
     due = np.full(total, -1, dtype=np.int32)  # rank of the merge of each place with the next, -1 for none
     index: dict[int, list[np.ndarray]] = {}
+    single: dict[int, list[int]] = {}  # places that were indexed one by one
+    merge_of = vocab.merge_of.get
     heap: list[int] = []
 
     def pair_up(places: np.ndarray) -> None:
         """Look up the merges of these places and index them; a place that is met twice is indexed twice."""
         nxt = following[places]
+        if len(places) <= _FEW:
+            rights = token[np.minimum(nxt, total - 1)].tolist()
+            ranks = [merge_of(a * vocab.n + b, -1) if x < total else -1 for a, b, x in zip(token[places].tolist(), rights, nxt.tolist())]
+            due[places] = ranks
+            for place, rank in zip(places.tolist(), ranks):
+                if rank >= 0:
+                    if rank in single:
+                        single[rank].append(place)
+                    else:
+                        single[rank] = [place]
+                        if rank not in index:
+                            heapq.heappush(heap, rank)
+            return
         found = vocab.merged(token[places], token[np.minimum(nxt, total - 1)])
         found[nxt == total] = -1
         due[places] = found
@@ -95,20 +136,25 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
                 index[rank].append(part)
             else:
                 index[rank] = [part]
-                heapq.heappush(heap, rank)
+                if rank not in single:
+                    heapq.heappush(heap, rank)
 
     for at in range(0, total, 1 << 18):
         pair_up(np.arange(at, min(total, at + (1 << 18)), dtype=np.int32))
     while heap:
         rank = heapq.heappop(heap)
-        parts = index.pop(rank)
+        parts = index.pop(rank, [])
+        if rank in single:
+            parts.append(np.array(single.pop(rank), dtype=np.int32))
         places = np.concatenate(parts) if len(parts) > 1 else parts[0]
         places = places[due[places] == rank]
         if not len(places):
             continue
         if len(places) > 1:
-            places = np.sort(places)
-            places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+            places.sort()  # a copy of its own
+            new = places[1:] != places[:-1]
+            if not new.all():
+                places = places[np.append(True, new)]
         nxt = following[places]
         if len(places) > 1 and (chained := nxt[:-1] == places[1:]).any():
             # runs of overlapping places ("aa" in "aaaa"): the 1st, 3rd, 5th ... of each merge; what is left is looked up below
@@ -132,7 +178,9 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
 
 def encode_chunks(chunks: list[str], vocab: Vocabulary, pattern: regex.Pattern) -> Iterator[bytes]:
     """Ids of each chunk: of each match of the pattern, whole if it is a token, else by replaying the merges."""
-    matches = [[m.encode() for m in pattern.findall(c)] for c in chunks]
+    # where the pattern begins so, letters of ASCII, after one blank or none, are one match
+    whole = pattern.pattern.startswith(_LETTERS)
+    matches = [[c.encode()] if whole and c.isascii() and c.removeprefix(" ").isalpha() else [m.encode() for m in pattern.findall(c)] for c in chunks]
     ranks = vocab.ranks
     words = list({m for ms in matches for m in ms if m not in ranks})
     known = {w: ids.tobytes() for w, ids in zip(words, replay(words, vocab), strict=True)}
