@@ -141,7 +141,7 @@ def other_editions(products: DataFrame, cut: float = 0.55) -> DataFrame:
     (product_id, edition, other, likeness).
 
     products: product_id, name, game, type, units, language, set_code. Game (null-safely), type and units (null is 0) are the
-    same, sets too where both have one; the likeness of the names (search_score) is cut at least. Products alike in all these
+    same, sets too where both have one; the likeness of the names (search_score) is cut at least; an empty name is like none. Products alike in all these
     are compared as one, so hundreds of copies cost one comparison, and only names that differ go to Python, once a pair.
     """
     from pricegrain.functions.similarity import search_score
@@ -154,8 +154,8 @@ def other_editions(products: DataFrame, cut: float = 0.55) -> DataFrame:
     sets = F.coalesce(F.nullif("a.set_code", F.lit("")) == F.nullif("b.set_code", F.lit("")), F.lit(True))
     pairs = a.join(b, [*alike, F.col("b.language").isNotNull(), ~F.col("a.language").eqNullSafe(F.col("b.language")), sets])
     pairs = pairs.select(*(F.col(f"a.{c}").alias(c) for c in same + own), F.col("b.language").alias("edition"), F.col("b.name").alias("found"), F.col("b.first").alias("other"))
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    names = pairs.filter("trim(name) <> ''").select("name", "found").distinct().withColumn("likeness", search_score(words("name"), words("found"))).filter(F.col("likeness") >= cut)
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    names = pairs.select("name", "found").distinct().withColumn("likeness", search_score(words("name"), words("found"))).filter(F.col("likeness") >= cut)
     best = pairs.join(names, ["name", "found"]).groupBy(*same, *own, "edition").agg(F.max(F.struct("likeness", F.negative("other").alias("o"))).alias("_b"))
     b = best.alias("b")
     joined = p.alias("p").join(b, [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same + own])
