@@ -103,7 +103,36 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_byte_bpe, op4_quality, op5_media_columns, op6_substring_dedup, op7_near_dedup, op8_language_id, pages_language, op9_best_fit_packing, op10_exact_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricegrain.llm.filter_audit import failure_masks, filter_audit
+
+    return filter_audit(failure_masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricegrain.llm.fingerprints import beside_next
+
+    return beside_next(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", "edited_sha256", F.base64("sketch").alias("fingerprint"), F.base64("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
+def source_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources: how many distinct shingles each has, and how alike it is to the whole corpus, from merged fingerprints alone."""
+    from pricegrain.llm.fingerprints import contained, fingerprints, likeness, merged_sketches
+
+    parts = merged_sketches(fingerprints(documents(spark, sf_dir)).select("source", "sketch"), "source")
+    whole = merged_sketches(parts.select(F.lit(1).alias("all"), "sketch"), "all").select(F.col("sketch").alias("whole"))
+    return parts.join(F.broadcast(whole)).select("source", F.base64("sketch").alias("fingerprint"), "n_distinct", likeness("sketch", "whole").alias("of_corpus"), contained("whole", "sketch").alias("covers"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricegrain.llm.clustering import delta_lloyd
+
+    return delta_lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_byte_bpe, op4_quality, op5_media_columns, op6_substring_dedup, op7_near_dedup, op8_language_id, pages_language, op9_best_fit_packing, op10_exact_dedup, op11_filter_audit, op12_fingerprints, source_sketches, op13_centroid_clustering)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -121,7 +150,57 @@ def _refinements_sql() -> str:
     return ", ".join(f"('{a}', '{b}')" for a, b in refinements(TEMPLATES))
 
 
+def _lloyd_sql(rounds: int = 10) -> str:
+    """Plain rounds: every distance, then every mean."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS MATERIALIZED (SELECT r, c, list_sum(list_transform(list_zip(kept.v, cent.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{i} AS cent),
+a{i} AS MATERIALIZED (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY pos) AS v FROM (
+    SELECT c, pos, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i} JOIN kept USING (r)) GROUP BY c, pos
+  ) GROUP BY c UNION ALL SELECT c, v FROM c{i} WHERE c NOT IN (SELECT c FROM a{i})
+)""")
+    return ",\n".join(parts)
+
+
 ORACLE = {
+    "op11_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+words AS (SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda w: w <> '') AS words FROM d),
+failed AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM words
+),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM failed LEFT JOIN said USING (doc_id) GROUP BY part, mask),
+letter(b, l) AS (VALUES (1, 'A'), (2, 'B'), (4, 'C'), (8, 'D'), (16, 'E')),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM letter p, letter q, letter r, letter s, letter t
+  WHERE p.b | q.b | r.b | s.b | t.b = 31
+),
+steps AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM orders, range(1, 6) AS k(step)),
+counted AS (
+  SELECT part, filter_order, step, own, substr(filter_order, step, 1) AS filter, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own, before
+)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted
+""",
+    "op13_centroid_clustering": f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY sha256('3:' || vec_id), v LIMIT 8),
+{_lloyd_sql()}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(cent.v, ',')) AS centroid_sha256
+FROM a10 JOIN kept USING (r) JOIN c10 AS cent USING (c)
+""",
     "op1_license_scan": f"""
 WITH templates(template, license, phrase) AS (VALUES {_templates_sql()}), finer(general, special) AS (VALUES {_refinements_sql()}),
 term AS (SELECT template, license, t, count(*) AS tf FROM (SELECT template, license, unnest(regexp_split_to_array(phrase, '[^a-z0-9]+')) AS t FROM templates) WHERE t <> '' GROUP BY ALL),
