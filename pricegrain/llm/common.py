@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
+WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

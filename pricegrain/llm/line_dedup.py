@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricegrain.llm.common import SPACE, ascii_lower, fresh, hot_keys, materialize
+from pricegrain.llm.common import WHITE, ascii_lower, fresh, hot_keys, materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -16,7 +16,7 @@ def _lines(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", ""))
+    return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
 def _digest(key: Column) -> Column:

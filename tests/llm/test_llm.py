@@ -54,6 +54,12 @@ def test_exact_dedup(spark):
     check_exact(odd(spark))
     check_exact(spark.createDataFrame([(i, "hot" if i % 3 else f"t{i % 50}") for i in range(2000)], "doc_id long, text string"))
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+    # rows alike in id and text, rows without id, and both: one of each group stays
+    rows = [(1, "a"), (1, "a"), (2, "a"), (None, "a"), (None, "b"), (None, "b"), (4, "c " * 200_000), (3, "c  " * 200_000)] + [(9, "hot")] * 500
+    got = collections.defaultdict(list)
+    for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.text_sha256].append((r.kept, r.keep_id, r.group_size))
+    assert sorted((sum(k for k, _, _ in v), len(v), v[0][1] or 0, v[0][2]) for v in got.values()) == [(1, 2, 0, 2), (1, 2, 3, 2), (1, 4, 1, 4), (1, 500, 9, 500)]
 
 
 def check_lines(df):
@@ -78,6 +84,8 @@ def check_lines(df):
 def test_line_dedup(spark):
     random.seed(2)
     pool = [" Common line number %d of them all " % i for i in range(30)] + ["short", "", "ANOTHER LONG LINE FOR THE CASES"]
+    # other line and space characters belong to the key, white space before them too
+    pool += ["A line with an odd end of it" + space + end for end in ("\x85", "\u2028", "\u2029", "\xa0", "\x1c") for space in ("", " ", "\t\r")]
     rows = [(i, "\n".join(random.choice(pool) for _ in range(random.randint(1, 40))) if i % 7 else "a very hot line in every text") for i in range(300)]
     check_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     check_lines(odd(spark))
