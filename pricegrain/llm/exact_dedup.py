@@ -13,29 +13,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Group equal texts; of each group the row with the smallest id stays.
 
     Texts are equal when identical after each run of white space becomes one space; null counts as empty, so null and
-    empty texts form one group (a text of white space alone is one space and another group). Rows with an equal id are
-    rows of their own. Only id and text are read: other columns may have any names. An empty table gives no rows.
+    empty texts form one group (a text of white space alone is one space and another group). Exactly one row of a group
+    has kept: where several have the smallest id (they are alike in id and text), any one of them; a row without id only
+    where none of the group has one, and then keep_id is null. Only id and text are read: other columns may have any names. An empty table gives no rows.
 
     Digests, not texts, are shuffled. Digests above the hot share are found with Misra-Gries, counted exactly (the
     count is summed before it is shuffled) and broadcast: at most 1 / share of them, whatever the size of the input.
     Returns id, keep_id, group_size, kept, text_sha256.
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", " ")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     candidates = hot_keys(rows, "digest")
-    winners = rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    winners = rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(least.alias("least"), F.count("*").alias("group_size"))
     marked = rows.join(F.broadcast(winners), "digest", "left")
-    hot = marked.filter("keep_id IS NOT NULL")
+    hot = marked.filter("least IS NOT NULL")
     group = W.partitionBy("digest")
     cold = (
-        marked.filter("keep_id IS NULL")
-        .select("doc_id", "digest")
-        .withColumns({"keep_id": F.min("doc_id").over(group), "group_size": F.count("*").over(group)})
+        marked.filter("least IS NULL")
+        .select("doc_id", "digest", "row")
+        .withColumns({"least": least.over(group), "group_size": F.count("*").over(group)})
     )
-    return hot.select("doc_id", "digest", "keep_id", "group_size").unionByName(cold).select(
+    return hot.select("doc_id", "digest", "row", "least", "group_size").unionByName(cold.select("doc_id", "digest", "row", "least", "group_size")).select(
         F.col("doc_id").alias(id_col),
-        "keep_id",
+        F.col("least.doc_id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("row") == F.col("least.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
