@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricegrain.llm.chunks import in_batches
@@ -22,7 +21,7 @@ MAX_TRAINING_DOCS, MAX_TRAINING_LINES = 3000, 200_000
 NOISE = 0.35
 THRESHOLD = 0.3
 N_FEATURES = 14
-#: A line longer than so many characters has the mean features of its pieces.
+#: A line longer than so many characters has the mean features of its pieces, weighted by their lengths (a bound on memory).
 LONG_LINE = 1 << 16
 #: Chains of training are cut after so many lines. Texts of more lines than PART are scored in parts that overlap by MARGIN
 #: lines, whose own marginals are not used: what lies further off has no weight in the chain.
@@ -237,7 +236,8 @@ def held_out(id_col: str = "doc_id"):
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAINING_DOCS, max_lines: int = MAX_TRAINING_LINES) -> LineCRF:
     """Fit on at most max_docs labelled documents that are not held out, those of the smallest hashed ids, as long as they have
-    max_lines lines together; a document that would go beyond is left out whole. Null labels and texts are left out; of
+    max_lines lines together. A document that would go beyond, or has more than a tenth of max_lines by itself, is left
+    out whole and changes nothing for those after it. Null labels and texts are left out; of
     two labels the smaller counts; rows alike in id and text are one. Features are extracted on the executors, and those
     alone, 56 bytes a line, come to the driver.
     """
@@ -248,9 +248,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     )
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL").join(F.broadcast(chosen), "_id").withColumn("_key", F.xxhash64("_text"))
     n_lines = F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
-    places = rows.select("_id", "_key", n_lines.cast("long").alias("_n")).distinct().orderBy(F.xxhash64("_id"), "_id", "_key").limit(max_docs)
-    so_far = F.sum("_n").over(W.orderBy(F.xxhash64("_id"), "_id", "_key").rowsBetween(W.unboundedPreceding, 0))  # of max_docs rows
-    picked = places.withColumn("_sum", so_far).filter(F.col("_sum") <= max_lines).select("_id", "_key")
+    places = rows.select("_id", "_key", n_lines.cast("long").alias("_n")).distinct().filter(F.col("_n") <= max_lines // 10)
+    # max_docs rows at most, three numbers each
+    taken, total = [], 0
+    for r in places.orderBy(F.xxhash64("_id"), "_id", "_key").limit(max_docs).collect():
+        if total + r["_n"] <= max_lines:
+            taken.append((r["_id"], r["_key"]))
+            total += r["_n"]
+    picked = docs.sparkSession.createDataFrame(taken, rows.select("_id", "_key").schema)
     sample = rows.join(F.broadcast(picked), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -83,3 +83,11 @@ def test_line_quality_rows(spark, model):
     got = quality.line_quality(df, model).collect()
     assert len(got) == 4 and all(0 <= r.good <= 1 and r.length > 0 for r in got)
     assert quality.line_quality(df.filter(F.lit(False)), model).count() == 0
+
+
+def test_long_documents_leave_the_sample_as_it_is(spark):
+    rows = [(i, "\n".join(["a good line of plain words, all in order."] * 3 if i % 2 else ["### $$ 00 xx"] * 3)) for i in range(300)]
+    labels = [(i, i % 2, 0) for i in range(300)]
+    fit = lambda extra: quality.train_quality(spark.createDataFrame(rows + extra, "doc_id long, text string"), spark.createDataFrame(labels + [(i, 1, 0) for i, _ in extra], "doc_id long, quality int, toxic int"), max_lines=2000)
+    plain, beside = fit([]), fit([(10_000 + i, "\n" * n) for i, n in enumerate([2001, 250, 50_000, 201])])
+    assert np.allclose(plain.weights, beside.weights) and np.abs(plain.weights).max() > 0.1
