@@ -56,12 +56,21 @@ def parse_stock(raw: Text, fallback: str = "unknown") -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(fallback)).otherwise(out)
 
 
+#: What shops declare of stock, by letters alone; a page that declares several means the first of these.
+AVAILABILITY = (
+    ("preorder", ("preorder", "presale", "preventa", "backorder")),
+    ("out_of_stock", ("outofstock", "soldout", "discontinued")),
+    ("in_stock", ("instock", "limitedavailability", "onlineonly", "instoreonly")),
+)
+
+
 def availability(raw: Text) -> Column:
-    """Schema.org values, by their letters alone."""
-    letters = F.lower(F.regexp_replace(_col(raw), "[^A-Za-z]", ""))
-    return F.when(letters.contains("preorder") | letters.contains("presale") | letters.contains("backorder"), "preorder").when(
-        letters.contains("outofstock") | letters.contains("soldout") | letters.contains("discontinued"), "out_of_stock"
-    ).when(letters.contains("instock") | letters.contains("limitedavailability") | letters.contains("onlineonly"), "in_stock").otherwise("unknown")
+    """Declared availability, in any spelling and as an address too."""
+    letters = F.regexp_replace(F.lower(_col(raw)), "[^a-z]", "")
+    out = F.lit("unknown")
+    for state, words in reversed(AVAILABILITY):
+        out = F.when(letters.rlike("|".join(words)), F.lit(state)).otherwise(out)
+    return out
 
 
 def clean_url(url: Text) -> Column:
@@ -138,10 +147,16 @@ def number(raw: Text) -> Column:
     return F.trim(_col(raw)).try_cast("double")
 
 
+#: The declarations of a page's own price, in the order in which they are believed. Prices in scripts are left
+#: out, as they may be those of related goods.
+META_PRICES = (
+    r'property="tiendanube:price"\s+content="([^"]+)"',
+    r'property="(?:og:)?price:amount"\s+content="([^"]+)"',
+    r'content="([^"]+)"\s+property="(?:og:)?price:amount"',
+    r'itemprop="price"[^>]*content="([^"]+)"',
+)
+
+
 def meta_price(page: Text) -> Column:
     """The first of the usual price declarations of a page that is a number."""
-    patterns = [
-        r"""(?i)property=["'](?:product|og):price:amount["'][^>]*content=["']([^"']+)""", r"""(?i)content=["']([^"']+)["'][^>]*property=["'](?:product|og):price:amount""",
-        r"""(?i)itemprop=["']price["'][^>]*content=["']([^"']+)""", r'"price"\s*:\s*"?([0-9][0-9.,]*)',
-    ]
-    return F.coalesce(*(parse_price(F.nullif(F.regexp_extract(_col(page), p, 1), F.lit(""))) for p in patterns))
+    return F.coalesce(*(parse_price(F.nullif(F.regexp_extract(_col(page), p, 1), F.lit(""))) for p in META_PRICES))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pricegrain.operators.chains import greedy_chain
+
 
 def snapshot_diff(stored: DataFrame, seen: DataFrame, key: str = "offer_key", digest: str = "content_hash", scope: str = "store_id", alive: DataFrame | None = None) -> DataFrame:
     """(scope, key, change) with new, changed, unchanged or removed.
@@ -133,22 +135,18 @@ def mark_seen(hits: DataFrame, ids: DataFrame | None = None, key: str = "hit_id"
     return hits.join(given, key, "left").withColumn("seen", F.coalesce("_given", "seen", F.lit(False))).drop("_given").select(hits.columns)
 
 
-def health_notices(states: DataFrame, order: list[Column | str], now: str = "checked_at", hours: float = 12) -> DataFrame:
-    """Which of a shop's checks are worth a notice: (store_id, problems, ...) whose signature, the problems in order,
-    is another than at the last check, or the same but told of before so many hours. No problem tells nothing.
-
-    A run of checks with one signature is told of at its start and whenever the hours have passed since the telling; the
-    tellings of a run lie at fixed distances from its start, so no state is needed but the start.
+def health_notices(states: DataFrame, order: list[Column | str], now: str = "checked_at", hours: float = 12, recovered: bool = False) -> DataFrame:
+    """Which of a shop's checks are worth a notice: (store_id, problems, ..., signature). The signature is the problems in
+    order. A check tells if its signature is another than at the check before, or the same and so many hours have passed
+    since the last telling (0 or less: never again). No problem tells nothing, but ends the signature; with recovered, the
+    first check without problems after one with tells so, with an empty signature. Order begins with now.
     """
     w = W.partitionBy("store_id").orderBy(*order)
-    rows = states.withColumn("signature", F.array_join(F.array_sort("problems"), ","))
-    fresh = ~F.lag("signature").over(w).eqNullSafe(F.col("signature"))
-    rows = rows.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy("store_id", "_run").orderBy(*order)
-    slot = F.floor((F.unix_timestamp(now) - F.first(F.unix_timestamp(now)).over(run)) / (hours * 3600))
-    rows = rows.withColumn("_slot", slot)
-    due = F.lag("_slot").over(run).isNull() | (F.col("_slot") > F.lag("_slot").over(run))
-    return rows.withColumn("_due", due).filter("_due AND signature <> ''").drop("_run", "_slot", "_due")
+    rows = states.withColumn("signature", F.coalesce(F.array_join(F.array_sort("problems"), ","), F.lit("")))
+    before = F.coalesce(F.lag("signature").over(w), F.lit(""))
+    rows = rows.withColumn("_other", before != F.col("signature")).filter("_other OR signature <> ''")
+    found = greedy_chain(rows, ["store_id"], order, now, hours, "_other") if hours > 0 else rows.filter("_other")
+    return (found if recovered else found.filter("signature <> ''")).drop("_other")
 
 
 def may_speak(now: Column, last_run: Column, last_sent: Column, band: tuple[int, int] = (9, 22), stale_hours: float = 24, quiet_hours: float = 1, run_minutes: int = 20, zone: str = "America/Santiago") -> Column:
@@ -163,6 +161,6 @@ def may_speak(now: Column, last_run: Column, last_sent: Column, band: tuple[int,
 def accepted_comments(new: DataFrame, products: DataFrame, key: str = "product_id", longest: int = 4000) -> DataFrame:
     """Comments on known products whose text, without white space at its ends, has one to so many characters; an empty
     author is none."""
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    strip = lambda c: F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
     rows = new.withColumns({"body": strip("body"), "author": F.nullif(strip("author"), F.lit(""))})
     return rows.filter(F.char_length("body").between(1, longest)).join(products.select(key), key, "left_semi").select(new.columns)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pricegrain.operators.chains import greedy_chain
+
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column | str], values: list[str]) -> DataFrame:
     """The row of each key that is largest by order (W10: last wins). A maximum, so a hot key is
@@ -28,21 +30,35 @@ def price_lows(history: DataFrame, current: DataFrame, key: str = "product_id",
     return found.withColumn("drop_pct", F.try_divide(F.col("highest") - F.col("current"), F.col("highest")) * 100)
 
 
-def price_changes(observed: DataFrame, key: list[str], order: list[Column | str], price: str = "price", status: str = "stock_status", time: str = "seen_at", step: float = 0.001) -> DataFrame:
+def price_changes(
+    observed: DataFrame, key: list[str], order: list[Column | str], price: str = "price", status: str = "stock_status", time: str = "seen_at", step: float = 0.001, name: str | None = None, digest: str | None = None
+) -> DataFrame:
     """R2: typed events between consecutive observations of an offer, one row each.
 
     price_drop and price_rise from a difference above step on; back_in_stock only from out_of_stock or coming_soon to
-    in_stock; out_of_stock on reaching it; any other change of status is a stock_change. pct_change is of the old price.
+    in_stock; out_of_stock on reaching it; any other change of status is a stock_change; with name, a name_change.
+    pct_change is of the old price. digest: a column; observations whose digest is that of the one before say nothing.
     """
     w = W.partitionBy(*key).orderBy(*order)
-    p, old = F.col(price), F.col("_old_price")
-    s, was = F.col(status), F.col("_old_status")
-    moved = observed.withColumns({"_old_price": F.lag(price).over(w), "_old_status": F.lag(status).over(w), "_nth": F.row_number().over(w)}).filter("_nth > 1")
+    was = lambda c: F.lag(c).over(w)
+    own = {"_old_price": was(price), "_old_status": was(status), "_nth": F.row_number().over(w)}
+    if name is not None:
+        own["_old_name"] = was(name)
+    if digest is not None:
+        own["_same"] = was(digest).eqNullSafe(F.col(digest))
+    moved = observed.withColumns(own).filter("_nth > 1")
+    if digest is not None:
+        moved = moved.filter("NOT _same")
+    p, old, s, before = F.col(price), F.col("_old_price"), F.col(status), F.col("_old_status")
     pct = F.round(F.try_divide(p - old, old) * 100, 4)
-    by_price = F.when(F.abs(p - old) > step, F.struct(F.when(p < old, "price_drop").otherwise("price_rise").alias("type"), old.cast("string").alias("old_value"), p.cast("string").alias("new_value"), pct.alias("pct_change")))
-    kind = F.when((s == "in_stock") & was.isin("out_of_stock", "coming_soon"), "back_in_stock").when(s == "out_of_stock", "out_of_stock").otherwise("stock_change")
-    by_status = F.when(s != was, F.struct(kind.alias("type"), was.alias("old_value"), s.alias("new_value"), F.lit(None).cast("double").alias("pct_change")))
-    events = F.filter(F.array(by_price, by_status), lambda e: e.isNotNull())
+    event = lambda kind, a, b, change: F.struct(kind.alias("type"), a.cast("string").alias("old_value"), b.cast("string").alias("new_value"), change.alias("pct_change"))
+    none = F.lit(None).cast("double")
+    found = [F.when(F.abs(p - old) > step, event(F.when(p < old, "price_drop").otherwise("price_rise"), old, p, pct))]
+    kind = F.when((s == "in_stock") & before.isin("out_of_stock", "coming_soon"), "back_in_stock").when(s == "out_of_stock", "out_of_stock").otherwise("stock_change")
+    found.append(F.when(s != before, event(kind, before, s, none)))
+    if name is not None:
+        found.append(F.when(~F.col(name).eqNullSafe(F.col("_old_name")), event(F.lit("name_change"), F.col("_old_name"), F.col(name), none)))
+    events = F.filter(F.array(*found), lambda e: e.isNotNull())
     return moved.select(*key, F.col(time).alias("created_at"), "_nth", F.explode(events).alias("e")).select(*key, "created_at", F.col("_nth").alias("nth"), "e.*")
 
 
@@ -52,11 +68,17 @@ def daily_deals(events: DataFrame, since: Column, top: int, key: str = "product_
     return events.filter((F.col("type") == "price_drop") & (F.col("created_at") >= since)).groupBy(key).agg(F.max(drop).alias("amount")).filter("amount > 0").orderBy(F.desc("amount"), key).limit(top)
 
 
-def snapshots(observed: DataFrame, key: list[str], order: list[Column | str], price: str = "price", time: str = "seen_at", hours: float = 24) -> DataFrame:
-    """Prices worth recording: the first, each change, and else one where hours passed since the row before."""
+def snapshots(observed: DataFrame, key: list[str], order: list[Column | str], price: str = "price", time: str = "seen_at", hours: float = 24, step: float = 0.001, digest: str | None = None) -> DataFrame:
+    """Prices worth recording: an offer's first, each that differs from the one seen before by more than step, and else
+    one as soon as so many hours have passed since the last recorded one. Null prices are not recorded. digest: a column;
+    rows whose digest is that of the row before are not looked at."""
     w = W.partitionBy(*key).orderBy(*order)
-    due = F.lag(time).over(w).isNull() | ~F.lag(price).over(w).eqNullSafe(F.col(price)) | (F.unix_timestamp(time) - F.unix_timestamp(F.lag(time).over(w)) >= hours * 3600)
-    return observed.withColumn("_due", due).filter("_due").drop("_due")
+    moved = F.abs(F.col(price) - F.lag(price).over(w)) > step
+    rows = observed.withColumn("_moved", F.coalesce(moved, F.lit(False)))
+    if digest is not None:
+        same = (F.row_number().over(w) > 1) & F.lag(digest).over(w).eqNullSafe(F.col(digest))
+        rows = rows.withColumn("_same", same).filter("NOT _same").drop("_same")
+    return greedy_chain(rows.filter(F.col(price).isNotNull()), key, order, time, hours, "_moved").drop("_moved")
 
 
 def running_best(observed: DataFrame, product: str = "product_id", store: str = "store_id", price: str = "price", time: str = "seen_at", segment: str = "year") -> DataFrame:

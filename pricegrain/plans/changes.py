@@ -37,12 +37,42 @@ def price_drops(spark: SparkSession, sf: str) -> DataFrame:
     return history.daily_deals(feed(spark, sf), F.lit("1997-01-01").cast("timestamp"), 30).withColumn("amount", F.round("amount", 6))
 
 
-@query(BASE + f""", w AS (SELECT product_id, store_id, seen_at, price, lag(seen_at) OVER v AS t, lag(price) OVER v AS p FROM observation WINDOW v AS (PARTITION BY product_id, store_id ORDER BY seen_at, {_ASC}))
-SELECT product_id, store_id, seen_at, price FROM w WHERE t IS NULL OR p IS DISTINCT FROM price OR epoch(seen_at) - epoch(t) >= 86400""")
+# the moment of the last record goes along
+_RECORDED = """r AS (
+  SELECT k, n, t, price, t AS last, true AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.k, o.n, o.t, o.price, CASE WHEN abs(o.price - o.p) > 0.001 OR epoch_us(o.t) - epoch_us(r.last) >= 86400000000 THEN o.t ELSE r.last END,
+    abs(o.price - o.p) > 0.001 OR epoch_us(o.t) - epoch_us(r.last) >= 86400000000 FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)"""
+
+
+@query(BASE.replace("WITH", "WITH RECURSIVE", 1) + f""", o AS (SELECT product_id * 1000000 + store_id AS k, seen_at AS t, price, lag(price) OVER v AS p, row_number() OVER v AS n FROM observation WINDOW v AS (PARTITION BY product_id, store_id ORDER BY seen_at, {_ASC})), {_RECORDED}
+SELECT k // 1000000 AS product_id, k % 1000000 AS store_id, t AS seen_at, price FROM r WHERE kept""")
 def price_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return history.snapshots(observations(spark, sf, *NEWEST[1:]), ["product_id", "store_id"], ORDER).select("product_id", "store_id", "seen_at", "price")
 
 
+@query(f"""WITH RECURSIVE o AS (SELECT user_id AS k, event_id, ts AS t, floor(value / 60) AS price, lag(floor(value / 60)) OVER v AS p, row_number() OVER v AS n FROM events WINDOW v AS (PARTITION BY user_id ORDER BY ts, event_id)), {_RECORDED}
+SELECT r.k AS user_id, event_id, r.price FROM r JOIN o ON o.k = r.k AND o.n = r.n WHERE kept""")
+def event_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 over long series of prices that seldom move: what is recorded hangs on the last record."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").alias("seen_at"), F.floor(F.col("value") / 60).cast("double").alias("price"))
+    return history.snapshots(e, ["user_id"], ["seen_at", "event_id"]).select("user_id", "event_id", "price")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, floor(value / 10) AS price, CASE event_type WHEN 'click' THEN 'in_stock' WHEN 'view' THEN 'coming_soon' ELSE 'out_of_stock' END AS stock, 'n' || CAST(floor(value / 40) AS INT) AS name, row_number() OVER w AS nth,
+  lag(floor(value / 10)) OVER w AS p0, lag(CASE event_type WHEN 'click' THEN 'in_stock' WHEN 'view' THEN 'coming_soon' ELSE 'out_of_stock' END) OVER w AS s0, lag('n' || CAST(floor(value / 40) AS INT)) OVER w AS n0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT * FROM o WHERE nth > 1 AND (price <> p0 OR name <> n0))
+SELECT user_id, nth, CASE WHEN price < p0 THEN 'price_drop' ELSE 'price_rise' END AS type FROM c WHERE price <> p0
+UNION ALL SELECT user_id, nth, CASE WHEN stock = 'in_stock' THEN 'back_in_stock' WHEN stock = 'out_of_stock' THEN 'out_of_stock' ELSE 'stock_change' END FROM c WHERE stock <> s0 UNION ALL SELECT user_id, nth, 'name_change' FROM c WHERE name <> n0""")
+def digest_events(spark: SparkSession, sf: str) -> DataFrame:
+    """R2, W11 with names: only where the digest, here of price and name, is another than before."""
+    t = F.col("event_type")
+    e = table(spark, sf, "events").select(
+        "user_id", "event_id", F.col("ts").alias("seen_at"), F.floor(F.col("value") / 10).cast("double").alias("price"), F.when(t == "click", "in_stock").when(t == "view", "coming_soon").otherwise("out_of_stock").alias("stock_status"),
+        F.concat(F.lit("n"), F.floor(F.col("value") / 40).cast("string")).alias("name"),
+    ).withColumn("digest", F.md5(F.concat_ws("|", "price", "name")))
+    return history.price_changes(e, ["user_id"], ["seen_at", "event_id"], name="name", digest="digest").select("user_id", "nth", "type")
+
+
 @query(BASE + """, a AS (SELECT product_id, store_id, max(CASE WHEN seen_at < TIMESTAMP '1996-01-01' THEN price END) AS old, max(CASE WHEN seen_at >= TIMESTAMP '1995-01-01' THEN price END) AS now FROM observation GROUP BY ALL)
 SELECT store_id, product_id AS offer_key, CASE WHEN old IS NULL THEN 'new' WHEN now IS NULL THEN 'removed' WHEN old = now THEN 'unchanged' ELSE 'changed' END AS change FROM a WHERE old IS NOT NULL OR now IS NOT NULL""")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:

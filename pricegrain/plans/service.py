@@ -104,19 +104,24 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return search.suggest(p, similarity.search_score(F.array(F.lit("smal"), F.lit("brass")), F.split(F.lower("name"), " ")), "smal brass")
 
 
-_HEALTH = """WITH r AS (SELECT user_id AS store_id, ts, event_id, CASE event_type WHEN 'error' THEN 'errors' WHEN 'click' THEN 'empty' ELSE '' END AS signature FROM events),
-a AS (SELECT *, coalesce(lag(signature) OVER w, chr(1)) <> signature AS fresh FROM r WINDOW w AS (PARTITION BY store_id ORDER BY ts, event_id)), b AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY store_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a),
-c AS (SELECT *, floor((floor(epoch(ts)) - floor(epoch(first_value(ts) OVER w))) / 43200) AS slot FROM b WINDOW w AS (PARTITION BY store_id, run ORDER BY ts, event_id))
-SELECT store_id, event_id, signature FROM (SELECT *, lag(slot) OVER (PARTITION BY store_id, run ORDER BY ts, event_id) AS before FROM c) WHERE signature <> '' AND (before IS NULL OR slot > before)"""
+# the last telling goes along: (signature, moment), gone where a check finds nothing
+_HEALTH = """WITH RECURSIVE r AS (SELECT user_id AS store_id, epoch_us(ts) AS us, event_id, CASE event_type WHEN 'error' THEN 'errors' WHEN 'click' THEN 'empty' ELSE '' END AS signature, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+told AS (
+  SELECT store_id, n, event_id, signature, CASE WHEN signature <> '' THEN signature END AS last, CASE WHEN signature <> '' THEN us END AS told_at, signature <> '' AS tells FROM r WHERE n = 1
+  UNION ALL SELECT r.store_id, r.n, r.event_id, r.signature, CASE WHEN r.signature <> '' THEN r.signature END,
+    CASE WHEN r.signature = '' THEN NULL WHEN r.signature IS DISTINCT FROM t.last OR r.us - t.told_at >= 43200000000 THEN r.us ELSE t.told_at END,
+    CASE WHEN r.signature = '' THEN t.last IS NOT NULL ELSE r.signature IS DISTINCT FROM t.last OR r.us - t.told_at >= 43200000000 END
+  FROM told t JOIN r ON r.store_id = t.store_id AND r.n = t.n + 1)
+SELECT store_id, event_id, signature FROM told WHERE tells"""
 
 
 @query(_HEALTH)
 def health_notices(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks of the shops, whose problems are those of each event's type."""
+    """Checks of the shops, whose problems are those of each event's type; recoveries are told too."""
     t = F.col("event_type")
     problems = F.filter(F.array(F.when(t == "error", "errors"), F.when(t == "click", "empty")), lambda p: p.isNotNull())
     states = table(spark, sf, "events").select(F.col("user_id").alias("store_id"), "event_id", F.col("ts").cast("timestamp").alias("checked_at"), problems.alias("problems"))
-    return changes.health_notices(states, ["checked_at", "event_id"]).select("store_id", "event_id", "signature")
+    return changes.health_notices(states, ["checked_at", "event_id"], recovered=True).select("store_id", "event_id", "signature")
 
 
 @query(BASE + """, e AS (SELECT * FROM events), n AS (SELECT product_id, count(DISTINCT store_id) AS n FROM offer GROUP BY 1)

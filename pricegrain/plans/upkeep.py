@@ -63,10 +63,10 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", money.parse_term(raw, _at("2024-01-05 10:20:30")).alias("ends"))
 
 
-_STATES = ["http://schema.org/InStock", "Pre-Order", "Out of stock, backorder later", "SOLD OUT", "LimitedAvailability", "ask us", None]
+_STATES = ["http://schema.org/InStock", "Pre-Order", "Out of stock, backorder later", "SOLD OUT", "LimitedAvailability", "ask us", None, "https://schema.org/InStoreOnly", "PREVENTA", "Online Only", "Discontinued / in stock"]
 
 
-@query("SELECT event_id, ['in_stock', 'preorder', 'preorder', 'out_of_stock', 'in_stock', 'unknown', 'unknown'][1 + user_id % 7] AS status FROM events")
+@query("SELECT event_id, ['in_stock', 'preorder', 'preorder', 'out_of_stock', 'in_stock', 'unknown', 'unknown', 'in_stock', 'preorder', 'in_stock', 'out_of_stock'][1 + user_id % 11] AS status FROM events")
 def availability_words(spark: SparkSession, sf: str) -> DataFrame:
     """Declared states in several spellings."""
     raw = _cases(F.col("user_id"), *(s and F.lit(s) for s in _STATES))
@@ -96,13 +96,15 @@ def unescaped(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(parse.unescape(raw), 256).alias("text_sha256"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN CAST(1000 + p_size AS DOUBLE) END AS price FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 8 < 6 THEN CAST(1000 + p_size AS DOUBLE) END AS price FROM part")
 def meta_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """The four forms of a price in a page's head; a first one that is no number gives way."""
+    """The declarations of a price; one that is no number gives way; prices in scripts and of other names are none."""
     v = (1000 + F.col("p_size")).cast("string")
     page = _cases(
-        F.col("p_partkey"), F.concat(F.lit('<meta property="og:price:amount" content="'), v, F.lit('">')), F.concat(F.lit("<meta content='"), v, F.lit("' property='product:price:amount'>")),
-        F.concat(F.lit('<meta property="og:price:amount" content="ask"><i itemprop="price" content="'), v, F.lit('">')), F.concat(F.lit('<script>{"price": "'), v, F.lit('"}</script>')), F.lit("<p>no price</p>"),
+        F.col("p_partkey"), F.concat(F.lit('<meta property="og:price:amount" content="'), v, F.lit('">')), F.concat(F.lit('<meta content="'), v, F.lit('"  property="price:amount">')),
+        F.concat(F.lit('<meta property="og:price:amount" content="ask"><i itemprop="price" class="x" content="'), v, F.lit('">')), F.concat(F.lit('<meta property="price:amount" content="9"><meta property="tiendanube:price" content="'), v, F.lit('">')),
+        F.concat(F.lit('<script>{"price": "7"}</script><meta property="price:amount" content="'), v, F.lit('">')), F.concat(F.lit('<meta itemprop="price" content="8"><meta property="price:amount" content="'), v, F.lit('">')),
+        F.concat(F.lit('<script>{"price": "'), v, F.lit('"}</script>')), F.concat(F.lit('<meta property="product:price:amount" content="'), v, F.lit('">')),
     )
     return table(spark, sf, "part").select("p_partkey", parse.meta_price(page).alias("price"))
 

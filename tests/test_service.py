@@ -104,7 +104,10 @@ def test_seen_notices_and_lookups(spark):
     assert all(r.seen for r in changes.mark_seen(hits).collect())
     t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     states = spark.createDataFrame([(1, t(h), p) for h, p in [(0, ["x"]), (5, ["x"]), (13, ["x"]), (14, ["y", "x"]), (15, ["x", "y"]), (16, []), (17, ["x"])]], "store_id long, checked_at timestamp, problems array<string>")
-    assert [r.checked_at for r in changes.health_notices(states, ["checked_at"]).orderBy("checked_at").collect()] == [t(0), t(13), t(14), t(17)]
+    told = lambda s, **k: [r.checked_at for r in changes.health_notices(s, ["checked_at"], **k).orderBy("checked_at").collect()]
+    assert told(states) == [t(0), t(13), t(14), t(17)] and told(states, recovered=True) == [t(0), t(13), t(14), t(16), t(17)]
+    late = spark.createDataFrame([(1, t(h), ["x"]) for h in (0, 23, 25, 36)], "store_id long, checked_at timestamp, problems array<string>")
+    assert told(late) == [t(0), t(23), t(36)] and told(late, hours=0) == [t(0)]
     rows = spark.createDataFrame([(1, "one"), (2, "1")], "k long, c string")
     assert {r.k for r in search.by_id_or_code(rows, "1", "k", "c").collect()} == {1, 2} and search.by_id_or_code(rows, "zz", "k", "c").count() == 0
     assert search.suggest(rows.withColumnRenamed("k", "product_id"), F.lit(1.0), " a ").count() == 0
@@ -194,3 +197,27 @@ def test_blocking_without_caps(spark):
     assert {tuple(r) for r in members.collect()} == {(r[0], first[r[2], r[3], r[4], r[5]]) for r in rows}
     none = c.limit(0)
     assert not resolve.block_pairs(none, free).count() and not resolve.contracted(none)[1].count()
+
+
+def test_chains_follow_the_last_taken_row(spark):
+    import numpy as np
+
+    from pricegrain.operators import chains, history
+
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = spark.createDataFrame([(1, t(10 * i), 5.0, "d") for i in range(13)] + [(2, t(0), None, "d"), (2, t(1), 5.0, "e"), (2, t(2), None, "f"), (2, t(3), 5.0, "g"), (2, t(4), 6.0, "h"), (2, t(28), 6.0, "h"), (2, t(29), 6.0, "i"), (2, None, 1.0, "a")], "k long, seen_at timestamp, price double, digest string")
+    kept = lambda **k: sorted((r.k, r.seen_at or t(-1)) for r in history.snapshots(rows, ["k"], ["seen_at"], **k).collect())
+    assert kept() == [(1, t(30 * i)) for i in range(5)] + [(2, t(h)) for h in (-1, 1, 4, 28)]
+    assert kept(digest="digest") == [(1, t(0))] + [(2, t(h)) for h in (-1, 1, 4, 29)]
+    rng = np.random.default_rng(1)
+    for size in (1, 7, 400):
+        at, force = np.sort(rng.integers(0, 50, size)), rng.random(size) < 0.1
+        force[0] = True
+        want, last = [], None
+        for i in range(size):
+            want.append(bool(force[i]) or at[i] >= last + 5)
+            last = at[i] if want[-1] else last
+        for cut in (size, size // 3):  # in one batch, in two
+            a, mid = chains.taken(at[:cut], force[:cut], -(10**9), 5)
+            b, end = chains.taken(at[cut:], force[cut:], mid, 5)
+            assert [*a, *b] == want and end == last
