@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricegrain.functions.similarity import jaccard, name_similarity
+from pricegrain.operators import grouping
 from pricegrain.operators.graph import min_labels
 from pricegrain.operators.market import inverse_document_frequency, majority
 from pricegrain.operators.storage import ordered_pair, upsert, written
@@ -233,102 +233,44 @@ def keyed_pairs(decisions: DataFrame, keys: DataFrame, decision: str) -> DataFra
     return joined.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct()
 
 
-def group(candidates: DataFrame, scored: DataFrame, same: DataFrame, different: DataFrame, cfg: Scoring = Scoring()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def group(candidates: DataFrame, scored: DataFrame, same: DataFrame, different: DataFrame, cfg: Scoring = Scoring(), block: int = grouping.BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assignment, reviews, conflicts).
 
     assignment (id, product_key, method, score): the group's smallest offer and what joined the offer. Unions go by GTIN,
     human decision, then falling score (ties by ids); one is refused that would hold two values of an identity attribute or
-    a pair that a human has separated. Both checks look at the two groups alone, so the greedy order may be followed in
-    each connected component by itself. Reviews are pairs from the review threshold on that ended in different groups and
-    that no human has separated. conflicts: decisions 'same' that a separation overruled.
+    a pair that a human has separated. grouping.grouped follows that order, in components of any size. Reviews are pairs
+    from the review threshold on that ended in different groups and that no human has separated. conflicts: decisions
+    'same' that a separation overruled.
     """
-    none = F.lit(None)
     edges = (
         gtin_edges(candidates).select("a", "b", F.lit(0).alias("stage"), F.lit(100.0).alias("score"), F.lit("EAN_MATCH").alias("method"))
         .unionByName(same.select("a", "b", F.lit(1).alias("stage"), F.lit(100.0).alias("score"), F.lit("MANUAL").alias("method")))
-        .unionByName(scored.filter(F.col("score") >= cfg.auto).select("a", "b", F.lit(2).alias("stage"), "score", "method"))
+        .unionByName(scored.filter(F.col("score") >= cfg.auto).select("a", "b", F.lit(2).alias("stage"), "score", "method").join(different, ["a", "b"], "left_anti"))
     )
-    edges = written(edges, "edges")
-    labels = min_labels(edges)
-    blocked = different.select("a", "b", F.lit(3).alias("stage"), none.cast("double").alias("score"), none.cast("string").alias("method"))
-    inner = edges.unionByName(blocked).join(labels.withColumnsRenamed({"node": "a"}), "a").withColumns({"node": none.cast("long"), "ident": none.cast("array<string>")})
-    nodes = candidates.select("id", F.array(*(F.col(c).cast("string") for c in cfg.identity)).alias("ident")).join(labels.withColumnsRenamed({"node": "id"}), "id")
-    nodes = nodes.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(-1).alias("stage"), none.cast("double").alias("score"), none.cast("string").alias("method"), "component", F.col("id").alias("node"), "ident")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["stage"] == -1]
-        parent = {i: i for i in own["node"].astype(int)}
-        values = {i: [set() if v is None else {v} for v in ident] for i, ident in zip(own["node"].astype(int), own["ident"])}
-        apart: dict[int, set[int]] = {i: set() for i in parent}
-        for p, q in pdf.loc[pdf["stage"] == 3, ["a", "b"]].astype(int).itertuples(index=False):
-            if p in parent and q in parent:
-                apart[p].add(q)
-                apart[q].add(p)
-        members = {i: {i} for i in parent}
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        how = {i: (i, "SINGLETON", 100.0) for i in parent}
-        refused = []
-        todo = pdf[pdf["stage"].isin([0, 1, 2])].assign(rank=lambda d: -d["score"]).sort_values(["stage", "rank", "a", "b"])
-        for p, q, stage, score, method in todo[["a", "b", "stage", "score", "method"]].itertuples(index=False):
-            p, q = int(p), int(q)
-            if stage == 2 and q in apart[p]:
-                continue
-            r, s = root(p), root(q)
-            if r == s:
-                continue
-            clash = any(len(v | w) > 1 for v, w in zip(values[r], values[s])) or any(apart[m] & members[s] for m in members[r])
-            if clash:
-                refused.append((p, q, stage))
-                continue
-            if len(members[r]) < len(members[s]):
-                r, s = s, r
-            parent[s] = r
-            members[r] |= members.pop(s)
-            values[r] = [v | w for v, w in zip(values[r], values[s])]
-            for m in (p, q):
-                if how[m][1] == "SINGLETON" or (stage == 1) or score > how[m][2]:
-                    how[m] = (m, method, float(score))
-        rows = [(i, min(members[root(i)]), how[i][1], how[i][2], None, None) for i in parent]
-        rows += [(None, None, None, None, p, q) for p, q, stage in refused if stage == 1]
-        return pd.DataFrame(rows, columns=["id", "product_key", "method", "score", "a", "b"]).astype({"id": "Int64", "product_key": "Int64", "a": "Int64", "b": "Int64", "score": "float64", "method": object})
-
-    solved = written(inner.select(nodes.columns).unionByName(nodes).groupBy("component").applyInPandas(greedy, "id long, product_key long, method string, score double, a long, b long"), "groups")
-    placed = solved.filter("id IS NOT NULL").select("id", "product_key", "method", "score")
-    alone = candidates.select("id").join(placed, "id", "left_anti").select("id", F.col("id").alias("product_key"), F.lit("SINGLETON").alias("method"), F.lit(100.0).alias("score"))
-    assignment = placed.unionByName(alone)
+    nodes = candidates.select("id", F.array(*(F.col(c).cast("string") for c in cfg.identity)).alias("values"))
+    apart = different.unionByName(different.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    known = edges.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select(edges.columns)
+    groups, joined, refused = grouping.grouped(nodes, apart, known, block)
+    # what joined an offer: a human if one did, else the first edge, whose score is the highest
+    ends = joined.select(F.explode(F.array("a", "b")).alias("id"), F.struct((F.col("stage") != 1).alias("m"), "stage", (-F.col("score")).alias("s"), "a", "b", "method").alias("e"))
+    how = ends.groupBy("id").agg(F.min("e").alias("e")).select("id", F.col("e.method").alias("method"), (-F.col("e.s")).alias("score"))
+    placed = candidates.select("id").join(groups, "id", "left").join(how, "id", "left")
+    assignment = written(placed.select("id", F.coalesce("group", "id").alias("product_key"), F.coalesce("method", F.lit("SINGLETON")).alias("method"), F.coalesce("score", F.lit(100.0)).alias("score")), "groups")
     where = assignment.select("id", "product_key")
     reviews = (
         scored.filter(F.col("score") >= cfg.review).join(different, ["a", "b"], "left_anti")
         .join(where.toDF("a", "pa"), "a").join(where.toDF("b", "pb"), "b").filter("pa <> pb").select("a", "b", "score", "method", "breakdown")
     )
-    return assignment, reviews, solved.filter("a IS NOT NULL").select("a", "b")
+    return assignment, reviews, refused.filter("stage = 1").select("a", "b")
 
 
 def keep_ids(assignment: DataFrame, old: DataFrame, group_col: str = "product_key") -> DataFrame:
     """(product_key, product_id): in the order of their keys, each group takes the old product that most of its offers
-    had (of several the smallest) and that no group before it took; null for a new product.
-
-    In rounds: each group that has none asks for the best one it was not refused, and of those that ask for or hold a
-    product the smallest key keeps it. As all products prefer smaller keys, that ends where going through the groups one
-    after another does. A round is one join of the groups' state, a row each, with their votes.
-    """
+    had (of several the smallest) and that no group before it took; null for a new product. Groups and the products they
+    ask for are gone through by components, see grouping.first_come."""
     votes = assignment.join(old.select("id", "product_id").filter("product_id IS NOT NULL"), "id").groupBy(group_col, "product_id").agg(F.count("*").alias("n"))
     ranked = written(votes.withColumn("nth", F.row_number().over(W.partitionBy(group_col).orderBy(F.desc("n"), "product_id"))).drop("n"), "votes")
-    state = written(ranked.select(group_col, F.lit(1).alias("nth")).distinct(), "claims")
-    while True:
-        asked = state.join(ranked, [group_col, "nth"])
-        kept = asked.groupBy("product_id").agg(F.min(group_col).alias("winner"))
-        decided = written(asked.join(kept, "product_id").select(group_col, "product_id", "nth", (F.col(group_col) != F.col("winner")).alias("refused")), "decided")
-        if not decided.filter("refused").limit(1).count():
-            break
-        state = written(decided.select(group_col, (F.col("nth") + F.col("refused").cast("int")).alias("nth")), "claims")
-    return assignment.select(group_col).distinct().join(decided.select(group_col, "product_id"), group_col, "left")
+    return assignment.select(group_col).distinct().join(grouping.first_come(ranked, group_col), group_col, "left")
 
 
 def forget_pairs(decisions: DataFrame, ours: DataFrame, theirs: DataFrame, decision: str = "different") -> DataFrame:

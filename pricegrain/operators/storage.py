@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -23,11 +25,34 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables in the shared folder that were not deleted yet.
+_WRITTEN: list[DataFrame] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
+    """df, written to the shared folder and read again. The files go by discard, or when the driver's Python ends."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    if not _WRITTEN:
+        atexit.register(_at_exit)
+    _WRITTEN.append(found)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more, plans that are still to run included."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN[:] = [t for t in _WRITTEN if t is not df]
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        discard(*_WRITTEN)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_old: Sequence[str] = (), keep_null: Sequence[str] = (), guard: Column | None = None) -> DataFrame:

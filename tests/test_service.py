@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import collections
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pricegrain.functions import money
-from pricegrain.operators import changes, resolve, search
+from pricegrain.operators import changes, grouping, resolve, search
 from pricegrain.plans import matching, service
 from pricegrain.sources import tables
 from pricegrain.streaming import twins
@@ -75,6 +76,39 @@ def test_groups_equal_a_plain_greedy(spark, sf):
     assert reviews == {(a, b) for a, b, _ in rows if want[a] != want[b] and (a, b) not in set(decided[1])}
 
 
+@pytest.mark.parametrize("block", [60, 10_000])
+def test_groups_in_blocks_equal_a_plain_greedy(spark, block):
+    """Random graphs, a star and a long path, gone through whole and in blocks of the order."""
+    rng = random.Random(block)
+    nodes = {i: (rng.choice([None, None, "x", "y"]), rng.choice([None, None, None, "p", "q"]), None) for i in range(120)}
+    nodes |= {i: ("s" if i % 40 else "t", None, None) for i in range(200, 260)} | {i: (None, "m", None) for i in range(300, 340)} | {400: (None, None, None)}
+    pick = lambda n, lo=0, hi=119: {tuple(sorted(rng.sample(range(lo, hi + 1), 2))) for _ in range(n)}
+    scored = [(a, b, float(rng.choice([90, 92.5, 95, 95, 99, 80]))) for a, b in pick(160)] + [(300 + i, 301 + i, 99.0 - i % 3) for i in range(39)]
+    same, different, gtins = sorted(pick(12)), sorted(pick(12)), [(200, i) for i in range(201, 260)] + sorted(pick(10))
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    edges = frame([(a, b, 0, 100.0, "G") for a, b in gtins] + [(a, b, 1, 100.0, "M") for a, b in same] + [(a, b, 2, s, "T") for a, b, s in scored if s >= 90 and (a, b) not in set(different)], "a long, b long, stage int, score double, method string")
+    both = [(a, b) for a, b in different] + [(b, a) for a, b in different]
+    groups, joined, refused = grouping.grouped(frame([(i, list(v)) for i, v in nodes.items()], "id long, values array<string>"), frame(both, "a long, b long"), edges, block)
+    got = {i: i for i in nodes} | {r.id: r.group for r in groups.collect()}
+    assert got == plain_groups(nodes, scored, same, different, gtins, 90)
+    assert all(got[r.a] == got[r.b] for r in joined.collect()) and all(got[r.a] != got[r.b] for r in refused.collect())
+
+
+def test_kept_ids_of_a_long_chain(spark):
+    """Each group's first choice is the one that the group before it falls back on."""
+    n = 10_000
+    ranked = spark.createDataFrame([(i, 1, i // 2) for i in range(n)] + [(i, 2, i) for i in range(n)], "product_key long, nth int, product_id long")
+    taken, want = set(), {}
+    for i in range(n):
+        for p in (i // 2, i):
+            if p not in taken:
+                want[i] = p
+                taken.add(p)
+                break
+    got = {r.product_key: r.product_id for r in grouping.first_come(ranked, "product_key").collect()}
+    assert got == want
+
+
 def test_scores_are_cached_by_fingerprint(spark, sf, tmp_path):
     c = matching.candidates(spark, sf)
     first = resolve.cached_scores(c, f"{tmp_path}/s").count()
