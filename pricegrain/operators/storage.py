@@ -25,6 +25,11 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 #: Tables in the shared folder that were not deleted yet.
 _WRITTEN: list[DataFrame] = []
 

@@ -6,6 +6,7 @@ of event time within a batch.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pricegrain.operators.storage import scratch
+from pricegrain.operators.storage import exists, scratch
 
 LATE = "1 hour"
 
@@ -87,14 +88,16 @@ def finished(stream: DataFrame, tag: str) -> DataFrame:
 
 def publish(stream: DataFrame, ledger: str, key: str, send, tag: str = "publish"):
     """Each batch's rows that the ledger does not hold yet are sent, then entered: at least once. A
-    batch that is run again sends none twice that were entered; one that fails between sending and entering sends again."""
+    batch that is run again sends none twice that were entered; one that fails between sending and entering sends again
+    (once.publish_once does not). The state's folder is named by tag and ledger, so streams of two ledgers share none."""
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
         new = rows.dropDuplicates([key])
-        if spark._jvm.org.apache.hadoop.fs.Path(ledger).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(ledger)):
+        if exists(spark, ledger):
             new = new.join(spark.read.parquet(ledger).select(key), key, "left_anti")
         send(new)
         new.select(key).write.mode("append").parquet(ledger)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{scratch(stream.sparkSession)}/{tag}-state").trigger(availableNow=True)
+    state = f"{scratch(stream.sparkSession)}/{tag}-{hashlib.sha256(ledger.encode()).hexdigest()[:16]}-state"
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True)
