@@ -87,21 +87,23 @@ def name_similarity(a: Column, b: Column, cosine: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in parts.items()), combined.alias("combined"))
 
 
+def token_likeness(q: str, t: str) -> float:
+    """How well a name's token answers a query's: equal 1, a prefix either way 0.9, part of it 0.75, alike (Jaro-Winkler over 0.88) 0.7 of that."""
+    if q == t:
+        return 1.0
+    if t.startswith(q) or q.startswith(t):
+        return 0.9
+    if q in t:
+        return 0.75
+    alike = jaro_winkler_text(q, t)
+    return alike * 0.7 if alike > 0.88 else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def search_score(query: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Mean over the query's tokens of the best match: equal 1, a prefix either way 0.9, part of one 0.75, alike (Jaro-Winkler over 0.88) 0.7 of that."""
-
-    def one(q: str, t: str) -> float:
-        if q == t:
-            return 1.0
-        if t.startswith(q) or q.startswith(t):
-            return 0.9
-        if q in t:
-            return 0.75
-        alike = jaro_winkler_text(q, t)
-        return alike * 0.7 if alike > 0.88 else 0.0
+    """Mean over the query's tokens of the best token_likeness of the name's."""
 
     def score(q: list[str], t: list[str]) -> float:
-        return sum(max((one(x, y) for y in t), default=0.0) for x in q) / len(q) if len(q) else 0.0
+        return sum(max((token_likeness(x, y) for y in t), default=0.0) for x in q) / len(q) if len(q) else 0.0
 
     return pd.Series([score([] if q is None else list(q), [] if t is None else list(t)) for q, t in zip(query, tokens)], dtype="float64")

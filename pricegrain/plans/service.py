@@ -97,11 +97,13 @@ def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return named("one", search.by_id_or_code(s, "7", "store_id", "store")).unionByName(named("code", search.by_id_or_code(s, "Supplier#3", "store_id", "store"))).unionByName(named("enabled", s.filter("balance >= 0")))
 
 
-@query()
+@query("""WITH s AS (SELECT product_id, name, round(list_sum(list_transform(asked, lambda q: list_max(list_transform(tokens, lambda t: CASE WHEN q = t THEN 1.0 WHEN starts_with(t, q) OR starts_with(q, t) THEN 0.9 WHEN contains(t, q) THEN 0.75
+  WHEN jaro_winkler_similarity(q, t) > 0.88 THEN 0.7 * jaro_winkler_similarity(q, t) ELSE 0.0 END)))) / len(asked), 9) AS score FROM (SELECT p_partkey AS product_id, p_name AS name, string_split(lower(p_name), ' ') AS tokens, ['smal', 'brass'] AS asked FROM part))
+SELECT product_id, name, score FROM s WHERE score >= 0.45 ORDER BY score DESC, product_id LIMIT 8""")
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Q4: names like a misspelt query."""
     p = products(spark, sf).select("product_id", "name")
-    return search.suggest(p, similarity.search_score(F.array(F.lit("smal"), F.lit("brass")), F.split(F.lower("name"), " ")), "smal brass")
+    return search.suggest(p, F.round(similarity.search_score(F.array(F.lit("smal"), F.lit("brass")), F.split(F.lower("name"), " ")), 9), "smal brass")
 
 
 # the last telling goes along: (signature, moment), gone where a check finds nothing
@@ -158,7 +160,18 @@ def kept_id_counts(spark: SparkSession, sf: str) -> DataFrame:
     return p.agg(F.count_distinct("product_key").alias("groups")).crossJoin(voted.agg(F.count_distinct("product_id").alias("most"), F.count_distinct("product_key").alias("claims")))
 
 
-@query()
+# one group after another; the products that are taken go along
+_KEPT = """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey - p_partkey % 4 AS product_key, CASE WHEN p_size % 3 = 0 THEN p_size END AS product_id FROM part),
+v AS (SELECT product_key, product_id, count(*) AS n FROM p WHERE product_id IS NOT NULL GROUP BY ALL), c AS (SELECT product_key, list(product_id ORDER BY n DESC, product_id) AS choices FROM v GROUP BY 1),
+g AS (SELECT product_key, choices, row_number() OVER (ORDER BY product_key) AS n FROM (SELECT DISTINCT product_key FROM p) LEFT JOIN c USING (product_key)),
+s AS (
+  SELECT n, product_key, choices[1] AS product_id, list_filter([choices[1]], lambda x: x IS NOT NULL) AS taken FROM g WHERE n = 1
+  UNION ALL SELECT n, product_key, own, CASE WHEN own IS NULL THEN taken ELSE list_append(taken, own) END FROM (
+    SELECT g.n, g.product_key, s.taken, list_filter(g.choices, lambda x: NOT list_contains(s.taken, x))[1] AS own FROM s JOIN g ON g.n = s.n + 1))
+SELECT product_key, product_id FROM s"""
+
+
+@query(_KEPT)
 def kept_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of four parts; a part's size is the old product of a third of them."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 4).alias("product_key"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("product_id"))
