@@ -72,3 +72,36 @@ def unread_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("url"), F.sha2("html", 256).alias("body_hash"))
     cache = p.filter("page_id % 3 = 0").select("url", F.when(F.col("page_id") % 5 == 0, "old").otherwise(F.col("body_hash")).alias("body_hash"))
     return feeds.needs_read(p, cache).select("page_id", "body_hash")
+
+
+@query(r"""WITH own AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS li, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), 1) - 1 AS position FROM pages),
+c AS (SELECT page_id, position, url, regexp_extract(li, 'href="([^"]*)"', 1) AS href, regexp_extract(li, '>([^<]*)</a>', 1) AS name FROM own),
+t AS (SELECT page_id, CAST(position AS INT) AS position, regexp_extract(url, '^[a-z]+://[^/?#]+') || regexp_replace(regexp_replace(replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[?#].*$', ''), '/+$', '') AS url,
+  nullif(trim(regexp_replace(replace(replace(replace(replace(name, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS name FROM c)
+SELECT page_id, position, url, name, CAST(NULL AS DOUBLE) AS price, 'unknown' AS stock_status FROM t WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY position) = 1
+UNION ALL SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS INT), regexp_extract(url, '^[a-z]+://[^/?#]+') || '/ld/' || page_id, CASE WHEN page_id % 2 = 0 THEN 'N' || page_id ELSE 'own' END, CASE WHEN page_id % 3 = 0 THEN 7 ELSE page_id % 90 + 10 END * 1000 + 990, 'in_stock' FROM pages""")
+def listing_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """The cards of a page's navigation, and one more whose name and price stand in its own JSON-LD as far as its text has none."""
+    n = F.col("page_id")
+    name = F.when(n % 2 == 0, "").otherwise("own")
+    price = F.when(n % 3 == 0, "$7.990").otherwise("ask us")
+    said = F.concat(F.lit('{"@type": "Product", "name": "N'), n, F.lit('", "offers": {"price": "$'), n % 90 + 10, F.lit('.990", "availability": "https://schema.org/InStock"}}'))
+    card = F.concat(F.lit('<nav><ul><li><a href="/ld/'), n, F.lit('/?ref=1"></a><h3>'), name, F.lit('</h3><b class="x price">'), price, F.lit('</b><script type="application/ld+json">'), said, F.lit("</script></li></ul></nav>"))
+    pages = table(spark, sf, "pages").select("page_id", "url", F.concat("html", card).alias("html"))
+    found = html.card_offers(pages, "html", "url", "nav li", {"name": "h3, a", "price": ".price"})
+    return found.select("page_id", "position", "url", "name", "price", "stock_status")
+
+
+@query("""WITH RECURSIVE x AS (SELECT page_id AS id, CASE WHEN page_id % 9 = 8 THEN NULL WHEN page_id % 18 = 7 THEN page_id - 5 ELSE page_id + 1 END AS after, page_id % 13 <> 0 AND contains(html, '<li>') AS ok FROM pages),
+r AS (SELECT id AS start, 0 AS position, id FROM x WHERE id % 9 = 0 AND ok UNION ALL SELECT start, position + 1, b.id FROM r JOIN x a ON a.id = r.id JOIN x b ON b.id = a.after AND b.ok WHERE position + 1 < 20)
+SELECT start, id AS page_id, CAST(min(position) AS INT) AS position FROM r GROUP BY ALL""")
+def followed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """From every ninth page along rel=next, through loops, to an empty page or the end; the goods are a page's list items."""
+    n = F.col("page_id")
+    after = F.when(n % 18 == 7, n - 5).when(n % 9 != 8, n + 1)
+    link = F.when(after.isNotNull(), F.concat(F.lit('<p><a class="x" rel="next" href="/p/'), after, F.lit('">more</a></p>'))).otherwise("")
+    pages = table(spark, sf, "pages").select(n, F.concat(F.lit("http://s.test/p/"), n).alias("url"), F.concat(F.when(n % 13 == 0, "<p>nothing</p>").otherwise(F.col("html")), link).alias("html"))
+    items = html.select_all(pages.select("url", "html"), "html", "li").groupBy("url").agg(F.count("*").alias("items"))
+    links = html.next_links(pages, "html", "url").join(items, "url", "left")
+    found = html.follow(pages.filter("page_id % 9 = 0").select(n.alias("start"), "url"), links, 20)
+    return found.join(pages.select("url", "page_id"), "url").select("start", "page_id", "position")
