@@ -54,9 +54,20 @@ class Scoring:
         return ["set_code", "product_type", *(["language"] if self.language_is_identity else [])]
 
 
-def tfidf_vectors(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """M8: (key, vector map<string,double>) of unit length; tf is the share of the tokens, idf ln((N + 1) / (df + 1)) + 1."""
-    idf, _ = inverse_document_frequency(rows, key, tokens)
+#: (token, df, idf) and the number of offers.
+Stats = tuple[DataFrame, int]
+
+
+def token_stats(candidates: DataFrame) -> Stats:
+    """How frequent the tokens are, written once for all that need it: blocking, vectors, rare tokens."""
+    idf, n = inverse_document_frequency(candidates, "id", "tokens")
+    return written(idf, "idf"), n
+
+
+def tfidf_vectors(rows: DataFrame, key: str, tokens: str, stats: Stats | None = None) -> DataFrame:
+    """M8: (key, vector map<string,double>) of unit length; tf is the share of the tokens, idf ln((N + 1) / (df + 1)) + 1. Tokens
+    that given stats do not know have no weight."""
+    idf, _ = stats or inverse_document_frequency(rows, key, tokens)
     counts = rows.select(key, F.size(tokens).alias("_n"), F.explode(tokens).alias("token")).groupBy(key, "_n", "token").agg(F.count("*").alias("_c"))
     weighted = counts.join(idf, "token").withColumn("_w", F.col("_c") / F.col("_n") * F.col("idf"))
     return weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"), F.collect_list(F.struct("token", "_w")).alias("_v")).select(
@@ -108,11 +119,11 @@ def block_pairs(candidates: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
     return met_in_cells(rows.join(sizes, "key"), "key", "n", attributes).filter(compatible()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def rare_token_pairs(candidates: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
+def rare_token_pairs(candidates: DataFrame, cfg: Scoring = Scoring(), stats: Stats | None = None) -> DataFrame:
     """(a, b), a < b: for each candidate the max_candidates others with which it shares most, by the summed IDF
     of rare tokens; then the compatible ones. A token is usable if few have it, by number or share, and max_postings at
     most. None lifts a cap: all others that share a usable token."""
-    idf, n = inverse_document_frequency(candidates, "id", "tokens")
+    idf, n = stats or token_stats(candidates)
     usable = idf.filter((F.col("df") >= 2) & ((F.col("df") <= cfg.always_rare) | (F.col("df") <= cfg.max_token_ratio * n)))
     if cfg.max_postings is not None:
         usable = usable.filter(F.col("df") <= cfg.max_postings)
@@ -142,21 +153,22 @@ def contracted(candidates: DataFrame, apart: tuple[str, ...] = ("id", "stable_ke
     return candidates.join(members.filter("id = stands_for").select("id"), "id", "left_semi"), members
 
 
-def candidate_pairs(candidates: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
+def candidate_pairs(candidates: DataFrame, cfg: Scoring = Scoring(), stats: Stats | None = None) -> DataFrame:
     """M13."""
-    return block_pairs(candidates, cfg).unionByName(rare_token_pairs(candidates, cfg)).distinct()
+    return block_pairs(candidates, cfg).unionByName(rare_token_pairs(candidates, cfg, stats)).distinct()
 
 
-def score_pairs(candidates: DataFrame, pairs: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
+def score_pairs(candidates: DataFrame, pairs: DataFrame, cfg: Scoring = Scoring(), stats: Stats | None = None) -> DataFrame:
     """Pairs (a, b) with score, method and breakdown (JSON).
 
     What is cheap decides first: identifiers, hard rejects, and an upper bound of the score from the attributes and the
     tokens' Jaccard. Only pairs that may still reach the review threshold come to the text measures, which need Python.
     """
-    idf, n = inverse_document_frequency(candidates, "id", "tokens")
+    stats = stats or token_stats(candidates)
+    idf, n = stats
     rare = idf.filter(F.col("df") <= cfg.rare_ratio * n).select("token")
     marked = candidates.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(rare, "token").groupBy("id").agg(F.collect_set("token").alias("rare"))
-    full = candidates.join(tfidf_vectors(candidates, "id", "tokens"), "id", "left").join(marked, "id", "left")
+    full = candidates.join(tfidf_vectors(candidates, "id", "tokens", stats), "id", "left").join(marked, "id", "left")
     both = pairs.join(full.alias("x"), F.col("a") == F.col("x.id")).join(full.alias("y"), F.col("b") == F.col("y.id"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     differ = lambda c: F.coalesce(x(c) != y(c), F.lit(False))
@@ -233,35 +245,47 @@ def keyed_pairs(decisions: DataFrame, keys: DataFrame, decision: str) -> DataFra
     return joined.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b").distinct()
 
 
-def group(candidates: DataFrame, scored: DataFrame, same: DataFrame, different: DataFrame, cfg: Scoring = Scoring(), block: int = grouping.BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assignment, reviews, conflicts).
-
-    assignment (id, product_key, method, score): the group's smallest offer and what joined the offer. Unions go by GTIN,
-    human decision, then falling score (ties by ids); one is refused that would hold two values of an identity attribute or
-    a pair that a human has separated. grouping.grouped follows that order, in components of any size. Reviews are pairs
-    from the review threshold on that ended in different groups and that no human has separated. conflicts: decisions
-    'same' that a separation overruled.
-    """
+def edges_of(candidates: DataFrame, scored: DataFrame, same: DataFrame, different: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
+    """The edges (a, b, stage, score, method) between known offers: GTIN, human decision, scores from auto on."""
     edges = (
         gtin_edges(candidates).select("a", "b", F.lit(0).alias("stage"), F.lit(100.0).alias("score"), F.lit("EAN_MATCH").alias("method"))
         .unionByName(same.select("a", "b", F.lit(1).alias("stage"), F.lit(100.0).alias("score"), F.lit("MANUAL").alias("method")))
         .unionByName(scored.filter(F.col("score") >= cfg.auto).select("a", "b", F.lit(2).alias("stage"), "score", "method").join(different, ["a", "b"], "left_anti"))
     )
+    known = candidates.select("id")
+    return edges.join(known.toDF("a"), "a", "left_semi").join(known.toDF("b"), "b", "left_semi").select(edges.columns)
+
+
+def assigned(candidates: DataFrame, edges: DataFrame, different: DataFrame, cfg: Scoring = Scoring(), block: int = grouping.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(assignment (id, product_key, method, score), refused edges)."""
     nodes = candidates.select("id", F.array(*(F.col(c).cast("string") for c in cfg.identity)).alias("values"))
     apart = different.unionByName(different.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    known = edges.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi").select(edges.columns)
-    groups, joined, refused = grouping.grouped(nodes, apart, known, block)
+    groups, joined, refused = grouping.grouped(nodes, apart, edges, block)
     # what joined an offer: a human if one did, else the first edge, whose score is the highest
     ends = joined.select(F.explode(F.array("a", "b")).alias("id"), F.struct((F.col("stage") != 1).alias("m"), "stage", (-F.col("score")).alias("s"), "a", "b", "method").alias("e"))
     how = ends.groupBy("id").agg(F.min("e").alias("e")).select("id", F.col("e.method").alias("method"), (-F.col("e.s")).alias("score"))
     placed = candidates.select("id").join(groups, "id", "left").join(how, "id", "left")
-    assignment = written(placed.select("id", F.coalesce("group", "id").alias("product_key"), F.coalesce("method", F.lit("SINGLETON")).alias("method"), F.coalesce("score", F.lit(100.0)).alias("score")), "groups")
+    return written(placed.select("id", F.coalesce("group", "id").alias("product_key"), F.coalesce("method", F.lit("SINGLETON")).alias("method"), F.coalesce("score", F.lit(100.0)).alias("score")), "groups"), refused
+
+
+def reviews_of(scored: DataFrame, assignment: DataFrame, different: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
+    """Pairs from the review threshold on that ended in different groups and that no human has separated."""
     where = assignment.select("id", "product_key")
-    reviews = (
-        scored.filter(F.col("score") >= cfg.review).join(different, ["a", "b"], "left_anti")
-        .join(where.toDF("a", "pa"), "a").join(where.toDF("b", "pb"), "b").filter("pa <> pb").select("a", "b", "score", "method", "breakdown")
-    )
-    return assignment, reviews, refused.filter("stage = 1").select("a", "b")
+    open_pairs = scored.filter(F.col("score") >= cfg.review).join(different, ["a", "b"], "left_anti")
+    return open_pairs.join(where.toDF("a", "pa"), "a").join(where.toDF("b", "pb"), "b").filter("pa <> pb").select("a", "b", "score", "method", "breakdown")
+
+
+def group(candidates: DataFrame, scored: DataFrame, same: DataFrame, different: DataFrame, cfg: Scoring = Scoring(), block: int = grouping.BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assignment, reviews, conflicts).
+
+    assignment (id, product_key, method, score): the group's smallest offer and what joined the offer. Unions go by GTIN,
+    human decision, then falling score (ties by ids); one is refused that would hold two values of an identity attribute or
+    a pair that a human has separated. grouping.grouped follows that order, in components of any size. Reviews are pairs
+    from the review threshold on that ended in different groups and that no human has separated. conflicts: decisions
+    'same' that a separation overruled.
+    """
+    assignment, refused = assigned(candidates, edges_of(candidates, scored, same, different, cfg), different, cfg, block)
+    return assignment, reviews_of(scored, assignment, different, cfg), refused.filter("stage = 1").select("a", "b")
 
 
 def keep_ids(assignment: DataFrame, old: DataFrame, group_col: str = "product_key") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricegrain.functions import similarity, text
-from pricegrain.operators import extract, graph, index, market, resolve, storage
+from pricegrain.operators import extract, graph, index, market, rematch, resolve, storage
 from pricegrain.plans.base import table
 from pricegrain.plans.registry import query
 
@@ -67,7 +67,8 @@ def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pair_score(spark: SparkSession, sf: str) -> DataFrame:
     c = candidates(spark, sf)
-    return resolve.score_pairs(c, resolve.candidate_pairs(c))
+    stats = resolve.token_stats(c)
+    return resolve.score_pairs(c, resolve.candidate_pairs(c, stats=stats), stats=stats)
 
 
 def _decisions(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -78,7 +79,8 @@ def _decisions(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = candidates(spark, sf)
-    scored = resolve.written(resolve.score_pairs(c, resolve.candidate_pairs(c)).filter("score >= 75"), "scored")
+    stats = resolve.token_stats(c)
+    scored = resolve.written(resolve.score_pairs(c, resolve.candidate_pairs(c, stats=stats), stats=stats).filter("score >= 75"), "scored")
     return resolve.group(c, scored, _decisions(spark, sf, "same"), _decisions(spark, sf, "different"))
 
 
@@ -92,6 +94,17 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     return _grouped(spark, sf)[1].orderBy(F.desc("score"), "a", "b")
 
 
+@query()
+def rematched(spark: SparkSession, sf: str) -> DataFrame:
+    """Offers of every fiftieth part come with another size and language; the matching before is that without the change."""
+    now = candidates(spark, sf)
+    old = now.withColumns({"set_code": F.when(F.col("id") % 50 != 7, F.col("set_code")), "language": F.when(F.col("id") % 50 != 7, F.col("language")).otherwise("fr")}).filter("id % 200 <> 57")
+    same, different = _decisions(spark, sf, "same"), _decisions(spark, sf, "different")
+    stats = resolve.token_stats(old)
+    found = rematch.rematch(rematch.match(old, same, different, stats), now, now.filter("id % 50 = 7").select("id"), same, different, stats)
+    return found.assignment
+
+
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS b FROM part QUALIFY b IS NOT NULL), s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS node, u AS label FROM s UNION SELECT s.v, r.label FROM r JOIN s ON s.u = r.node)
 SELECT node, min(label) AS component FROM r GROUP BY node""")
 def decision_components(spark: SparkSession, sf: str) -> DataFrame:
