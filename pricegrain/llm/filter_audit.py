@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Sequence
 
@@ -67,12 +68,13 @@ def _shapley(cells: Column, names: Sequence[str]) -> Column:
 
 
 def orders_of(names: Sequence[str]) -> Column:
-    """An array with a struct for each order and step: order, step, the filter's number and bit, the mask of the filters before it."""
+    """An array with a struct for each order and step: order, step, the filter's number and bit, the mask of the filters before
+    it. One constant, so that the plan stays small."""
     found = []
     for order in itertools.permutations(range(len(names))):
         text = "".join(names[i] for i in order)
-        found += [F.struct(F.lit(text).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(i).alias("own"), F.lit(1 << i).alias("bit"), F.lit(sum(1 << j for j in order[:k])).alias("before")) for k, i in enumerate(order)]
-    return F.array(*found)
+        found += [{"filter_order": text, "step": k + 1, "own": i, "bit": 1 << i, "before": sum(1 << j for j in order[:k])} for k, i in enumerate(order)]
+    return F.from_json(F.lit(json.dumps(found)), "array<struct<filter_order: string, step: int, own: int, bit: int, before: int>>")
 
 
 def filter_audit(masks: DataFrame, names: str = "ABCDE") -> DataFrame:
