@@ -36,6 +36,11 @@ def event_line(kind: Value, name: Value, old: Value, new: Value) -> Column:
     return F.when(_col(kind) == "price_drop", F.concat(F.lit("↓ "), drop)).when(_col(kind) == "price_rise", F.concat(F.lit("↑ "), drop)).otherwise(F.concat(F.lit("• "), title(name), F.lit(": "), _col(kind)))
 
 
+def saving_line(name: Value, store: Value, best: Value, saving: Value, percent: Value) -> Column:
+    """One line of a message for an opportunity: what it costs, where, and what it saves."""
+    return F.concat(F.lit("★ "), title(name), F.lit(": "), format_currency(best), F.lit(" in "), _col(store), F.lit(" (−"), format_currency(saving), F.lit(", "), F.round(_col(percent), 0).cast("int").cast("string"), F.lit(" %)"))
+
+
 def days_until(expiry: Value, now: Value) -> Column:
     """Whole days still to go, rounded up, 0 at least."""
     return F.greatest(F.ceil((F.unix_timestamp(_col(expiry)) - F.unix_timestamp(_col(now))) / 86400), F.lit(0)).cast("int")

@@ -6,7 +6,7 @@ import html
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +87,13 @@ def variant_url(url: Text) -> Column:
     return F.concat(clean_url(url), F.when(variant != "", F.concat(F.lit("?variant="), variant)).otherwise(F.lit("")))
 
 
+def first_of_page(rows: DataFrame, url: str, order: str) -> DataFrame:
+    """Of the rows whose addresses mean one page (variant_url) the first by order, with that address; rows without one go."""
+    named = rows.withColumn(url, variant_url(url)).filter(F.col(url).isNotNull())
+    others = [c for c in rows.columns if c != url]
+    return named.groupBy(url).agg(F.min_by(F.struct(*others), order).alias("_v")).select(url, "_v.*")
+
+
 def url_base(url: Text) -> Column:
     """The page of an offer whose address ends in #sku."""
     return F.substring_index(_col(url), "#", 1)

@@ -65,6 +65,26 @@ def to_publish(events: DataFrame, sent: DataFrame, since: Column, top: int, key:
     return events.filter(F.col("created_at") >= since).join(sent.select(key), key, "left_anti").orderBy("created_at", key).limit(top)
 
 
+def pending_count(events: DataFrame, sent: DataFrame, since: Column, types: list[str], key: str = "event_id") -> DataFrame:
+    """How many events of some types since a moment wait to be published (n)."""
+    waiting = events.filter((F.col("created_at") >= since) & F.col("type").isin(types)).join(sent.select(key), key, "left_anti")
+    return waiting.agg(F.count("*").alias("n"))
+
+
+def watch_pass(read: DataFrame, known: DataFrame, told: DataFrame, slack: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """X11: (events, state) of one pass over a watch list. read: what each page (url) says now (http_status, stock_status, price);
+    known: what it said last; told: events (url, event, price) that were sent already. An event that was sent of the same
+    page at the same price is not sent again. The state takes over what was read, also of unreadable pages; pages that were
+    not read keep what is known, so a pass that failed before its state was stored may be run again."""
+    columns = ["url", "http_status", "stock_status", "price"]
+    both = known.select(*columns, F.lit(0).alias("_nth")).unionByName(read.select(*columns, F.lit(1).alias("_nth")))
+    found = watch_events(both, "url", ["_nth"], slack).select("url", "event", "price", "price_before")
+    sent = told.select("url", "event", F.col("price").alias("_price")).distinct().withColumn("_sent", F.lit(True))
+    new = found.join(sent, (found["url"] == sent["url"]) & (found["event"] == sent["event"]) & found["price"].eqNullSafe(sent["_price"]), "left_anti")
+    state = read.select(columns).unionByName(known.join(read.select("url"), "url", "left_anti").select(columns))
+    return new, state
+
+
 def worth_telling(drops: DataFrame, position: DataFrame, least: float, least_pct: float, most_pct: float, key: str = "offer_id") -> DataFrame:
     """F16: drops of an amount and a share that are not absurd; restocks of the cheapest offer only."""
     amount = F.expr("try_cast(old_value AS double) - try_cast(new_value AS double)")

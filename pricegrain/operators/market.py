@@ -48,13 +48,20 @@ def offer_ranks(offers: DataFrame, product: str = "product_id") -> DataFrame:
     })
 
 
-def opportunities(offers: DataFrame, top: int | None = 24, listed: int = 6, product: str = "product_id") -> DataFrame:
-    """What a product's best available price saves against the median, from two stores on. With its lowest prices.
+#: Order of opportunities to its columns; a product without a unit price comes last.
+SAVINGS = {"amount": [("saving", False)], "percent": [("saving_percent", False)], "unit": [("best_unit_price", True)]}
+
+
+def opportunities(offers: DataFrame, top: int | None = 24, listed: int = 6, product: str = "product_id", order: str = "amount") -> DataFrame:
+    """What a product's best available price saves against the median, from two stores on. With its lowest prices. The first
+    by order, a key of SAVINGS (an unknown one means amount); order 'unit' needs units and confidence, and adds the unit
+    price of the best offer.
 
     Median and lowest prices are read from the ranked rows, which are sorted and may spill: nothing that is held in memory
     grows with a product's offers.
     """
-    entry = F.struct("price", "offer_id", "store_id")
+    by_unit = order == "unit"
+    entry = F.struct("price", "offer_id", "store_id", *(["units", "confidence"] if by_unit else []))
     w = W.partitionBy(product)
     i, n = F.col("_i"), F.col("_n")
     middle = (i == F.floor((n + 1) / 2)) | (i == F.floor(n / 2) + 1)
@@ -68,7 +75,11 @@ def opportunities(offers: DataFrame, top: int | None = 24, listed: int = 6, prod
         product, "n_stores", "median_price", F.col("_best.price").alias("best_price"), F.col("_best.store_id").alias("best_store"), "saving",
         (F.col("saving") / F.col("median_price") * 100).alias("saving_percent"), F.transform(F.slice("_all", 1, listed), lambda x: x["price"]).alias("lowest_prices"),
     )
-    return out.orderBy(F.desc("saving"), product).limit(top) if top else out
+    if by_unit:
+        best = found.select(product, unit_price(F.col("_best.price"), F.col("_best.units"), F.col("_best.confidence")).alias("best_unit_price"))
+        out = out.join(best, product)
+    ranks = [F.asc_nulls_last(c) if up else F.desc(c) for c, up in SAVINGS.get(order, SAVINGS["amount"])]
+    return out.orderBy(*ranks, product).limit(top) if top else out
 
 
 def unit_price(price: str | Column = "price", units: str | Column = "units", confidence: str | Column = "confidence", least: float = 0.7) -> Column:
@@ -102,6 +113,11 @@ def master_attributes(rows: DataFrame, group: str, columns: list[str], order: st
     return wide.select(group, *(F.col("m")[c].alias(c) for c in columns), F.coalesce(F.col("m")["_sure"], F.col("m")["_any"]).cast("int").alias(units))
 
 
+def first_image(rows: DataFrame, group: str, image: str, order: str) -> DataFrame:
+    """A4: the first image, by order, that a group's rows have; null where none has."""
+    return rows.groupBy(group).agg(F.min_by(image, F.when(F.coalesce(F.col(image) != "", F.lit(False)), F.col(order))).alias(image))
+
+
 def shortest_name(rows: DataFrame, group: str, name: str, order: str) -> DataFrame:
     """A4: the shortest name of each group; of names alike, the first by order."""
     return rows.filter(F.col(name) != "").groupBy(group).agg(F.min_by(name, F.struct(F.length(name), F.col(order))).alias(name))

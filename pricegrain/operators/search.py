@@ -44,9 +44,13 @@ def search(
         out = out.filter(price <= high)
     if store is not None:
         out = out.join(offers.filter(F.col("store_id") == store).select("product_id"), "product_id", "left_semi")
-    for t in list(tokens)[:6]:
-        found = offers.filter(F.lower("name").contains(t.lower())).select("product_id").distinct().withColumn("_hit", F.lit(True))
-        out = out.join(found, "product_id", "left").filter(F.lower("name").contains(t.lower()) | F.col("_hit")).drop("_hit")
+    words = [t.lower() for t in list(tokens)[:6]]
+    if words:  # one pass over the offers for all words
+        hits = offers.groupBy("product_id").agg(*(F.max(F.lower("name").contains(t)).alias(f"_hit{i}") for i, t in enumerate(words)))
+        out = out.join(hits, "product_id", "left")
+        for i, t in enumerate(words):
+            out = out.filter(F.lower("name").contains(t) | F.coalesce(f"_hit{i}", F.lit(False)))
+        out = out.drop(*(f"_hit{i}" for i in range(len(words))))
     return out
 
 
@@ -177,3 +181,23 @@ def admin_offers(offers: DataFrame, overrides: DataFrame, *, text: str | None =
     counts = overrides.groupBy(F.col("entity_key").alias(key)).agg(F.count("*").alias("n_manual"))
     out = out.join(counts, key, "inner" if edited else "left")
     return out.withColumn("n_manual", F.coalesce("n_manual", F.lit(0)).cast("long"))
+
+
+def newest(rows: DataFrame, at: str, key: str, top: int, store: int | None = None, store_col: str = "store_id") -> DataFrame:
+    """Q7, Q8: the newest rows of all shops, or of one; of one time, those of the largest key first."""
+    own = rows if store is None else rows.filter(F.col(store_col) == store)
+    return own.orderBy(F.desc(at), F.desc(key)).limit(top)
+
+
+def front_deals(drops: DataFrame, spread: DataFrame, size: int, least: int = 4, key: str = "product_id") -> DataFrame:
+    """Q5: drops (key, amount), topped up to size by the largest discount of spread (key, discount) where there are fewer than
+    least; part tells which a row is, source what the whole is made of: drops, mixed or spread. drops is a list of at most
+    size."""
+    first = drops.withColumn("position", F.row_number().over(W.orderBy(F.desc("amount"), key))).select(key, "position", F.lit("drop").alias("part"))
+    had = first.agg(F.count("*").alias("_had"))
+    # as many as could be needed: size of those, and as many as may be among the drops
+    best = spread.orderBy(F.desc("discount"), key).limit(2 * size).withColumn("position", F.row_number().over(W.orderBy(F.desc("discount"), key))).select(key, "position", F.lit("spread").alias("part"))
+    filler = best.crossJoin(F.broadcast(had)).filter(F.col("_had") < least).drop("_had")
+    both = topped_up(first, filler, key, size).crossJoin(F.broadcast(had))
+    source = F.when(F.col("_had") >= least, "drops").when(F.col("_had") > 0, "mixed").otherwise("spread")
+    return both.withColumn("source", source).drop("_had")

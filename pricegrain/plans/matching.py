@@ -71,6 +71,44 @@ def pair_score(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.score_pairs(c, resolve.candidate_pairs(c, stats=stats), stats=stats)
 
 
+_SCORES = _C + f""",
+k AS (SELECT id, game, set_code, product_type, 'type' || chr(1) || game || chr(1) || set_code || chr(1) || coalesce(product_type, chr(2)) AS key FROM c WHERE set_code IS NOT NULL
+  UNION ALL SELECT id, game, set_code, product_type, 'set' || chr(1) || game || chr(1) || set_code FROM c WHERE set_code IS NOT NULL UNION ALL SELECT id, game, set_code, product_type, 'name' || chr(1) || name_key FROM c),
+g AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 300), m AS (SELECT k.* FROM k JOIN g USING (key)),
+u AS (SELECT t.id, t.token, idf FROM t JOIN idf USING (token), n WHERE df >= 2 AND df <= 400 AND (df <= 60 OR df <= 0.25 * n.n)),
+sh AS (SELECT a.id, b.id AS other, sum(a.idf) AS w FROM u a JOIN u b ON a.token = b.token AND a.id <> b.id GROUP BY ALL), r AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, other) <= 80),
+pt AS (SELECT DISTINCT least(id, other) AS x, greatest(id, other) AS y FROM r),
+pairs AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.key = b.key AND a.id < b.id AND {_OK} UNION SELECT x, y FROM pt JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE {_OK}),
+own AS (SELECT c.*, array_to_string(tokens, ' ') AS name, CASE p_size % 7 WHEN 0 THEN 'es' WHEN 1 THEN 'en' END AS language, CASE WHEN p_size % 2 = 0 THEN p_size END AS q, CASE WHEN id % 50 < 2 THEN id // 50 END AS gtin, CASE WHEN id % 70 < 2 THEN id // 70 END AS mpn,
+  (SELECT list(t.token) FROM t JOIN idf USING (token), n WHERE t.id = c.id AND df <= 0.02 * n.n) AS rare FROM c JOIN part ON p_partkey = id),
+f AS (SELECT id, token, count(*) / any_value(len(tokens)) AS tf FROM (SELECT id, tokens, unnest(tokens) AS token FROM c) GROUP BY id, token), w AS (SELECT id, token, tf * idf AS w FROM f JOIN idf USING (token)),
+v AS (SELECT id, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+cos AS (SELECT a, b, sum(p.w * q.w) AS cosine FROM pairs JOIN v p ON p.id = a JOIN v q ON q.id = b AND q.token = p.token GROUP BY a, b),
+j AS (SELECT a, b, x.tokens AS xt, y.tokens AS yt, x.name AS xn, y.name AS yn, coalesce(x.gtin = y.gtin, false) AS same_gtin, coalesce(x.mpn = y.mpn, false) AS same_mpn, x.q AS qa, y.q AS qb, coalesce(cosine, 0) AS cosine, x.name_key = y.name_key AND x.name_key <> '' AS by_name,
+    coalesce(x.game <> y.game, false) OR coalesce(x.set_code <> y.set_code, false) OR coalesce(x.product_type <> y.product_type, false) OR coalesce(x.language <> y.language, false) AS reject,
+    len(list_intersect(x.tokens, y.tokens)) / len(list_distinct(list_concat(x.tokens, y.tokens))) AS jac, coalesce(x.set_code = y.set_code, false) AS same_set, coalesce(x.product_type = y.product_type, false) AS same_type,
+    x.set_code IS NULL AND y.set_code IS NULL AND x.product_type IS NULL AND y.product_type IS NULL AS bare, coalesce(x.q <> y.q, false) AS unequal,
+    CASE WHEN x.set_code IS NOT NULL AND y.set_code IS NOT NULL THEN 20 WHEN x.set_code IS NOT NULL OR y.set_code IS NOT NULL THEN 7 ELSE 0 END AS e1, CASE WHEN x.product_type IS NOT NULL AND y.product_type IS NOT NULL THEN 25 WHEN x.product_type IS NOT NULL OR y.product_type IS NOT NULL THEN 8.75 ELSE 0 END AS e2,
+    CASE WHEN x.q <> y.q THEN 0 WHEN x.q IS NOT NULL AND y.q IS NOT NULL THEN 15 WHEN x.q IS NOT NULL OR y.q IS NOT NULL THEN 5.25 ELSE 0 END AS e3, CASE WHEN x.language = y.language THEN 5 ELSE 0 END AS e4,
+    CASE WHEN x.set_code IS NOT NULL OR y.set_code IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN x.product_type IS NOT NULL OR y.product_type IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN x.q IS NOT NULL OR y.q IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN x.language IS NOT NULL AND y.language IS NOT NULL THEN 5 ELSE 0 END AS applicable,
+    len(list_filter(list_distinct(x.tokens), lambda i: NOT list_contains(y.tokens, i) AND (contains(i, '_') OR regexp_full_match(i, '[A-Za-z]') OR coalesce(list_contains(x.rare, i), false)))) + len(list_filter(list_distinct(y.tokens), lambda i: NOT list_contains(x.tokens, i) AND (contains(i, '_') OR regexp_full_match(i, '[A-Za-z]') OR coalesce(list_contains(y.rare, i), false)))) AS telling
+  FROM pairs JOIN own x ON x.id = a JOIN own y ON y.id = b LEFT JOIN cos USING (a, b)),
+e AS (SELECT *, (e1 + e2 + e3 + e4)::DOUBLE AS earned, CASE WHEN unequal THEN -30 ELSE 0 END AS penalty, list_sort(list_intersect(xt, yt)) AS common, list_sort(list_filter(list_distinct(xt), lambda i: NOT list_contains(yt, i))) AS rx, list_sort(list_filter(list_distinct(yt), lambda i: NOT list_contains(xt, i))) AS ry FROM j),
+h AS (SELECT *, 100 * (earned + 20 * jac + 20) / (applicable + 40) + penalty AS bound, array_to_string(common, ' ') AS cs, array_to_string(list_concat(common, rx), ' ') AS l, array_to_string(list_concat(common, ry), ' ') AS rr, array_to_string(list_sort(xt), ' ') AS sx, array_to_string(list_sort(yt), ' ') AS sy FROM e),
+z AS (SELECT *, 0.30 * greatest(1 - levenshtein(cs, l) / greatest(length(cs), length(l)), 1 - levenshtein(cs, rr) / greatest(length(cs), length(rr)), 1 - levenshtein(l, rr) / greatest(length(l), length(rr))) + 0.25 * cosine
+    + 0.20 * (1 - levenshtein(sx, sy) / greatest(length(sx), length(sy))) + 0.15 * jaro_winkler_similarity(xn, yn) + 0.10 * (1 - levenshtein(xn, yn) / greatest(length(xn), length(yn))) AS combined FROM h),
+raw1 AS (SELECT *, 100 * (earned + 20 * jac + 20 * combined) / (applicable + 40) + penalty + greatest(-42, -14 * telling) AS r1 FROM z),
+raw2 AS (SELECT *, CASE WHEN same_mpn THEN greatest(r1, 95) ELSE r1 END AS r2 FROM raw1), raw3 AS (SELECT *, greatest(0, least(100, CASE WHEN bare AND NOT by_name THEN least(r2, 88) ELSE r2 END)) AS r3 FROM raw2)
+SELECT a, b, round(CASE WHEN same_gtin THEN 100 WHEN reject THEN 0 WHEN NOT same_mpn AND bound < 75 THEN greatest(0, bound) WHEN NOT same_mpn AND by_name THEN greatest(r3, 95) ELSE r3 END, 2) AS score,
+  CASE WHEN same_gtin THEN 'EAN_MATCH' WHEN reject OR NOT same_mpn AND bound < 75 THEN 'FUZZY_MATCH' WHEN same_mpn THEN 'SKU_MATCH' WHEN by_name THEN 'NAME_MATCH' WHEN same_set AND same_type AND qa IS NOT DISTINCT FROM qb THEN 'ATTRIBUTE_MATCH' ELSE 'FUZZY_MATCH' END AS method FROM raw3"""
+
+
+@query(_SCORES)
+def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate pair's score and method, without the breakdown."""
+    return pair_score(spark, sf).select("a", "b", "score", "method")
+
+
 def _decisions(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Neighbours by id: same at every 40th, different at every 60th."""
     step = 40 if kind == "same" else 60

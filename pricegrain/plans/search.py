@@ -111,13 +111,16 @@ def fallback_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").join(a, "event_id", "left").join(b, "user_id", "left").select("event_id", "user_id", F.coalesce("a", "b").alias("name"), F.col("a").isNotNull().alias("by_id"))
 
 
-@query("""SELECT p.page_id, q.page_id AS other FROM pages p JOIN pages q ON regexp_extract(p.url, '^[a-z]+://([^/?#]+)', 1) = regexp_extract(q.url, '^[a-z]+://([^/?#]+)', 1) AND split_part(p.url, '#', 1) <> p.url AND p.page_id < q.page_id""")
+@query("""WITH o AS (SELECT p_partkey, 'https://s.test/p/' || p_size || CASE WHEN p_partkey % 3 > 0 THEN '#v' || p_partkey ELSE '' END AS url FROM part), w AS (SELECT DISTINCT 'https://s.test/p/' || l_quantity::INT AS page FROM lineitem)
+SELECT p_partkey, page FROM o JOIN w ON page = url OR starts_with(url, page || '#')""")
 def same_page(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with an anchor, and later ones of their host."""
+    """Offers and the watched pages they stand on: an address is the page's, or the page's and an anchor."""
     from pricegrain.functions.parse import url_base
 
-    own = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), (url_base("url") != F.col("url")).alias("anchored"))
-    return own.filter("anchored").join(own.select(F.col("page_id").alias("other"), "host"), "host").filter("page_id < other").select("page_id", "other")
+    page = lambda c: F.concat(F.lit("https://s.test/p/"), F.col(c).cast("int").cast("string"))
+    anchor = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("#v"), F.col("p_partkey").cast("string"))).otherwise("")
+    own = table(spark, sf, "part").select("p_partkey", F.concat(page("p_size"), anchor).alias("url")).withColumn("page", url_base("url"))
+    return own.join(table(spark, sf, "lineitem").select(page("l_quantity").alias("page")).distinct(), "page").select("p_partkey", "page")
 
 
 @query(BASE + """, deals AS (SELECT product_id, row_number() OVER (ORDER BY (max(price) - min(price)) DESC, product_id) AS position FROM offer WHERE available GROUP BY product_id HAVING count(*) > 1 ORDER BY position LIMIT 12),
@@ -170,3 +173,11 @@ def within_tolerance(spark: SparkSession, sf: str) -> DataFrame:
     """F20."""
     price = F.when(F.col("p_size") != 7, F.col("p_retailprice"))
     return table(spark, sf, "part").select("p_partkey", (F.abs(price - (900 + F.col("p_partkey") % 100)) <= F.greatest(F.lit(1), 0.02 * price)).alias("equal"))
+
+
+@query("SELECT 'all' AS asked, event_id, user_id FROM (SELECT * FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20) UNION ALL SELECT 'one', event_id, user_id FROM (SELECT * FROM events WHERE event_type = 'error' AND user_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 20)")
+def newest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Q8: the newest errors of all shops, and of one."""
+    errors = table(spark, sf, "events").filter("event_type = 'error'")
+    ask = lambda asked, store: search.newest(errors, "ts", "event_id", 20, store, "user_id").select(F.lit(asked).alias("asked"), "event_id", "user_id")
+    return ask("all", None).unionByName(ask("one", 3))

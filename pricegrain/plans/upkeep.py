@@ -171,12 +171,14 @@ def _decided(spark: SparkSession, sf: str, status: str, decision: Column) -> Dat
     return rows.select(_key("o_custkey").alias("a_key"), _key(F.col("o_orderkey") % 50).alias("b_key"), decision.alias("decision"), F.col("o_orderkey").alias("decided_at"))
 
 
-def _old_decisions(spark: SparkSession, sf: str) -> DataFrame:
+def _old_decisions(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Those of orders that are not finished, or of all."""
     a, b = storage.ordered_pair("a_key", "b_key")
-    return _decided(spark, sf, "O", F.lit("same")).groupBy(a.alias("a_key"), b.alias("b_key")).agg(F.lit("same").alias("decision"), F.min("decided_at").alias("decided_at"))
+    old = _decided(spark, sf, "O", F.lit("same")).unionByName(_decided(spark, sf, "P", F.lit("same")))
+    return (old.unionByName(_decided(spark, sf, "F", F.lit("same"))) if whole else old).groupBy(a.alias("a_key"), b.alias("b_key")).agg(F.lit("same").alias("decision"), F.min("decided_at").alias("decided_at"))
 
 
-@query(_PAIRS + """, o AS (SELECT a_key, b_key, 'same' AS decision, min(t) AS decided_at FROM k WHERE s = 'O' GROUP BY 1, 2), n AS (SELECT a_key, b_key, CASE WHEN max(t) % 2 = 0 THEN 'same' ELSE 'different' END AS decision, max(t) AS decided_at FROM k WHERE s = 'F' GROUP BY 1, 2)
+@query(_PAIRS + """, o AS (SELECT a_key, b_key, 'same' AS decision, min(t) AS decided_at FROM k WHERE s <> 'F' GROUP BY 1, 2), n AS (SELECT a_key, b_key, CASE WHEN max(t) % 2 = 0 THEN 'same' ELSE 'different' END AS decision, max(t) AS decided_at FROM k WHERE s = 'F' GROUP BY 1, 2)
 SELECT a_key, b_key, coalesce(n.decision, o.decision) AS decision, coalesce(n.decided_at, o.decided_at) AS decided_at FROM o FULL JOIN n USING (a_key, b_key)""")
 def saved_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions meet older ones about the same two, in either order."""
@@ -184,28 +186,28 @@ def saved_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.save_decisions(_old_decisions(spark, sf), new)
 
 
-@query(_PAIRS + """, o AS (SELECT DISTINCT a_key, b_key FROM k WHERE s = 'O'), i AS (SELECT 'k' || c_custkey AS stable_key, c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0)
+@query(_PAIRS + """, o AS (SELECT DISTINCT a_key, b_key FROM k), i AS (SELECT 'k' || c_custkey AS stable_key, c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0)
 SELECT a_key, b_key, 'same' AS decision, a.id AS a, b.id AS b, a.id IS NULL AS a_missing, b.id IS NULL AS b_missing FROM o LEFT JOIN i a ON a.stable_key = a_key LEFT JOIN i b ON b.stable_key = b_key""")
 def decided_sides(spark: SparkSession, sf: str) -> DataFrame:
     """A quarter of the offers are gone."""
-    return resolve.decision_sides(_old_decisions(spark, sf).drop("decided_at"), _known(spark, sf))
+    return resolve.decision_sides(_old_decisions(spark, sf, whole=True).drop("decided_at"), _known(spark, sf))
 
 
 def _known(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"), _key("c_custkey").alias("stable_key"))
 
 
-@query(_PAIRS + """, o AS (SELECT DISTINCT a_key, b_key FROM k WHERE s = 'O'), i AS (SELECT 'k' || c_custkey AS stable_key, c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0)
+@query(_PAIRS + """, o AS (SELECT DISTINCT a_key, b_key FROM k), i AS (SELECT 'k' || c_custkey AS stable_key, c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0)
 SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM o JOIN i a ON a.stable_key = a_key JOIN i b ON b.stable_key = b_key WHERE a.id <> b.id""")
 def decided_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs of offers that decisions 'same' join."""
-    return resolve.keyed_pairs(_old_decisions(spark, sf), _known(spark, sf), "same")
+    return resolve.keyed_pairs(_old_decisions(spark, sf, whole=True), _known(spark, sf), "same")
 
 
-@query("""WITH g AS (SELECT l_suppkey AS g, min(l_partkey) AS a FROM lineitem WHERE l_quantity = 50 GROUP BY 1) SELECT DISTINCT a, l_partkey AS b FROM lineitem JOIN g ON g = l_suppkey WHERE l_quantity = 50 AND l_partkey <> a""")
+@query("""WITH g AS (SELECT l_suppkey AS g, min(l_partkey) AS a FROM lineitem GROUP BY 1) SELECT DISTINCT a, l_partkey AS b FROM lineitem JOIN g ON g = l_suppkey WHERE l_partkey <> a""")
 def shared_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Offers with their sets of codes; each is joined to the first that has one of them."""
-    codes = table(spark, sf, "lineitem").filter("l_quantity = 50").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set("l_suppkey").alias("gtins"))
+    codes = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set("l_suppkey").alias("gtins"))
     every = products(spark, sf).select(F.col("product_id").alias("id")).join(codes, "id", "left")
     return resolve.gtin_edges(every)
 
