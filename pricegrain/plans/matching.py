@@ -122,7 +122,30 @@ def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     return resolve.group(c, scored, _decisions(spark, sf, "same"), _decisions(spark, sf, "different"))
 
 
-@query()
+# one edge after another, in the greedy order; the group of every offer goes along as a list
+_GROUPS = _SCORES.replace("WITH", "WITH RECURSIVE", 1).replace("\nSELECT a, b, round(CASE WHEN same_gtin", ",\nsc AS (SELECT a, b, round(CASE WHEN same_gtin", 1) + """),
+same AS (SELECT id AS a, id + 1 AS b FROM c WHERE id % 40 = 3 AND id + 1 IN (SELECT id FROM c)), diff AS (SELECT id AS a, id + 1 AS b FROM c WHERE id % 60 = 3 AND id + 1 IN (SELECT id FROM c)),
+anchors AS (SELECT gtin, min(id) AS a FROM own WHERE gtin IS NOT NULL GROUP BY 1),
+edges AS (
+  SELECT a, id AS b, 0 AS stage, 100.0::DOUBLE AS score, 'EAN_MATCH' AS method FROM anchors JOIN own USING (gtin) WHERE id <> a UNION ALL SELECT a, b, 1, 100.0, 'MANUAL' FROM same
+  UNION ALL SELECT a, b, 2, score, method FROM sc WHERE score >= 90 AND (a, b) NOT IN (SELECT (a, b) FROM diff)),
+place AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM c),
+ordered AS (SELECT edges.*, x.i AS ia, y.i AS ib, row_number() OVER (ORDER BY stage, score DESC, a, b) AS n FROM edges JOIN place x ON x.id = a JOIN place y ON y.id = b),
+facts AS (SELECT list(set_code ORDER BY id) AS sets, list(product_type ORDER BY id) AS types, list(language ORDER BY id) AS languages FROM own), apart AS (SELECT coalesce(list([x.i, y.i]), []) AS pairs FROM diff JOIN place x ON x.id = a JOIN place y ON y.id = b),
+steps AS (
+  SELECT 0::BIGINT AS n, (SELECT list(i ORDER BY i) FROM place) AS labels, false AS joined
+  UNION ALL SELECT n, CASE WHEN ok THEN list_transform(labels, lambda l: CASE WHEN l = greatest(la, lb) THEN least(la, lb) ELSE l END) ELSE labels END, ok FROM (
+    SELECT e.n, labels, labels[e.ia] AS la, labels[e.ib] AS lb, labels[e.ia] <> labels[e.ib]
+      AND len(list_distinct(list_filter(sets, lambda v, i: labels[i] = labels[e.ia] OR labels[i] = labels[e.ib]))) < 2 AND len(list_distinct(list_filter(types, lambda v, i: labels[i] = labels[e.ia] OR labels[i] = labels[e.ib]))) < 2
+      AND len(list_distinct(list_filter(languages, lambda v, i: labels[i] = labels[e.ia] OR labels[i] = labels[e.ib]))) < 2
+      AND len(list_filter(pairs, lambda d: labels[d[1]] <> labels[d[2]] AND (labels[d[1]] = labels[e.ia] OR labels[d[1]] = labels[e.ib]) AND (labels[d[2]] = labels[e.ia] OR labels[d[2]] = labels[e.ib]))) = 0 AS ok
+    FROM steps s JOIN ordered e ON e.n = s.n + 1, facts, apart)),
+final AS (SELECT p.id AS product_key, q.id FROM (SELECT unnest(labels) AS label, generate_subscripts(labels, 1) AS i FROM steps WHERE n = (SELECT max(n) FROM steps)) f JOIN place p ON p.i = label JOIN place q ON q.i = f.i),
+made AS (SELECT o.* FROM ordered o JOIN steps USING (n) WHERE joined), ends AS (SELECT unnest([a, b]) AS id, * FROM made),
+how AS (SELECT id, method, score FROM ends QUALIFY row_number() OVER (PARTITION BY id ORDER BY stage <> 1, n) = 1)"""
+
+
+@query(_GROUPS + " SELECT id, product_key, coalesce(method, 'SINGLETON') AS method, coalesce(score, 100) AS score FROM final LEFT JOIN how USING (id)")
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _grouped(spark, sf)[0]
 
@@ -143,6 +166,12 @@ def rematched(spark: SparkSession, sf: str) -> DataFrame:
     return found.assignment
 
 
+@query(_GROUPS + " SELECT sc.a, sc.b, score, method FROM sc JOIN final x ON x.id = a JOIN final y ON y.id = b WHERE score >= 75 AND x.product_key <> y.product_key AND (a, b) NOT IN (SELECT (a, b) FROM diff)")
+def review_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs that wait for a human, without the breakdown."""
+    return review_queue(spark, sf).select("a", "b", "score", "method")
+
+
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS b FROM part QUALIFY b IS NOT NULL), s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r AS (SELECT u AS node, u AS label FROM s UNION SELECT s.v, r.label FROM r JOIN s ON s.u = r.node)
 SELECT node, min(label) AS component FROM r GROUP BY node""")
 def decision_components(spark: SparkSession, sf: str) -> DataFrame:
