@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pricegrain.functions.parse import stable_key
 from pricegrain.functions.similarity import jaccard, name_similarity
 from pricegrain.operators import grouping
 from pricegrain.operators.graph import min_labels
@@ -64,6 +65,27 @@ def token_stats(candidates: DataFrame) -> Stats:
     return written(idf, "idf"), n
 
 
+def load_candidates(offers: DataFrame, stores: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """The active offers as candidates. tokens is a JSON list; where it is none, or empty, the words of the normalised name, or
+    else of the name, take its place. gtins and mpns are the sets of an offer's identifiers (offer_id, kind,
+    normalized_value); the key is the shop's code with the offer's own id, or else its address.
+
+    offers: id, store_id, external_id, url, name, normalized_name, tokens, name_key, is_active, quantity_confidence and the
+    attributes; stores: store_id, store_code.
+    """
+    kinds = identifiers.filter(F.col("kind").isin("gtin", "mpn")).groupBy(F.col("offer_id").alias("id")).agg(
+        *(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("normalized_value")))).alias(f"{k}s") for k in ("gtin", "mpn"))
+    )
+    none = F.array().cast("array<string>")
+    given = F.coalesce(F.from_json("tokens", "array<string>"), none)
+    words = F.filter(F.split(F.coalesce(F.nullif("normalized_name", F.lit("")), "name", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = offers.filter("is_active").join(stores.select("store_id", "store_code"), "store_id").join(kinds, "id", "left")
+    return rows.select(
+        "id", "store_id", "store_code", stable_key("store_code", "external_id", "url").alias("stable_key"), "name", F.when(F.size(given) > 0, given).otherwise(words).alias("tokens"), F.coalesce("name_key", F.lit("")).alias("name_key"),
+        "game", "set_code", "product_type", "units_total", F.coalesce("quantity_confidence", F.lit(0.0)).alias("quantity_confidence"), "language", F.coalesce("gtins", none).alias("gtins"), F.coalesce("mpns", none).alias("mpns"),
+    )
+
+
 def tfidf_vectors(rows: DataFrame, key: str, tokens: str, stats: Stats | None = None) -> DataFrame:
     """M8: (key, vector map<string,double>) of unit length; tf is the share of the tokens, idf ln((N + 1) / (df + 1)) + 1. Tokens
     that given stats do not know have no weight."""

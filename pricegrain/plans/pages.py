@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricegrain.functions import money, parse
-from pricegrain.operators import changes, history, market, search
+from pricegrain.functions import money, parse, sql
+from pricegrain.operators import changes, history, market, resolve, search
+from pricegrain.operators.storage import scratch
 from pricegrain.plans.base import BASE, bare_offers, observations, products, stores, table
 from pricegrain.plans.changes import _EVENTS, _WATCH, feed
 from pricegrain.plans.registry import query
+from pricegrain.sources import catalogue
 
 _SAVED = BASE + """, m AS (SELECT product_id, count(DISTINCT store_id) AS n, median(price) AS med, min(price) AS best, arg_min(units, (price, offer_id)) AS u, arg_min(confidence, (price, offer_id)) AS c, arg_min(store_id, (price, offer_id)) AS best_store FROM offer WHERE available GROUP BY 1),
 s AS (SELECT product_id, best, best_store, med - best AS saving, (med - best) / med * 100 AS percent, CASE WHEN u > 0 AND c >= 0.7 THEN best / u END AS unit FROM m WHERE n >= 2 AND med > best)"""
@@ -91,3 +95,52 @@ def first_images(spark: SparkSession, sf: str) -> DataFrame:
     """A4: some offers have no image or an empty one."""
     image = F.when(F.col("units") % 3 == 0, "").when(F.col("units") % 3 == 1, F.concat(F.lit("i"), F.col("offer_id").cast("string")))
     return market.first_image(bare_offers(spark, sf).withColumn("image", image), "product_id", "image", "offer_id")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN string_split(p_name, ' ') ELSE ['t', p_brand] END AS tokens, 's' || p_size % 5 || '::' || CASE WHEN p_partkey % 2 = 0 THEN 'x' || p_partkey ELSE 'http://s/' || p_partkey END AS stable_key,
+  list_distinct(CASE WHEN p_partkey % 4 = 0 THEN ['g' || p_size] WHEN p_partkey % 4 = 1 THEN ['g' || p_size, 'g0'] ELSE [] END).list_sort() AS gtins, CASE WHEN p_partkey % 4 = 2 THEN ['m' || p_size] ELSE [] END AS mpns FROM part WHERE p_partkey % 10 <> 0""")
+def loaded_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the offers have no list of tokens, or a broken or empty one; a tenth is not active."""
+    n, size, none = F.col("p_partkey"), F.col("p_size"), F.lit(None).cast("string")
+    broken = F.when(n % 3 == 0, none).when(n % 3 == 1, "[]").otherwise("nonsense")
+    p = table(spark, sf, "part")
+    own = p.select(
+        n.alias("id"), (size % 5).alias("store_id"), F.when(n % 2 == 0, F.concat(F.lit("x"), n)).alias("external_id"), F.concat(F.lit("http://s/"), n).alias("url"), F.col("p_name").alias("name"), F.when(n % 2 == 0, "").otherwise(F.col("p_name")).alias("normalized_name"),
+        F.when(size % 3 == 0, broken).otherwise(F.to_json(F.array(F.lit("t"), "p_brand"))).alias("tokens"), none.alias("name_key"), (n % 10 != 0).alias("is_active"), F.lit(None).cast("double").alias("quantity_confidence"),
+        *(none.alias(c) for c in ("game", "set_code", "product_type", "language")), F.lit(None).cast("int").alias("units_total"),
+    )
+    shops = own.select("store_id").distinct().withColumn("store_code", F.concat(F.lit("s"), "store_id"))
+    code = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("normalized_value"))
+    mine = F.when(n % 4 == 0, F.array(code("gtin", F.concat(F.lit("g"), size)), code("sku", F.lit("no")))).when(n % 4 == 1, F.array(code("gtin", F.concat(F.lit("g"), size)), code("gtin", F.lit("g0")), code("gtin", F.lit("g0")))).when(n % 4 == 2, F.array(code("mpn", F.concat(F.lit("m"), size))))
+    return resolve.load_candidates(own, shops, p.select(n.alias("offer_id"), F.explode(mine).alias("i")).select("offer_id", "i.*")).select("id", "tokens", "stable_key", "gtins", "mpns")
+
+
+@query("""SELECT s_suppkey, CASE WHEN n_nationkey IS NULL OR n_nationkey % 5 = 4 THEN 'none' ELSE n_name END AS platform, CASE WHEN n_nationkey IS NULL OR n_nationkey % 5 = 4 OR n_nationkey % 2 = 1 THEN 10 ELSE n_regionkey END AS max_pages FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""")
+def shop_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A settings file for each nation, read and looked up by code; some files are broken, some leave a value out."""
+    n = table(spark, sf, "nation")
+    code = F.concat(F.lit("n"), F.col("n_nationkey"))
+    text = F.when(F.col("n_nationkey") % 5 == 4, "not { json").otherwise(F.to_json(F.struct(code.alias("code"), F.col("n_name").alias("platform"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey").cast("int")).alias("max_pages"))))
+    root = f"{scratch(spark)}/shops-{uuid.uuid4().hex}"
+    n.select(code.alias("file"), F.regexp_replace(text, ",", ",\n  ").alias("value")).write.partitionBy("file").text(root)
+    found = catalogue.read_files(spark, root, "code string, platform string, max_pages int", glob="*.txt")
+    shops = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey")).alias("code"))
+    return catalogue.with_settings(shops, found, "code", ["platform", "max_pages"], {"platform": "none", "max_pages": 10}).select("s_suppkey", "platform", F.col("max_pages").cast("long").alias("max_pages"))
+
+
+@query(BASE + """, o AS (SELECT product_id, count(*) AS n, round(sum(CASE WHEN units > 0 AND confidence >= 0.7 THEN price / units END), 4) AS unit_prices, round(max(greatest((high - price) / high * 100, 0)), 6) AS discount FROM (SELECT *, max(price) OVER (PARTITION BY product_id) AS high FROM offer) GROUP BY 1)
+SELECT * FROM o""")
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The library's functions from SQL."""
+    sql.register(spark)
+    bare_offers(spark, sf).createOrReplaceTempView("pg_offers")
+    return spark.sql("""SELECT product_id, count(*) AS n, round(sum(pg_unit_price(price, units, confidence)), 4) AS unit_prices, round(max(pg_discount_percent(price, high)), 6) AS discount
+      FROM (SELECT *, max(price) OVER (PARTITION BY product_id) AS high FROM pg_offers) GROUP BY product_id""")
+
+
+@query(r"""SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS position, regexp_extract(url, '^[a-z]+://[^/?#]+') || unnest(l) AS link FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)""")
+def sql_page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """A table function from SQL: every link of every page, absolute."""
+    sql.register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("pg_pages")
+    return spark.sql("SELECT page_id, position, pg_absolute_url(url, value) AS link FROM pg_pages, LATERAL pg_page_links(html, 'a', 'href')")

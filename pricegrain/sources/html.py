@@ -245,16 +245,23 @@ def select_all(pages: DataFrame, html: str, selector: str, attr: str | None = No
 
     @F.pandas_udf(BLOCKS)
     def every(page: pd.Series) -> pd.Series:
-        def one(p: str | None) -> list[str]:
-            picker = _Picker([selector])
-            picker.feed(p or "")
-            return [v for h in picker.found[0] if (v := h["attrs"].get(attr) if attr else " ".join("".join(h["text"]).split()))]
-
-        return page.map(one)
+        return page.map(lambda p: hits_of(p, selector, attr))
 
     return pages.select(*[c for c in pages.columns if c != html], F.posexplode(every(F.col(html))).alias("position", "value")).withColumn("selector", F.lit(name)).drop("selector")
 
 
+def scripts_of(page: str | None) -> list[str]:
+    """The texts of a page's JSON-LD scripts."""
+    return re.findall(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", page or "")
+
+
+def hits_of(page: str | None, selector: str, attribute: str | None = None) -> list[str]:
+    """What select_all finds in one page."""
+    picker = _Picker([selector])
+    picker.feed(page or "")
+    return [v for h in picker.found[0] if (v := h["attrs"].get(attribute) if attribute else " ".join("".join(h["text"]).split()))]
+
+
 def _flat(data: object) -> Iterator[dict]:
     todo = [data]
     while todo:

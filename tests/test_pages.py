@@ -37,3 +37,25 @@ def test_small_ones(spark):
     assert {r.g: r.image for r in market.first_image(images, "g", "image", "o").collect()} == {1: "c", 2: None}
     line = spark.range(1).select(money.saving_line(F.lit("A & B (x)"), F.lit("Shop"), F.lit(36990.0), F.lit(5000.4), F.lit(12.4)).alias("t")).first().t
     assert line == "★ A &amp; B · x: $36.990 in Shop (−$5.000, 12 %)"
+
+
+def test_settings_files_and_sql_functions(spark, tmp_path):
+    from pricegrain.functions import sql
+    from pricegrain.sources import catalogue
+
+    for name, text in {"a/one.json": '{\n "code": "a", "pages": 3, "x": 1}', "a/two.json": '{"code": "a", "pages": 4}', "b.json": '{"code": "b"}', "c.json": "[1]", "d.json": "{", "e.json": '{"code": ""}', "f.txt": '{"code": "f"}', "g.json": ""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = catalogue.read_files(spark, str(tmp_path), "code string, pages int")
+    assert {r.code: r.pages for r in found.collect()} == {"a": 4, "b": None}
+    rows = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "code string")
+    assert {r.code: r.pages for r in catalogue.with_settings(rows, found, "code", ["pages"], {"pages": 9}).collect()} == {"a": 4, "b": 9, "z": 9, None: 9}
+    names = sql.register(spark)
+    assert names == sql.register(spark) and len(names) == 10
+    one = lambda text: [tuple(r) for r in spark.sql(text).collect()]
+    assert one("SELECT pg_unit_price(10, 4, 0.9), pg_unit_price(10, 4, 0.5), pg_saving(3, 5), pg_saving(3, 0), pg_discount_percent(5, 10), pg_discount_percent(NULL, 10)") == [(2.5, None, 2.0, None, 50.0, 0.0)]
+    assert one("SELECT pg_days_until(TIMESTAMP '2024-01-03 01:00:00', TIMESTAMP '2024-01-01'), pg_jaro_winkler('martha', 'marhta') > 0.96, pg_unescape('&eacute;')") == [(3, True, "é")]
+    page = """<a href="/x">one</a><script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "P"}, {"@type": ["A", "B"]}]}</script><script type="application/ld+json">{</script><a href="/y"></a>"""
+    spark.createDataFrame([(1, page), (2, None)], "k int, html string").createOrReplaceTempView("some_pages")
+    assert one("SELECT k, position, value FROM some_pages, LATERAL pg_page_links(html, 'a', 'href') ORDER BY position") == [(1, 0, "/x"), (1, 1, "/y")]
+    assert [(t, n) for _, t, n in one("SELECT position, type, name FROM some_pages, LATERAL pg_page_blocks(html) WHERE type IS NOT NULL ORDER BY position")] == [("Product", "P"), ('["A", "B"]', None)]
