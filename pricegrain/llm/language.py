@@ -14,6 +14,8 @@ from pricegrain.llm.common import id_type, materialize
 
 #: The text model is fitted on at most so many documents of each language, those of the smallest hashed ids.
 MAX_TRAINING_DOCS = 400
+#: Languages of a model at most: they bound what the driver and a broadcast hold.
+MAX_LANGUAGES = 100
 BITS = 15
 #: Bytes of evidence after which more text adds no certainty, as n-grams of one text are not independent: the log
 #: likelihoods of a longer text, all of which is read, are scaled to those of so many bytes. A parameter of the model.
@@ -88,11 +90,14 @@ def fit_ngrams(texts: list[str], languages: list[str]) -> NgramModel:
     return _model(known, counts)
 
 
-def train_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS) -> NgramModel:
-    """Fit on at most max_docs documents of each language of the column. Documents are dealt by their hashed id; rows without
+def train_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS, max_languages: int = MAX_LANGUAGES) -> NgramModel:
+    """Fit on at most max_docs documents of each language of the column. Languages are the max_languages values that most rows
+    have (of as many rows, the first by name); other values, such as misspelt ones, are of no language of the model. Documents are dealt by their hashed id; rows without
     id, language or text are left out. Trigrams are counted on Spark; the driver gets each language's counts by cell. A
     table without any such row gives a model of no language."""
     rows = docs.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).cast("string").alias("_id"), F.lower(F.trim(lang_col)).alias("_lang"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL AND _text <> '' AND _lang <> ''")
+    common = rows.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_languages).select("_lang")
+    rows = rows.join(F.broadcast(common), "_lang", "left_semi")
     chosen = _candidates(rows, max_docs).groupBy("_lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("_h", "_id"))), 1, max_docs).alias("_c"))
     chosen = chosen.select("_lang", F.explode("_c").alias("_c")).select("_lang", "_c._h", "_c._id")
 

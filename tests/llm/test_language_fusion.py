@@ -135,3 +135,11 @@ def test_long_text_in_pieces(model):
     text = "della questo sono " * 100_000
     logs, letters = model.log_likelihood([text])
     assert letters[0] == sum(map(str.isalpha, text)) and logs[0, model.languages.index("it")] == logs[0].max()
+
+
+def test_rare_values_are_no_languages(spark):
+    rows = [(i, f"some words of one sort {i}", "en") for i in range(6)] + [(10 + i, f"noch ein paar andere {i}", "de") for i in range(5)] + [(20 + i, "typing errors", f"e{i}n") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train_ngrams(docs, max_languages=2).languages == ["de", "en"]
+    assert language.train_ngrams(docs, max_languages=3).languages == ["de", "e0n", "en"]
+    assert len(language.train_ngrams(docs).languages) == 32
