@@ -434,6 +434,40 @@ def forget_decisions(decisions: DataFrame, queue: DataFrame, keys: DataFrame, fo
     return left, reviews.select(queue.columns)
 
 
+def merge_products(candidates: DataFrame, scored: DataFrame, decisions: DataFrame, assignment: DataFrame, wanted: DataFrame, at: Column, cfg: Scoring = Scoring()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M21b in one step: (decisions, assignment, outcome) after the products wanted (p, q) have been made one.
+
+    A pair whose attributes clash changes nothing (M22). For the others, decisions that hold an offer of one apart from one of
+    the other go (J16), 'same' is decided between their smallest offers (K11), and the groups are made again (M14). outcome
+    (p, q, allowed, merged) is the verification: whether all offers of both are one product now. An allowed pair may still
+    stay apart, where a third offer or decision stands between. decisions: a_key, b_key, decision, decided_at, by stable
+    keys; an offer that is gone takes part in nothing. wanted: any number of pairs; a pair of one product with itself is
+    left out. Null keys meet nothing.
+    """
+    lookup = candidates.select("id", "stable_key")
+    placed = lookup.join(assignment.select("id", "product_key"), "id")
+    products = products_of(candidates, assignment).withColumnRenamed("product_key", "product_id")
+    checked = written(merge_allowed(products, wanted.select("p", "q").filter("p <> q").distinct(), cfg), "checked")
+    pair = checked.filter("allowed").select(F.least("p", "q").alias("_p"), F.greatest("p", "q").alias("_q")).distinct()
+
+    side = lambda s: placed.select(F.col("stable_key").alias(f"{s}_key"), F.col("product_key").alias(f"_{s}"))
+    sided = decisions.join(side("a"), "a_key", "left").join(side("b"), "b_key", "left").withColumns({"_p": F.least("_a", "_b"), "_q": F.greatest("_a", "_b")})
+    met = sided.join(pair.withColumn("_met", F.lit(True)), ["_p", "_q"], "left")
+    left = met.filter((F.col("decision") != "different") | F.col("_met").isNull()).select(decisions.columns)
+    key = lambda c, out: lookup.select(F.col("id").alias(c), F.col("stable_key").alias(out))
+    new = pair.join(key("_p", "a_key"), "_p").join(key("_q", "b_key"), "_q").select("a_key", "b_key", F.lit("same").alias("decision"), at.alias("decided_at"))
+    decided = written(save_decisions(left, new), "decided")
+
+    sides = decision_sides(decided, lookup).filter("NOT a_missing AND NOT b_missing")
+    ids = lambda d: sides.filter(F.col("decision") == d).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = ids("different")
+    after = assigned(candidates, edges_of(candidates, scored, ids("same"), apart, cfg), apart, cfg)[0]
+    ends = placed.join(after.select("id", F.col("product_key").alias("_now")), "id").groupBy("product_key").agg(F.min("_now").alias("lo"), F.max("_now").alias("hi"))
+    one = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
+    joined = checked.join(ends.alias("x"), F.col("p") == F.col("x.product_key")).join(ends.alias("y"), F.col("q") == F.col("y.product_key"))
+    return decided, after, joined.select("p", "q", "allowed", one.alias("merged"))
+
+
 #: Attributes of an offer that may be corrected by hand.
 EDITABLE = ("language", "set_code", "product_type", "url")
 

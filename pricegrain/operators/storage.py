@@ -38,7 +38,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read again. The files go by discard, or when the driver's Python ends."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return temporary(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def temporary(found: DataFrame, path: str) -> DataFrame:
+    """found, which reads a path of the shared folder whose files go as those of written tables do."""
     found._scratch = path
     if not _WRITTEN:
         atexit.register(_at_exit)

@@ -89,7 +89,21 @@ def name_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.array_join("core", " ").alias("core"), text.sorted_key("core").alias("name_key"))
 
 
-@query()
+# a phrase's words keep blanks of their own, so that phrases that follow one another don't share one; no two phrases begin with the same word
+_NAMES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, CAST(generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS INT) AS line_no FROM documents),
+p AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(line, '&', ' and '))), '\(pre-?order[^)]*\)', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS punctuated FROM l),
+d AS (SELECT *, regexp_replace(punctuated, '[^a-z0-9.]+', ' ', 'g') AS t FROM p),
+b AS (SELECT doc_id, line_no, punctuated, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(t, '([0-9])\.([0-9])', '\1@\2', 'g'), '([0-9])\.([0-9])', '\1@\2', 'g'), '.', ' '), '@', '.'), ' +', ' ', 'g')) AS basic FROM d),
+m AS (SELECT *, regexp_replace(' ' || replace(basic, ' ', '  ') || ' ', '( of  the  and | the  of | and  the )', '#\1#', 'g') AS marked FROM b),
+w AS (SELECT *, list_filter(string_split(replace(replace(replace(marked, '# of  the  and #', ' det_triple '), '# the  of #', ' det_pair '), '# and  the #', ' '), ' '), lambda x: x <> '') AS tokens FROM m),
+k AS (SELECT *, list_filter(tokens, lambda x: contains(x, '_') OR regexp_full_match(x, '[0-9]+(\.[0-9]+)?') OR x = 'in' OR x NOT IN ('the', 'of', 'and')) AS kept FROM w),
+c AS (SELECT *, CASE WHEN len(kept) > 0 THEN kept ELSE tokens END AS core_tokens FROM k),
+h AS (SELECT *, regexp_matches(basic, '\b(english|ingles)\b') AS e1, regexp_matches(basic, '\b(spanish|espanol)\b') AS s1, regexp_matches(punctuated, '[\[(]en[\])]') AS e2, regexp_matches(punctuated, '[\[(]es[\])]') AS s2, regexp_matches(basic, '\beng\b') AS e3, regexp_matches(basic, '\besp\b') AS s3 FROM c)
+SELECT doc_id, line_no, punctuated, basic, tokens, array_to_string(tokens, ' ') AS canonical, core_tokens, array_to_string(list_sort(list_distinct(core_tokens)), ' ') AS name_key,
+  CASE WHEN e1 OR s1 THEN CASE WHEN NOT s1 THEN 'en' WHEN NOT e1 THEN 'es' END WHEN e2 OR s2 THEN CASE WHEN NOT s2 THEN 'en' WHEN NOT e2 THEN 'es' END WHEN e3 OR s3 THEN CASE WHEN NOT s3 THEN 'en' WHEN NOT e3 THEN 'es' END END AS language FROM h"""
+
+
+@query(_NAMES)
 def normalize_name(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every text as a name."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None, kind: str = "parquet") -> DataFrame:
-    """S3: Parquet, ORC, JSON or CSV; with a schema, files that don't fit it fail."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None, kind: str = "parquet", **options: object) -> DataFrame:
+    """S3: Parquet, ORC, JSON or CSV; with a schema, files that don't fit it fail. options: the reader's own."""
     reader = spark.read.format(kind)
     if schema:
         reader = reader.schema(schema)
         if kind in ("json", "csv"):
             reader = reader.option("mode", "FAILFAST")
-    return reader.option("header", True).load(path)
+    return reader.options(header=True, **options).load(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 8) -> DataFrame:
