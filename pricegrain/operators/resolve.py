@@ -441,8 +441,8 @@ def merge_products(candidates: DataFrame, scored: DataFrame, decisions: DataFram
     the other go (J16), 'same' is decided between their smallest offers (K11), and the groups are made again (M14). outcome
     (p, q, allowed, merged) is the verification: whether all offers of both are one product now. An allowed pair may still
     stay apart, where a third offer or decision stands between. decisions: a_key, b_key, decision, decided_at, by stable
-    keys; an offer that is gone takes part in nothing. wanted: any number of pairs; a pair of one product with itself is
-    left out. Null keys meet nothing.
+    keys; an offer that is gone takes part in nothing. wanted: any number of pairs; a pair of one product with itself, or
+    with one that is not there, is left out. Null keys meet nothing.
     """
     lookup = candidates.select("id", "stable_key")
     placed = lookup.join(assignment.select("id", "product_key"), "id")
