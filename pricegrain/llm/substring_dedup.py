@@ -18,18 +18,18 @@ from pricegrain.llm.rolling import PIECE, numbers, range_hashes
 MIN_WORDS = 16
 #: A cut comes before one white space in 4, and, for texts without, at one character in 4096.
 WORD_CUT, PLAIN_CUT = 3, 4095
+#: A stretch without white space above so many bytes, or above so many bytes that are not ASCII, is no word but many: one
+#: begins at one character in 4, where the gear hash says so, and at one in 4 of these a chunk.
+LONG_WORD, LONG_FOREIGN, INNER_WORD, INNER_CUT = 256, 48, 3, 15
 _GEAR = numbers(256, 6)
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Starts of the chunks and the end. The gear hash of a place is the sum of the table's entries of the 16 bytes before
-    it, each shifted once more the further back it lies, so that a cut depends on these bytes alone: an insertion moves
-    the cuts next to it and no others. Long texts are gone through piece by piece."""
-    if not len(data):
-        return np.zeros(1, dtype=np.int64)
-    found = [np.zeros(1, dtype=np.int64)]
+def _gear_hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first place, bytes from the one before it on, gear hashes before each place) of the pieces of a text: of any length,
+    it is gone through piece by piece. The gear hash of a place is the sum of the table's entries of the 16 bytes before
+    it, each shifted once more the further back it lies, so that it depends on these bytes alone."""
     for piece in range(0, len(data), PIECE):
         a = max(0, piece - 16)  # the bytes before the piece that its cuts depend on
         own = data[a : piece + PIECE]
@@ -38,24 +38,59 @@ def cuts(data: np.ndarray) -> np.ndarray:
             shifted = np.zeros_like(h)
             shifted[step:] = h[:-step] << np.uint64(step)
             h = h + shifted
-        top = (h >> np.uint64(4)).astype(np.uint32)  # of the bytes up to and with each place
-        here, last = own[1:], top[:-1]
+        skip = max(piece, 1) - a - 1
+        yield max(piece, 1), own[skip:], (h >> np.uint64(4)).astype(np.uint32)[skip:-1]
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Starts of the chunks and the end, by the gear hash: an insertion moves the cuts next to it and no others."""
+    if not len(data):
+        return np.zeros(1, dtype=np.int64)
+    found = [np.zeros(1, dtype=np.int64)]
+    for start, own, last in _gear_hashes(data):
+        here = own[1:]
         at = (_SPACES[here] & ~_SPACES[own[:-1]] & ((last >> 8) & WORD_CUT == 0)) | (((last >> 4) & PLAIN_CUT == 0) & ((here & 0xC0) != 0x80))
-        places = np.flatnonzero(at) + 1 + a
-        found.append(places[places >= max(piece, 1)])
+        found.append(np.flatnonzero(at) + start)
     return np.concatenate([*found, [len(data)]])
 
 
+def _words_within(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where words begin within long stretches without white space, where chunks do), by the gear hash."""
+    none = np.empty(0, np.int64)
+    long = end - begin > LONG_WORD
+    if np.count_nonzero(data & 0x80) > LONG_FOREIGN:
+        before = np.concatenate([[0], np.cumsum(data >> 7, dtype=np.int64)])
+        long |= before[end] - before[begin] > LONG_FOREIGN
+    if not long.any():
+        return none, none
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[begin[long] + 1] += 1
+    inside[end[long]] -= 1
+    inside = np.cumsum(inside, dtype=np.int8).astype(bool)
+    words, chunks = [none], [none]
+    for start, own, last in _gear_hashes(data):
+        at = inside[start : start + len(last)] & ((own[1:] & 0xC0) != 0x80) & ((last >> 8) & INNER_WORD == 0)
+        words.append(np.flatnonzero(at) + start)
+        chunks.append(np.flatnonzero(at & ((last >> 8) & INNER_CUT == 0)) + start)
+    return np.concatenate(words), np.concatenate(chunks)
+
+
 def windows(data: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first words of the passages of min_words words that are looked up, starts of all words, their ends). A passage
     begins with the first whole word of each chunk and, in a chunk longer than itself, at every fourth word; the last one
-    holds the text's last words."""
+    holds the text's last words. Words are what white space parts; long stretches without any, as whole texts of some
+    scripts are, hold several."""
     word = ~_SPACES[data]
     edge = np.diff(word.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edges = cuts(data)
+    within, chunks = _words_within(data, begin, end)
+    if len(within):
+        begin, end = np.sort(np.concatenate([begin, within])), np.sort(np.concatenate([end, within]))
+        edges = np.union1d(edges, chunks)
     if len(begin) < min_words:
         return np.empty(0, np.int64), begin, end
-    first = np.searchsorted(begin, cuts(data))  # of each chunk's words
+    first = np.searchsorted(begin, edges)  # of each chunk's words
     long = np.flatnonzero(np.diff(first) > min_words)
     inner = [np.arange(first[i] + 4, first[i + 1], 4) for i in long]
     words = np.unique(np.concatenate([first[:-1], *inner, [len(begin) - min_words]]))
@@ -134,7 +169,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text keeps what it says first: passages of min_words words that stand, in one piece, in a smaller id too or earlier
     in the same text are cut out; those that meet are one span. White space between words counts. Passages are looked up
-    from the beginnings of chunks, so up to a few words at either end of what is repeated stay.
+    from the beginnings of chunks, so up to a few words at either end of what is repeated stay. In a stretch without white
+    space of more than 256 bytes, or 48 bytes that are not ASCII, a word is some four characters between places that the
+    gear hash picks, so texts of scripts without blanks are cut alike (a loop of one character stays one word).
 
     Null and empty texts stay as they are (kept_text empty), as do rows without id. Rows that share an id but not the text
     are rows of their own, ordered by a hash of the text; rows alike in both are one document and all keep what it keeps:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,9 +19,13 @@ def words(n, rng):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
 
+def slow_gear(data, i):
+    return sum(GEAR[data[i - 1 - k]] << k for k in range(min(16, i))) & (1 << 64) - 1
+
+
 def slow_cut(data, i):
     """Whether a chunk begins at byte i: its own definition, one byte at a time."""
-    h = sum(GEAR[data[i - 1 - k]] << k for k in range(min(16, i))) & (1 << 64) - 1
+    h = slow_gear(data, i)
     return (data[i] in SPACE and data[i - 1] not in SPACE and (h >> 12) % 4 == 0) or ((h >> 8) % 4096 == 0 and data[i] & 0xC0 != 0x80)
 
 
@@ -33,9 +38,17 @@ def slow_passages(data, n=16):
             at = None
         elif b not in SPACE and at is None:
             at = i
+    edges = {0, *(i for i in range(1, len(data)) if slow_cut(data, i)), len(data)}
+    split = []
+    for a, b in spans:  # long stretches without white space are many words
+        starts = [a]
+        if b - a > 256 or sum(x > 127 for x in data[a:b]) > 48:
+            starts += [i for i in range(a + 1, b) if data[i] & 0xC0 != 0x80 and (slow_gear(data, i) >> 12) % 4 == 0]
+            edges |= {i for i in starts[1:] if (slow_gear(data, i) >> 12) % 16 == 0}
+        split += zip(starts, [*starts[1:], b])
+    spans, edges = split, sorted(edges)
     if len(spans) < n:
         return [], spans
-    edges = [0, *(i for i in range(1, len(data)) if slow_cut(data, i)), len(data)]
     chunk_words = [next((k for k, (a, _) in enumerate(spans) if a >= e), len(spans)) for e in edges]
     firsts = {len(spans) - n}
     for a, b in zip(chunk_words, chunk_words[1:]):
@@ -93,6 +106,35 @@ def test_planted_passages(spark):
     assert all(got[r].n_removed_words == 0 for r in rows[90:120])
 
 
+def letters(n, rng, first=0x4E00, last=0x9FA5):
+    return "".join(chr(rng.randint(first, last)) for _ in range(n))
+
+
+def test_texts_without_blanks(spark):
+    """Equal ones go; of what is repeated within others most goes; new ones stay."""
+    rng = random.Random(16)
+    same, plain, line = letters(5000, rng), letters(3000, rng, ord("A"), ord("Z")), "\n".join(letters(120, rng) for _ in range(6))
+    rows = [(1, same), (2, same), (3, same), (4, letters(700, rng)), (5, plain), (6, "see " + plain[500:]), (7, line), (8, "\n" + line)]
+    for k in range(40):
+        passage = letters(250, rng)
+        rows += [(100 + 2 * k + j, letters(rng.randint(30, 400), rng) + passage + letters(rng.randint(30, 400), rng)) for j in (0, 1)]
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {i: len(r.kept_text) for (i, _), r in got.items()}
+    assert left[1] == 5000 and left[2] == left[3] == 0 and left[4] == 700 and left[6] < 100 and left[7] == len(line) and left[8] < 60
+    gone = [len(t) - left[i] for i, t in rows[8:] if i % 2]
+    assert all(n == 0 for n in (len(t) - left[i] for i, t in rows[8:] if not i % 2))
+    assert sum(gone) / len(gone) > 150 and max(gone) <= 260 and sum(n > 100 for n in gone) >= 0.9 * len(gone)
+
+
+def test_long_words_by_pieces(monkeypatch):
+    """Where a text is gone through piece by piece, the places are those of the whole."""
+    rng = random.Random(17)
+    data = np.frombuffer((letters(3000, rng) + " " + words(300, rng) + letters(900, rng, 0x61, 0x7A)).encode(), dtype=np.uint8)
+    whole = substring_dedup.windows(data)
+    monkeypatch.setattr(substring_dedup, "PIECE", 1000)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, substring_dedup.windows(data), strict=True))
+
+
 def test_documents(spark, sf):
     check(common.documents(spark, sf).filter(F.length("text") < 3000).select("doc_id", "text"))
 
