@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from urllib.parse import urljoin
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,15 +99,62 @@ def url_base(url: Text) -> Column:
     return F.substring_index(_col(url), "#", 1)
 
 
-@F.pandas_udf(T.StringType())
-def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    """An address as a page at base means it; none for scripts, mail and anchors."""
+#: Schemes whose addresses have paths that others can be relative to.
+RELATIVE_SCHEMES = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+#: Scheme, host, path, query and fragment of an address (RFC 3986, appendix B).
+_ADDRESS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _address(url: Column) -> Column:
+    bare = F.regexp_replace(url, r"(?U)^[\s\x00-\x1F]+|[\s\x00-\x1F]+$|[\t\r\n]", "")
+    part = lambda u, n: F.regexp_extract(u, _ADDRESS, n)
+    return _once(bare, lambda u: F.struct(u.alias("whole"), F.lower(part(u, 1)).alias("scheme"), part(u, 2).alias("host"), part(u, 3).alias("path"), part(u, 4).alias("query"), part(u, 5).alias("fragment")))
+
+
+def _without_dots(segments: Column) -> Column:
+    """The path of segments, in which .. takes away the one before."""
+    step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    path = _once(segments, lambda s: F.concat(F.aggregate(s, F.array().cast("array<string>"), step), F.when(F.element_at(s, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))
+    return F.coalesce(F.nullif(F.array_join(path, "/"), F.lit("")), F.lit("/"))
+
+
+def _merged(base: Column, path: Column) -> Column:
+    """A path as base's path means it; empty segments in the middle go."""
+    folder = _once(F.split(base, "/", -1), lambda s: F.when(F.element_at(s, -1) != "", F.slice(s, 1, F.size(s) - 1)).otherwise(s))
+    joined = _once(
+        F.concat(folder, F.split(path, "/", -1)),
+        lambda s: F.when(F.size(s) > 2, F.concat(F.slice(s, 1, 1), F.filter(F.slice(s, 2, F.greatest(F.size(s) - 2, F.lit(0))), lambda x: x != ""), F.slice(s, -1, 1))).otherwise(s),
+    )
+    return _without_dots(F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(joined))
+
+
+def _resolved(a: Column) -> Column:
+    b, h = a["base"], a["href"]
+    scheme = F.when(h["scheme"] != "", h["scheme"]).otherwise(b["scheme"])
+    path = F.when(h["host"] != "", h["path"]).when(h["path"] == "", b["path"]).otherwise(_merged(b["path"], h["path"]))
+    query = F.when((h["host"] == "") & (h["path"] == "") & (h["query"] == ""), b["query"]).otherwise(h["query"])
+    host = F.when(h["host"] != "", h["host"]).otherwise(b["host"])
+    mark = lambda before, text, after="": F.when(text != "", F.concat(F.lit(before), text, F.lit(after))).otherwise("")
+    slash = F.when((host != "") & (path != "") & ~path.startswith("/"), "/").otherwise("")
+    whole = F.concat(mark("", scheme, ":"), mark("//", host), slash, path, mark("?", query), mark("#", h["fragment"]))
+    return (
+        F.when((h["whole"] == "") | h["whole"].rlike("^(javascript:|mailto:|#)"), F.lit(None))
+        .when((b["whole"] == "") | (scheme != b["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES), h["whole"])
+        .otherwise(whole)
+    )
 
-    def join(b: str | None, h: str | None) -> str | None:
-        h = (h or "").strip()
-        return None if not h or h.startswith(("javascript:", "mailto:", "#")) else urljoin(b or "", h)
 
-    return pd.Series([join(b, h) for b, h in zip(base, href)], dtype=object)
+def absolute_url(base: Text, href: Text) -> Column:
+    """An address as a page at base means it (RFC 3986, but empty segments of merged paths go); none for scripts, mail,
+    anchors, empty and null ones. White space and controls around an address go, line ends and tabs within too. Without
+    base, or with one of a scheme that has no paths, the address itself."""
+    empty = lambda x: F.coalesce(_col(x), F.lit(""))
+    return _once(F.struct(_address(empty(base)).alias("base"), _address(empty(href)).alias("href")), _resolved)
 
 
 @F.pandas_udf(T.StringType())

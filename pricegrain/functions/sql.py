@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import StringType
 
 from pricegrain.functions import parse, similarity
 
@@ -49,6 +52,17 @@ def _text(value: object) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
 
+@pandas_udf(StringType())
+def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
+    """E21 for SQL, which has no name for a Column expression; DataFrames use parse.absolute_url."""
+
+    def join(b: str | None, h: str | None) -> str | None:
+        h = (h or "").strip()
+        return None if not h or h.startswith(("javascript:", "mailto:", "#")) else urljoin(b or "", h)
+
+    return pd.Series([join(b, h) for b, h in zip(base, href)], dtype=object)
+
+
 def register(spark: SparkSession) -> list[str]:
     """The names of the functions that SQL of this session may use from now on: expressions (which Spark plans as if they were
     written out), vectorised Python functions, and table functions."""
@@ -56,7 +70,7 @@ def register(spark: SparkSession) -> list[str]:
     for head, (kind, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
         names.append(head.partition("(")[0])
-    for name, f in {"pg_absolute_url": parse.absolute_url, "pg_unescape": parse.unescape, "pg_jaro_winkler": similarity.jaro_winkler, "pg_search_score": similarity.search_score}.items():
+    for name, f in {"pg_absolute_url": absolute_url, "pg_unescape": parse.unescape, "pg_jaro_winkler": similarity.jaro_winkler, "pg_search_score": similarity.search_score}.items():
         spark.udf.register(name, f)
         names.append(name)
     for name, cls, kind in (("pg_page_blocks", PageBlocks, "position int, type string, name string, block string"), ("pg_page_links", PageLinks, "position int, value string")):

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +38,19 @@ def test_urls(spark):
     assert got == ["http://a/b/c?d", "http://a/e", None, None, None]
 
 
+def test_absolute_urls(spark):
+    """Equal to the standard library's join on addresses of every kind."""
+    rng = random.Random(21)
+    bases = ["http://a.b", "https://a.b/", "https://a.b/c/d;p?q", "http://a.b/c/d/", "http://a.b//c//d", "HTTP://A.b/x/../y/z?u=/v/w#f", "shop:p/q", "c/d", "/c/d", "//a.b/c", "", "ftp://u@h:21/f/g"]
+    hrefs = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "g#s", "g?y#s", "?", "..", "../", "../g", "../..", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g//h", "//g/../h?x", "https://o.e", "http://o.e?x", "HTTPS://O.e/A/../b#c", "http:g", "tel:1", "data:,x", "é/ñ?ü", "a b", " /x ", ";x", "g;x=1/y"]
+    hrefs += ["".join(rng.choice(["a", "/", "..", ".", "?", "é"]) for _ in range(rng.randint(1, 7))) for _ in range(200)]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = values(spark, rows, "a string, b string", parse.absolute_url("a", "b"))
+    assert [(r, g) for r, g in zip(rows, got, strict=True) if g != urljoin(r[0], r[1].strip())] == []
+    odd = [(None, " x\n"), (None, None), ("http://a", "  "), ("http://a", "\tjavascript:x"), ("http://a/b", "c\nd")]
+    assert values(spark, odd, "a string, b string", parse.absolute_url("a", "b")) == ["x", None, None, None, "http://a/cd"]
+
+
 def test_markup(spark):
     assert values(spark, [("<p>a <b>b</b>\n</p>",), ("<br>",), (None,)], "s string", parse.strip_html("s")) == ["a b", None, None]
     assert values(spark, [("&eacute;&amp;&#33;",), (None,)], "s string", parse.unescape("s")) == ["é&!", None]
