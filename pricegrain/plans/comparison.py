@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricegrain.operators import history, market
+from pricegrain.operators import history, market, search
 from pricegrain.plans.base import BASE, NEWEST, available, bare_offers, observations, offers, products, stores, table
 from pricegrain.plans.registry import query
 
@@ -215,10 +215,7 @@ SELECT product_id, edition, other, likeness FROM (SELECT *, row_number() OVER (P
 def similar_editions(spark: SparkSession, sf: str) -> DataFrame:
     """For each product the most alike of each other edition (brand), of the same name and type."""
     p = products(spark, sf)
-    other = p.select(F.col("product_id").alias("other"), "name", "type", F.col("brand").alias("edition"), F.col("size").alias("other_size"))
-    pairs = p.join(other, ["name", "type"]).filter("brand <> edition").withColumn("likeness", F.round(F.greatest(F.lit(0.0), 1 - F.abs(F.col("size") - F.col("other_size")) / 50), 6)).filter("likeness >= 0.55")
-    best = pairs.groupBy("product_id", "edition").agg(F.max(F.struct("likeness", F.negative("other").alias("o"))).alias("b"))
-    return best.select("product_id", "edition", F.negative("b.o").alias("other"), "b.likeness")
+    return search.nearest_editions(p, ["name", "type"], "brand", "size", 50, 0.55).withColumn("likeness", F.round("likeness", 6))
 
 
 @query(BASE + f""", {_SUMMARY}, r AS (SELECT offer_id, product_id, store_id, price, row_number() OVER (PARTITION BY product_id ORDER BY available DESC, price, offer_id) AS rank FROM offer), h AS (SELECT product_id, count(*) AS n_seen, min(price) AS lowest_ever FROM observation GROUP BY 1)

@@ -69,3 +69,13 @@ def test_names_go_to_python_once_a_pair(spark):
     lines = search.other_editions(rows)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     below = lines[next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x) + 1 :]
     assert "Aggregate" in next(x for x in below if "Aggregate" in x or "Join" in x)
+
+
+def test_nearest_editions(spark):
+    shape = "product_id long, name string, type string, brand string, size int"
+    rows = [(1, "n", "t", "a", 10), (2, "n", "t", "b", 12), (3, "n", "t", "b", 8), (4, "n", "t", "c", 32), (5, "n", "t", "c", 33), (6, "n", "u", "b", 10), (7, "n", "t", None, 10), (8, "n", "t", "d", None), (9, None, "t", "a", 10)]
+    rows += [(100 + i, "n", "t", "a", 10) for i in range(3000)]
+    got = {tuple(r)[:3]: round(r.likeness, 6) for r in search.nearest_editions(spark.createDataFrame(rows, shape), ["name", "type"], "brand", "size", 50, 0.55).collect()}
+    of = lambda i: {k[1:]: v for k, v in got.items() if k[0] == i}
+    assert of(1) == of(100) == of(3099) == {("b", 2): 0.96, ("c", 4): 0.56} and of(4) == {("a", 1): 0.56, ("b", 2): 0.6} and of(5) == {("b", 2): 0.58}
+    assert not (of(6) or of(7) or of(8) or of(9)) and of(3) == {("a", 1): 0.96}
