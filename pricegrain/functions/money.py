@@ -12,6 +12,12 @@ def _col(x: Value) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def rounded(value: Value, decimals: int) -> Column:
+    """Halves go away from zero, of the value multiplied out: a difference of amounts that floating point puts a hair below a half
+    counts as the half."""
+    return F.round(_col(value) * 10.0**decimals, 0) / 10.0**decimals
+
+
 def format_currency(value: Value, decimals: int = 0, symbol: str = "$") -> Column:
     """$36.990 - dots between thousands, a comma before decimals; a dash for null. Halves go away from zero, as the
     amount is written in decimals."""

@@ -34,7 +34,7 @@ FROM s JOIN part ON p_partkey = product_id JOIN supplier ON s_suppkey = best_sto
 def saving_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A line for every opportunity."""
     found = market.opportunities(bare_offers(spark, sf), top=None).join(products(spark, sf).select("product_id", "name"), "product_id").join(stores(spark, sf).select(F.col("store_id").alias("best_store"), "store"), "best_store")
-    return found.select("product_id", money.saving_line("name", "store", "best_price", F.round("saving", 2), F.round("saving_percent", 6)).alias("line"))
+    return found.select("product_id", money.saving_line("name", "store", "best_price", money.rounded("saving", 2), money.rounded("saving_percent", 6)).alias("line"))
 
 
 @query(_EVENTS + """, d AS (SELECT product_id, max(old_price - new_price) AS amount FROM feed WHERE type = 'price_drop' AND created_at >= TIMESTAMP '1997-01-01' GROUP BY 1), drops AS (SELECT product_id, row_number() OVER (ORDER BY amount DESC, product_id) AS position FROM d ORDER BY amount DESC, product_id LIMIT 3),

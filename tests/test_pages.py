@@ -59,3 +59,10 @@ def test_settings_files_and_sql_functions(spark, tmp_path):
     spark.createDataFrame([(1, page), (2, None)], "k int, html string").createOrReplaceTempView("some_pages")
     assert one("SELECT k, position, value FROM some_pages, LATERAL pg_page_links(html, 'a', 'href') ORDER BY position") == [(1, 0, "/x"), (1, 1, "/y")]
     assert [(t, n) for _, t, n in one("SELECT position, type, name FROM some_pages, LATERAL pg_page_blocks(html) WHERE type IS NOT NULL ORDER BY position")] == [("Product", "P"), ('["A", "B"]', None)]
+
+
+def test_a_saving_a_hair_below_a_half_counts_as_the_half(spark):
+    rows = spark.createDataFrame([(x,) for x in (49866.494999999995, 1.005, 2.675, -2.675, 3.0, None)], "x double")
+    assert [r.y for r in rows.select(money.rounded("x", 2).alias("y")).collect()] == [49866.5, 1.0, 2.68, -2.68, 3.0, None]
+    line = rows.limit(1).select(money.saving_line(F.lit("n"), F.lit("s"), F.lit(5084.0), money.rounded("x", 2), F.lit(91.0)).alias("y")).first().y
+    assert "$49.867" in line
