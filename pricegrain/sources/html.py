@@ -212,27 +212,35 @@ def follow(starts: DataFrame, links: DataFrame, most: int = 50) -> DataFrame:
     return reached.groupBy("start", "url").agg(F.min("position").alias("position")).select("start", "position", "url")
 
 
-def pick(page: str | None, selectors: Mapping[str, str]) -> dict[str, str | None]:
-    """For each name the first hit of its selectors (alternatives by commas): its text, or with '@attr' behind, that attribute."""
+#: Stands for & in pages whose character references are to stay; the first of these that the page does not hold.
+_MARKS = [chr(c) for c in range(0xE000, 0xF900)]
+
+
+def pick(page: str | None, selectors: Mapping[str, str], decoded: bool = True) -> dict[str, str | None]:
+    """For each name the first hit of its selectors (alternatives by commas): its text, or with '@attr' behind, that attribute.
+    Not decoded: as it is written, with its character references and white space."""
     wanted = [(name, part.strip().partition("@")) for name, s in selectors.items() for part in s.split(",")]
     picker = _Picker([sel for _, (sel, _, _) in wanted])
-    picker.feed(page or "")
+    page = page or ""
+    mark = "&" if decoded else next(m for m in _MARKS if m not in page)
+    picker.feed(page.replace("&", mark))
     out: dict[str, str | None] = dict.fromkeys(selectors)
     for (name, (_, _, attr)), hits in zip(wanted, picker.found):
         for hit in hits:
-            value = hit["attrs"].get(attr) if attr else " ".join("".join(hit["text"]).split())
+            text = "".join(hit["text"])
+            value = hit["attrs"].get(attr) if attr else " ".join(text.split()) if decoded else text
             if value and out[name] is None:
-                out[name] = value
+                out[name] = value.replace(mark, "&")
     return out
 
 
-def select_fields(pages: DataFrame, html: str, selectors: Mapping[str, str]) -> DataFrame:
-    """Pages with a string column for each selector. Columns named alike are replaced."""
+def select_fields(pages: DataFrame, html: str, selectors: Mapping[str, str], decoded: bool = True) -> DataFrame:
+    """Pages with a string column for each selector, not decoded: as written (see pick). Columns named alike are replaced."""
     kept = [c for c in pages.columns if c not in selectors]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = pd.DataFrame([pick(p, selectors) for p in pdf["_html"]], columns=list(selectors), index=pdf.index, dtype=object)
+            found = pd.DataFrame([pick(p, selectors, decoded) for p in pdf["_html"]], columns=list(selectors), index=pdf.index, dtype=object)
             yield pd.concat([pdf.drop(columns="_html"), found], axis=1)
 
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField(c, T.StringType()) for c in selectors])

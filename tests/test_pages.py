@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pricegrain.functions import money, parse
 from pricegrain.operators import changes, market, search
+from pricegrain.plans import catalogue
+from pricegrain.sources import html
 
 
 def test_front_deals_say_what_they_are(spark):
@@ -66,3 +68,12 @@ def test_a_saving_a_hair_below_a_half_counts_as_the_half(spark):
     assert [r.y for r in rows.select(money.rounded("x", 2).alias("y")).collect()] == [49866.5, 1.0, 2.68, -2.68, 3.0, None]
     line = rows.limit(1).select(money.saving_line(F.lit("n"), F.lit("s"), F.lit(5084.0), money.rounded("x", 2), F.lit(91.0)).alias("y")).first().y
     assert "$49.867" in line
+
+
+def test_page_fields_are_read_as_they_are_written(spark, tmp_path):
+    titles = ["<title>a &amp;&amp;lt; b&amp &quot;c&nbsp;</title>", "<title> x\n\t y </title>", "<title> </title>", ""]
+    pages = [(i, f'<html lang="a&amp;b">{t}') for i, t in enumerate(titles)] + [(7, "<html><title>t</title>"), (8, None), (9, "<html lang=''><title>\ue000&lt;</title>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.language, r.title) for r in catalogue.QUERIES["page_fields"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("a&amp;b", "a &&lt; b&amp &quot;c&nbsp;"), 1: ("a&amp;b", "x y"), 2: ("a&amp;b", None), 3: ("a&amp;b", None), 7: ("", "t"), 8: (None, None), 9: ("", "\ue000<")}
+    assert html.pick(titles[0], {"t": "title"}) == {"t": 'a &&lt; b& "c'}
