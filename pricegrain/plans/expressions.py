@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricegrain.functions import money, parse, similarity, text
-from pricegrain.plans.base import BASE, bare_offers, products, table
+from pricegrain.plans.base import BASE, bare_offers, products, spread, table
 from pricegrain.plans.registry import query
 
 RULES = text.NameRules(
@@ -107,7 +107,7 @@ SELECT doc_id, line_no, punctuated, basic, tokens, array_to_string(tokens, ' ')
 def normalize_name(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every text as a name."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    named = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("line_no", "name"))
+    named = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(lines).alias("line_no", "name"))
     return text.normalize_names(named, "name", RULES).select("doc_id", "line_no", "n.*", text.detect_language(F.col("n.punctuated"), F.col("n.basic"), RULES).alias("language"))
 
 
