@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricegrain.functions import text
 from pricegrain.operators import changes, extract, resolve, storage
-from pricegrain.plans.base import BASE, observations, table
+from pricegrain.plans.base import BASE, observations, spread, table
 from pricegrain.plans.matching import _GROUPS, _SCORES, GOODS, _decisions, candidates
 from pricegrain.plans.registry import ORACLE, query
 from pricegrain.plans.tables import export
@@ -34,7 +34,7 @@ def prepared_records(spark: SparkSession, sf: str) -> DataFrame:
     """Raw offers, as a shop lists them, to records."""
     k, n, key = F.col("p_partkey") % 4, F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     name = F.when(k == 0, F.concat_ws(" ", F.lit("lot of"), n, "p_name")).when(k == 1, F.concat_ws(" ", "p_name", n, F.lit("pieces"))).when(k == 2, F.concat("p_name", F.lit(" &amp; gear x3"))).otherwise(F.col("p_name"))
-    raw = table(spark, sf, "part").select(
+    raw = spread(table(spark, sf, "part")).select(
         "p_partkey", F.concat(F.lit("  "), name, F.lit(" ")).alias("name"), F.when(k != 1, F.lit("as new, no box")).alias("description"), F.lit("shop").alias("store_code"), F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.concat(F.lit("e"), key)).alias("external_id"),
         F.concat(F.lit("https://s.test/p/"), key).alias("url"), F.when(F.col("p_partkey") % 5 == 0, F.lpad(key, 13, "0")).alias("gtin"), F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("EAN "), F.lpad(key, 14, "0"))).alias("ean"),
         F.when(F.col("p_partkey") % 7 == 0, F.lpad((F.col("p_partkey") + 1).cast("string"), 12, "0")).otherwise("123").alias("upc"), F.concat(F.lit("m-"), key).alias("mpn"), (F.col("p_size") * 100).alias("price"), F.lit("in_stock").alias("stock_status"),
