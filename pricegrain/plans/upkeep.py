@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricegrain.functions import money, parse
 from pricegrain.operators import changes, resolve, search, storage
-from pricegrain.plans.base import BASE, bare_offers, products, stores, table
+from pricegrain.plans.base import BASE, bare_offers, products, spread, stores, table
 from pricegrain.plans.registry import query
 from pricegrain.sources import feeds, html, tables
 
@@ -134,7 +134,7 @@ def page_products(spark: SparkSession, sf: str) -> DataFrame:
     script = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *parts, F.lit("</script>"))
     two = script(F.lit('{"@graph": ['), product("a", 0, "InStock"), F.lit(", "), product("b", 0.5, "OutOfStock"), F.lit("]}"))
     one = F.concat(script(F.lit('{"@type": "Thing"}')), script(product("a", 0, "InStock")), script(product("z", 9, "InStock", F.lit("https://shop.example/p/other"))))
-    pages = table(spark, sf, "part").select("p_name", url.alias("url"), _cases(F.col("p_partkey"), two, one, script(F.lit('{"@type": "Product", "name": '))).alias("html"))
+    pages = spread(table(spark, sf, "part")).select("p_name", url.alias("url"), _cases(F.col("p_partkey"), two, one, script(F.lit('{"@type": "Product", "name": '))).alias("html"))
     return html.ld_products(pages, "html").select("url", "name", "sku", "price", "stock_status")
 
 
