@@ -179,8 +179,9 @@ def card_offers(pages: DataFrame, html: str, url: str, card: str, selectors: Map
     """An offer for each listing card of a page that links to something: its address absolute and cleaned, its other
     fields from the selectors or the card's own JSON-LD. Of several cards that link to one address the first counts."""
     cards = select_cards(pages.withColumnRenamed(url, "_page"), html, card, {**selectors, "_href": link})
+    page = ["_page", *(c for c in pages.columns if c not in (html, url) and c in cards.columns and c not in ("position", "ld", *selectors))]  # several pages may have one address
     placed = cards.withColumn("url", parse.clean_url(parse.absolute_url("_page", "_href"))).filter("url IS NOT NULL")
-    first = placed.withColumn("_nth", F.row_number().over(W.partitionBy("_page", "url").orderBy("position"))).filter("_nth = 1").drop("_nth", "_href")
+    first = placed.withColumn("_nth", F.row_number().over(W.partitionBy(*page, "url").orderBy("position"))).filter("_nth = 1").drop("_nth", "_href")
     return filled_offers(first, url="_page").withColumnRenamed("_page", "page_url")
 
 

@@ -33,3 +33,9 @@ def test_links_are_followed_to_the_end(spark):
     assert sorted(r.position for r in found if r.start == "s") == list(range(50)) and sorted(r.position for r in found if r.start == "t") == list(range(10))
     pages = spark.createDataFrame([("http://s.test/a/1", '<link rel="next" href="2">'), ("http://s.test/b", '<a href="/x">'), ("http://s.test/c", None)], "url string, html string")
     assert {r.url: r.next_url for r in html.next_links(pages, "html", "url").collect()} == {"http://s.test/a/1": "http://s.test/a/2", "http://s.test/b": None, "http://s.test/c": None}
+
+
+def test_pages_of_one_address_keep_their_own_cards(spark):
+    pages = spark.createDataFrame([(i, "http://s.test/c", f'<p class="card"><a href="/a">{n}</a></p>') for i, n in ((1, "x"), (2, "y"))], "page_id long, url string, html string")
+    found = html.card_offers(pages, "html", "url", ".card", {"name": "a"})
+    assert {(r.page_id, r.url, r.name) for r in found.collect()} == {(1, "http://s.test/a", "x"), (2, "http://s.test/a", "y")}
