@@ -47,7 +47,7 @@ def prepared_records(spark: SparkSession, sf: str) -> DataFrame:
 def _again(rows: DataFrame, kind: str) -> DataFrame:
     """rows, written as text and read with their schema; a row that does not fit it fails."""
     path = f"{storage.scratch(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"
-    (write_csv if kind == "csv" else write_json)(rows, path)
+    (write_csv if kind == "csv" else write_json)(rows, path, "gzip")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     options = {"sep": ";", "timestampFormat": "yyyy-MM-dd HH:mm:ss"} if kind == "csv" else {}
     return storage.temporary(read_table(rows.sparkSession, path, schema, kind, **options), path)

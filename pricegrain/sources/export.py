@@ -21,12 +21,12 @@ def export_rows(offers: DataFrame, stores: DataFrame, labels: Mapping[str, str],
     )
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Semicolons, a header, and the mark that tells spreadsheets the encoding, at the head of the first column's name."""
     first = rows.columns[0]
-    rows.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("sep", ";").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    rows.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("compression", compression).option("sep", ";").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
 
 
-def write_json(rows: DataFrame, path: str) -> None:
+def write_json(rows: DataFrame, path: str, compression: str = "none") -> None:
     """A line for each row."""
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    rows.write.mode("overwrite").option("compression", compression).option("ignoreNullFields", False).json(path)
