@@ -115,3 +115,25 @@ def test_terms_end_without_a_row(spark, tmp_path):
         (3, 4, "remind", 1), (3, 5, "expire", None),
     ]
     assert terms.due(100 * terms.DAY, 0, 200 * terms.DAY, [1, 7]) == [(93 * terms.DAY, "remind", 7), (99 * terms.DAY, "remind", 1), (100 * terms.DAY, "expire", None)]
+
+
+def test_terms_go_to_the_state_many_at_once_and_begin_once(spark, tmp_path):
+    t = lambda d: dt.datetime(2024, 1, 1 + d)
+    kind = "member_id long, event_id long, ts timestamp, kind string, days int"
+    rows = [(m, m, t(0), "joined", 3) for m in range(50)] + [(99, 100, t(20), "other", 0)]
+    put = lambda name, own: spark.createDataFrame(own, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    begun = spark.createDataFrame([(m, t(9), t(0)) for m in (0, 70)], "member_id long, expires_at timestamp, since timestamp")
+
+    def run():
+        changes = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        found = terms.member_terms(changes, begun, steps=(1,))
+        assert "FlatMapGroupsInPandasWithState" in found._jdf.queryExecution().analyzed().toString()
+        found.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        return sorted((r.member_id, r.action) for r in spark.read.schema(terms.OUTPUT).parquet(f"{tmp_path}/out").collect())
+
+    put("a", rows)
+    joined = [(m, a) for m in range(1, 50) for a in ("expire", "join", "remind")]
+    first = sorted([*joined, *((m, a) for m in (0, 70) for a in ("expire", "remind"))])
+    assert run() == first
+    put("b", [(1, 200, t(21), "renewed", 4), (99, 201, t(30), "other", 0)])
+    assert run() == sorted([*first, (1, "renew"), (1, "remind"), (1, "expire")])
