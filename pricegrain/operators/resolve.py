@@ -281,9 +281,17 @@ def score_pairs(candidates: DataFrame, pairs: DataFrame, cfg: Scoring = Scoring(
 
 
 def gtin_edges(candidates: DataFrame) -> DataFrame:
-    """Each offer with a GTIN against the first offer that has it."""
+    """Each offer with a GTIN against the first offer that has it.
+
+    The first offers are one row for each GTIN of several offers and are hashed; the offers go by them unsorted. Pairs are made
+    distinct only where equal ones have met, by tasks that are more than the cores: a task holds a small part of them.
+    """
     rows = candidates.select("id", F.explode("gtins").alias("gtin"))
-    return rows.join(rows.groupBy("gtin").agg(F.min("id").alias("anchor")), "gtin").filter("id <> anchor").select(F.col("anchor").alias("a"), F.col("id").alias("b")).distinct()
+    first = rows.groupBy("gtin").agg(F.min("id").alias("anchor"), F.max("id").alias("last")).filter("anchor <> last").drop("last")
+    met = rows.join(first.hint("shuffle_hash"), "gtin").filter("id <> anchor").select(F.col("anchor").alias("a"), F.col("id").alias("b"))
+    spark = candidates.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return met.repartition(n, "a", "b").distinct()
 
 
 def keyed_pairs(decisions: DataFrame, keys: DataFrame, decision: str) -> DataFrame:

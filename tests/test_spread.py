@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from pricegrain.operators import resolve
 from pricegrain.plans import catalogue
 from pricegrain.sources import export
 
@@ -17,3 +18,12 @@ def test_rows_are_dealt(name, spark, sf):
 def test_text_files_may_be_packed(write, spark, tmp_path):
     write(spark.range(3), f"{tmp_path}/x", "gzip")
     assert any(f.endswith(".gz") for f in os.listdir(f"{tmp_path}/x"))
+
+
+def test_offers_of_a_code_meet_unsorted_and_their_pairs_in_many_tasks(spark):
+    offers = [(1, ["x", "y"]), (2, ["x", "y"]), (3, ["y", "w"]), (4, ["z"]), (5, None), (6, [None, "x"]), (7, [None]), (8, ["w"])]
+    found = resolve.gtin_edges(spark.createDataFrame(offers, "id long, gtins array<string>"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert found.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    assert sorted((r.a, r.b) for r in found.collect()) == [(1, 2), (1, 3), (1, 6), (3, 8)]
