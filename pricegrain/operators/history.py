@@ -81,23 +81,28 @@ def snapshots(observed: DataFrame, key: list[str], order: list[Column | str], pr
     return greedy_chain(rows.filter(F.col(price).isNotNull()), key, order, time, hours, "_moved").drop("_moved")
 
 
-def running_best(observed: DataFrame, product: str = "product_id", store: str = "store_id", price: str = "price", time: str = "seen_at", segment: str = "year") -> DataFrame:
+def running_best(observed: DataFrame, product: str = "product_id", store: str = "store_id", price: str = "price", time: str = "seen_at", segment: str = "year", whole: int = 100_000) -> DataFrame:
     """After each moment of a product, the lowest of the prices last seen in each store; a price holds until the store's next.
 
-    Of several prices of a store at a moment the lowest counts. A product's series is cut into segments of time (truncated
-    dates); the prices that hold at a segment's start are carried in, one a store, so that a product with very many
-    observations is the work of many tasks, each of which goes once through its sorted rows.
+    Of several prices of a store at a moment the lowest counts. A task goes once through its sorted rows. The series of a product
+    of more observations than `whole` is cut into segments of time (truncated dates); the prices that hold at a segment's start are
+    carried in, one a store, so that it is the work of many tasks. Of other products nothing is carried.
     """
-    rows = observed.filter(F.col(price).isNotNull() & F.col(time).isNotNull()).groupBy(product, store, F.col(time).alias("t")).agg(F.min(price).alias("p")).withColumn("seg", F.date_trunc(segment, "t"))
-    last = rows.groupBy(product, store, "seg").agg(F.max_by("p", "t").alias("p"))
-    w = W.partitionBy(product, store).orderBy("seg")
-    spans = last.withColumn("until", F.lead("seg").over(w))
-    segments = rows.select(product, "seg").distinct()
-    carried = spans.join(segments.withColumnRenamed("seg", "into"), product).filter((F.col("into") > F.col("seg")) & (F.col("until").isNull() | (F.col("into") <= F.col("until"))))
-    both = rows.select(product, "seg", "t", store, "p", F.lit(1).alias("own")).unionByName(carried.select(product, F.col("into").alias("seg"), F.col("into").alias("t"), store, "p", F.lit(0).alias("own")))
-    n = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(n, product, "seg").sortWithinPartitions(product, "seg", "own", "t")
-    kind = {f.name: f.dataType.simpleString() for f in observed.schema}
+    spark, kind = observed.sparkSession, {f.name: f.dataType.simpleString() for f in observed.schema}
+    numbered = kind[time] == "timestamp"  # as microseconds it costs Python far less
+    seen = observed.filter(F.col(product).isNotNull() & F.col(price).isNotNull() & F.col(time).isNotNull())
+    hot = F.broadcast(seen.groupBy(product).agg(F.count("*").alias("n")).filter(F.col("n") > whole).select(product, F.lit(True).alias("hot")))
+    seg = F.when(F.col("hot"), F.unix_seconds(F.date_trunc(segment, time))).otherwise(0)
+    points = lambda how: seen.join(hot, product, how).select(product, seg.alias("seg"), (F.unix_micros(time) if numbered else F.col(time)).alias("t"), store, F.col(price).alias("p"))
+
+    cut = points("inner").groupBy(product, store, "seg", "t").agg(F.min("p").alias("p"))
+    last = cut.groupBy(product, store, "seg").agg(F.max_by("p", "t").alias("p"), F.max("t").alias("t"))
+    spans = last.withColumn("until", F.lead("seg").over(W.partitionBy(product, store).orderBy("seg")))
+    segments = cut.select(product, F.col("seg").alias("into")).distinct()
+    carried = spans.join(segments, product).filter((F.col("into") > F.col("seg")) & (F.col("until").isNull() | (F.col("into") <= F.col("until"))))
+    both = points("left").withColumn("own", F.lit(1)).unionByName(carried.select(product, F.col("into").alias("seg"), "t", store, "p", F.lit(0).alias("own")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = both.repartition(n, product, "seg").sortWithinPartitions(product, "seg", "own", "t", F.desc("p"))  # a store's lowest comes last
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, moment, held, heap = None, None, {}, []
@@ -109,8 +114,8 @@ def running_best(observed: DataFrame, product: str = "product_id", store: str =
 
         for pdf in batches:
             out = []
-            for prod, seg, t, shop, p, own in pdf.itertuples(index=False):
-                if (prod, seg) != key:
+            for prod, seg, t, shop, p, own in zip(*(pdf[c].tolist() for c in pdf.columns)):
+                if key is None or prod != key[0] or seg != key[1]:
                     if moment is not None:
                         out.append((key[0], moment, best()))
                     key, moment, held, heap = (prod, seg), None, {}, []
@@ -123,7 +128,8 @@ def running_best(observed: DataFrame, product: str = "product_id", store: str =
         if moment is not None:
             yield pd.DataFrame([(key[0], moment, best())], columns=[product, time, "best_price"])
 
-    return dealt.mapInPandas(sweep, f"{product} {kind[product]}, {time} {kind[time]}, best_price double")
+    found = dealt.mapInPandas(sweep, f"{product} {kind[product]}, {time} {'long' if numbered else kind[time]}, best_price double")
+    return found.withColumn(time, F.timestamp_micros(time)) if numbered else found
 
 
 def held_until(observed: DataFrame, key: list[str], time: str = "seen_at") -> DataFrame:

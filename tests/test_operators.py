@@ -40,6 +40,22 @@ def test_running_best_is_a_running_map(spark):
     assert got == want
 
 
+def test_running_best_carries_into_segments_of_hot_products_only(spark):
+    random.seed(2)
+    t0 = dt.datetime(2020, 1, 1)
+    rows = [(p, s, t0 + dt.timedelta(days=random.randint(0, 1500)), float(random.randint(1, 50))) for p in range(6) for s in range(5) for _ in range(20 if p % 2 else 3)]
+    rows += [(7, 1, t0, 9.0), (7, 1, t0, 4.0), (7, 2, t0, 5.0), (7, 1, t0 + dt.timedelta(days=800), 8.0), (7, 3, None, 1.0), (7, 3, t0, None), (None, 1, t0, 1.0)]
+    observed = spark.createDataFrame(rows, "product_id long, store_id long, seen_at timestamp, price double")
+    by = lambda **k: sorted((r.product_id, r.seen_at, r.best_price) for r in history.running_best(observed, **k).collect())
+    want = by(whole=0)
+    assert [r for r in want if r[0] == 7] == [(7, t0, 4.0), (7, t0 + dt.timedelta(days=800), 5.0)]
+    assert by(whole=50) == by() == by(whole=0, segment="month") == want
+    swept = lambda **k: history.running_best(observed, **k)._jdf.queryExecution()
+    assert "unix_micros" in swept().optimizedPlan().toString()
+    naive = observed.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+    assert sorted((r.product_id, r.seen_at, r.best_price) for r in history.running_best(naive, whole=50).collect()) == want
+
+
 def test_upsert_and_friends(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (None, "n", 5.0)], "k int, v string, p double")
     new = spark.createDataFrame([(2, "B", 3.0), (3, None, None), (None, "N", None)], "k int, v string, p double")
