@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,8 +27,9 @@ def _latin() -> tuple[str, str]:
 
 
 def fold_latin(text: Text) -> Column:
-    """Accents off precomposed Latin letters, in the JVM. Ligatures, widths and other scripts: strip_accents."""
-    return F.translate(text, *_latin())
+    """Accents off precomposed Latin letters, in the JVM. Ligatures, widths and other scripts: strip_accents. Translating looks up each
+    letter, so a text of bytes below 128 alone, as long in bytes as in letters, is left as it is."""
+    return F.when(F.octet_length(text) == F.length(text), text if isinstance(text, Column) else F.col(text)).otherwise(F.translate(text, *_latin()))
 
 
 @F.pandas_udf(T.StringType())
@@ -57,58 +60,62 @@ def prepare(text: Text, rules: NameRules, full: bool = False) -> Column:
     out = F.lower(strip_accents(out) if full else fold_latin(out))
     for pattern in rules.noise:
         out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, r"\s(?:\s+|(?<! ))", " "))
 
 
 def strip_punctuation(text: Text) -> Column:
-    """Only letters, digits, and dots between digits stay."""
-    out = F.regexp_replace(text, r"[^a-z0-9.]+", " ")
-    out = F.regexp_replace(out, r"(?<![0-9])\.|\.(?![0-9])", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Of a text in lower case only letters, digits, and dots between digits stay. Such dots wait as underscores, since a class of
+    Java's own is found some times faster than one that is put together; a single blank is left alone, as each match costs."""
+    out = F.replace(F.col(text) if isinstance(text, str) else text, F.lit("_"), F.lit(" "))
+    out = F.regexp_replace(out, r"\.(?<=[0-9]\.)(?=[0-9])", "_")
+    out = F.regexp_replace(out, r"\W(?:\W+|(?<! ))", " ")
+    return F.trim(F.replace(out, F.lit("_"), F.lit(".")))
 
 
 def words(text: Text) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def replace_phrases(tokens: Text, phrases: dict[str, str]) -> Column:
-    """E5: from left to right, the longest phrase that starts at a token gives way to its canonical token; '' deletes it.
+def replace_phrases(text: Text, phrases: dict[str, str]) -> Column:
+    """E5: the tokens of a text of words with single blanks. From left to right, the longest phrase that starts at a word gives way
+    to its canonical token; '' deletes it.
 
-    A fold over the tokens, in the JVM: the state is the output and the number of tokens still to skip.
+    One pass of a pattern marks the phrases and each is replaced with its marks, so the work is that of the text's length.
     """
-    if not phrases:
-        return F.col(tokens) if isinstance(tokens, str) else tokens
-    longest = max(len(p.split()) for p in phrases)
-    table = F.create_map(*(F.lit(x) for kv in phrases.items() for x in kv))
-    every = F.col(tokens) if isinstance(tokens, str) else tokens
-
-    def step(state: Column, i: Column) -> Column:
-        sizes = F.array(*(F.lit(k) for k in range(longest, 0, -1)))
-        phrase = lambda k: F.array_join(F.slice(every, i + 1, k), " ")
-        fits = F.filter(sizes, lambda k: (i + k <= F.size(every)) & table[phrase(k)].isNotNull())
-        size = F.try_element_at(fits, F.lit(1))
-        new = F.when(size.isNull(), F.slice(every, i + 1, 1)).when(table[phrase(size)] == "", F.array().cast("array<string>")).otherwise(F.array(table[phrase(size)]))
-        return F.when(state["skip"] > 0, F.struct(state["out"].alias("out"), (state["skip"] - 1).alias("skip"))).otherwise(
-            F.struct(F.concat(state["out"], new).alias("out"), (F.coalesce(size, F.lit(1)) - 1).alias("skip"))
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-    steps = F.when(F.size(every) > 0, F.sequence(F.lit(0), F.size(every) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda s: s["out"])
-
-
-def is_protected(token: Column, protected: Sequence[str] = ()) -> Column:
+    out = F.col(text) if isinstance(text, str) else text
+    known = {" ".join(p.split()): token for p, token in phrases.items() if p.split()}
+    if known:
+        longest = sorted(known, key=lambda p: -len(p.split()))
+        marked = F.regexp_replace(out, "(?<![^ ])(" + "|".join(map(re.escape, longest)) + ")(?![^ ])", "\x01$1\x01")
+        for phrase in longest:
+            marked = F.replace(marked, F.lit(f"\x01{phrase}\x01"), F.lit(known[phrase].replace(" ", "\x02")))
+        has = F.lit(False)
+        for phrase in longest:
+            has = has | F.contains(out, F.lit(phrase))
+        out = F.when(has, marked).otherwise(out)
+    if any(" " in token for token in known.values()):
+        return F.transform(words(out), lambda t: F.replace(t, F.lit("\x02"), F.lit(" ")))
+    return words(out)
+
+
+def is_protected(token: str, protected: Sequence[str] = ()) -> bool:
     """Canonical tokens, numbers and listed words are never dropped."""
-    return token.contains("_") | token.rlike(r"^[0-9]+(\.[0-9]+)?$") | token.isin(*protected)
+    return "_" in token or re.fullmatch(r"[0-9]+(\.[0-9]+)?", token) is not None or token in protected
 
 
 def drop_stopwords(tokens: Text, rules: NameRules) -> Column:
-    """E7."""
-    return F.filter(tokens, lambda t: is_protected(t, rules.protected) | ~t.isin(*rules.stopwords))
+    """A few stop words are removed one by one, in generated code; a function of each token is interpreted."""
+    out = F.col(tokens) if isinstance(tokens, str) else tokens
+    dropped = [w for w in dict.fromkeys(rules.stopwords) if not is_protected(w, rules.protected)]
+    if len(dropped) > 16:
+        return F.filter(out, lambda t: ~t.isin(*dropped))
+    for word in dropped:
+        out = F.array_remove(out, word)
+    return out
 
 
 def sorted_key(tokens: Text) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
+    return F.array_join(F.sort_array(F.array_distinct(tokens)), " ")
 
 
 def normalize_names(df: DataFrame, raw: str, rules: NameRules, out: str = "n") -> DataFrame:
@@ -117,13 +124,20 @@ def normalize_names(df: DataFrame, raw: str, rules: NameRules, out: str = "n") -
     Step by step, so that no expression is evaluated again for each token. Other scripts than Latin: give it a column that
     strip_accents has made.
     """
-    staged = df.withColumn("_p", prepare(raw, rules)).withColumn("_b", strip_punctuation("_p")).withColumn("_w", words("_b"))
-    staged = staged.withColumn("_t", replace_phrases("_w", rules.phrases)).withColumn("_k", drop_stopwords("_t", rules))
+    staged = df.withColumn("_p", prepare(raw, rules)).withColumn("_b", strip_punctuation("_p"))
+    staged = staged.withColumn("_t", replace_phrases("_b", rules.phrases)).withColumn("_k", drop_stopwords("_t", rules))
     core = F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.col("_t"))
     staged = staged.withColumn("_c", core)
     return staged.withColumn(out, F.struct(
         F.col("_p").alias("punctuated"), F.col("_b").alias("basic"), F.col("_t").alias("tokens"), F.array_join("_t", " ").alias("canonical"), F.col("_c").alias("core_tokens"), sorted_key("_c").alias("name_key"),
-    )).drop("_p", "_b", "_w", "_t", "_k", "_c")
+    )).drop("_p", "_b", "_t", "_k", "_c")
+
+
+def _matches(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns is found; as one pattern, unless references to groups would change their meaning by it."""
+    if any(re.search(r"\\[1-9k]", p) for p in patterns):
+        return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
+    return text.rlike("|".join(patterns))
 
 
 def detect_language(punctuated: Text, basic: Text, rules: NameRules) -> Column:
@@ -131,16 +145,17 @@ def detect_language(punctuated: Text, basic: Text, rules: NameRules) -> Column:
 
     Delimited codes are looked for where punctuation is kept.
     """
+    of = lambda level: F.col(punctuated if level == "delimited" else basic) if isinstance(basic, str) else (punctuated if level == "delimited" else basic)
     out = F.lit(None).cast("string")
     for level in ("loose", "delimited", "strict"):
-        codes = list(dict.fromkeys(c for lv, c, _ in rules.languages if lv == level))
-        if not codes:
-            continue
-        target = F.col(punctuated if level == "delimited" else basic) if isinstance(basic, str) else (punctuated if level == "delimited" else basic)
-        hit = {c: F.lit(False) for c in codes}
-        for lv, c, pattern in rules.languages:
+        patterns: dict[str, list[str]] = {}
+        for lv, code, pattern in rules.languages:
             if lv == level:
-                hit[c] = hit[c] | target.rlike(pattern)
-        found = F.filter(F.array(*(F.when(h, F.lit(c)) for c, h in hit.items())), lambda x: x.isNotNull())
-        out = F.when(F.size(found) == 1, found[0]).when(F.size(found) == 0, out)
+                patterns.setdefault(code, []).append(f"(?:{pattern})")
+        if not patterns:
+            continue
+        # a pattern of all languages passes by the many names without a hit
+        hits = [F.when(_matches(of(level), p), F.lit(code)) for code, p in patterns.items()]
+        one = F.when(reduce(lambda a, b: a + b, (h.isNotNull().cast("int") for h in hits)) == 1, F.coalesce(*hits))
+        out = F.when(_matches(of(level), [x for p in patterns.values() for x in p]), one).otherwise(out)
     return out

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+from dataclasses import replace
 from urllib.parse import urljoin
 
 import pytest
@@ -78,6 +80,49 @@ def test_names(spark):
     assert e.core_tokens == ["x", "5"]  # numbers are never stop words
 
 
+def plain_name(raw, rules):
+    """The steps of a name word by word."""
+    out = (raw or "").lower()
+    for a, b in rules.replacements.items():
+        out = out.replace(a, b)
+    for pattern in rules.noise:
+        out = re.sub(pattern, " ", out)
+    out = re.sub(r"[ \t\n\x0b\f\r]+", " ", out).strip(" ")
+    basic = re.sub(r"[^a-z0-9.]+", " ", out)
+    basic = re.sub(" +", " ", re.sub(r"(?<![0-9])\.|\.(?![0-9])", " ", basic)).strip(" ")
+    every, tokens, i = basic.split(), [], 0
+    while i < len(every):
+        k = next((k for k in range(4, 0, -1) if i + k <= len(every) and " ".join(every[i : i + k]) in rules.phrases), None)
+        token = rules.phrases[" ".join(every[i : i + k])] if k else every[i]
+        tokens += [token] if token else []
+        i += k or 1
+    core = [t for t in tokens if "_" in t or re.fullmatch(r"[0-9]+(\.[0-9]+)?", t) or t in rules.protected or t not in rules.stopwords] or tokens
+    return out, basic, tokens, core, " ".join(sorted(set(core)))
+
+
+def test_names_as_word_by_word(spark):
+    rng = random.Random(3)
+    parts = ["a", "b", "c", "d", "drop", "me", "elite", "box", "the", "5", "keep", "x_y", ".", "1.5", ".5.", "..", "_", "(pre-order x) ", "-", "!!", "\t", "\n ", "\x0b", "é", "中文", "\u00a0", "A", "$1", "\\", "two words"]
+    rows = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", " ", "a b " * 4000]
+    for rules in (RULES, replace(RULES, phrases=RULES.phrases | {"a": "one", "me drop": "two words", "box a b c": ""}, stopwords=["the", "5", "keep", *(f"w{i}" for i in range(20))])):
+        found = text.normalize_names(spark.createDataFrame([(r, i) for i, r in enumerate(rows)], "name string, i int"), "name", rules).orderBy("i").select("n.*").collect()
+        got = [(r.punctuated, r.basic, r.tokens, r.core_tokens, r.name_key) for r in found]
+        want = [plain_name((r or "").replace("é", "e"), rules) for r in rows]
+        assert [(r, g, w) for r, g, w in zip(rows, got, want, strict=True) if g != w] == []
+
+
+def test_work_on_a_name_is_in_generated_code_and_linear(spark):
+    """A function of each word is interpreted, and a list that grows by each is copied by each."""
+    named = text.normalize_names(spark.createDataFrame([("x",)], "name string"), "name", RULES)
+    plan = named.select("n.*", text.detect_language("n.punctuated", "n.basic", RULES).alias("language"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_language_patterns_with_references(spark):
+    rules = text.NameRules(languages=[("strict", "en", r"\b(e)n\1\b"), ("strict", "es", r"\b(s)(e)s\1\b")])
+    assert values(spark, [("a ene",), ("sess",), ("ene sess",), ("x",)], "s string", text.detect_language(F.col("s"), F.col("s"), rules)) == ["en", "es", None, None]
+
+
 def test_languages(spark):
     got = [r.language for r in names(spark, ["Box ESPAÑOL", "Box english espanol", "Box [EN] esp", "Box esp", "Box en", None])]
     assert got == ["es", None, "en", "es", None, None]
